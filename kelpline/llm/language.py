@@ -62,7 +62,7 @@ def _grams(codes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: dict[str, np.ndarray] = {}
-    for pdf in batches:
+    for pdf in filter(len, batches):
         for lang, part in pdf.groupby("lang"):
             sums = total.setdefault(lang, np.zeros(N_BINS, np.int64))
             for codes, rows in _pieces(part["text"].tolist()):
@@ -121,7 +121,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(*shared.value)
-        for pdf in batches:
+        for pdf in filter(len, batches):
             pdf["lang_pred"], pdf["score"] = m.predict(pdf["text"].tolist())
             yield pdf
 

@@ -34,7 +34,7 @@ def line_keys(text: str | None) -> list[str]:
 
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in filter(len, batches):
         doc, row, at, digests = [], [], [], []
         for d, r, text in zip(pdf["doc_id"], pdf["row_hash"], pdf["text"], strict=True):
             for i, key in enumerate(line_keys(text)):
@@ -50,9 +50,7 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _later(batches: Iterator[pd.DataFrame], first_of: dict[int, tuple[int, int, int]]) -> Iterator[pd.DataFrame]:
     """Rows of one sorted partition whose hash has an earlier document."""
     held = None
-    for pdf in batches:
-        if not len(pdf):
-            continue
+    for pdf in filter(len, batches):
         if held is None:
             held = first_of.get(int(pdf["pid"].iloc[0]))
         h1, h2, doc = (pdf[c].to_numpy() for c in ("h1", "h2", "doc_id"))
@@ -73,7 +71,7 @@ def _keep_bits(gone: np.ndarray) -> np.ndarray:
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in filter(len, batches):
         bits = [zlib.compress(_keep_bits(np.asarray(x)).tobytes(), 1) for x in pdf["gone"]]
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "row_hash": pdf["row_hash"], "keep_bits": bits, "n_dropped": [len(x) for x in pdf["gone"]]})
 
@@ -121,7 +119,7 @@ def with_bitmaps(docs: DataFrame) -> DataFrame:
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in filter(len, batches):
         texts = ["\n".join(kept_lines(t, b)) for t, b in zip(pdf["text"], pdf["keep_bits"], strict=True)]
         yield pd.DataFrame({
             "doc_id": pdf["doc_id"],

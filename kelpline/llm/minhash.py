@@ -57,7 +57,7 @@ def prob_minhash(h: np.ndarray, of: np.ndarray, weight: np.ndarray, n_rows: int,
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in filter(len, batches):
         texts, ids = pdf["text"].tolist(), pdf["doc_id"].to_numpy()
         for a, n, h, of, count, k1, k2 in shingled(texts):
             element, row, weight = weighted(h, of)
@@ -80,7 +80,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in filter(len, batches):
         texts, ids = pdf["text"].tolist(), pdf["id"].to_numpy()
         for a, n, h, of, _, _, _ in shingled(texts):
             element, row, weight = weighted(h, of)
@@ -109,7 +109,7 @@ def _unpacked(hashes: bytes, counts: bytes | None) -> tuple[np.ndarray, np.ndarr
 
 
 def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in filter(len, batches):
         keep = [weighted_jaccard(*_unpacked(ha, ca), *_unpacked(hb, cb)) >= SIMILARITY for ha, ca, hb, cb in zip(pdf["ha"], pdf["ca"], pdf["hb"], pdf["cb"], strict=True)]
         yield pdf.loc[keep, ["a", "b"]]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, minhash, mixing, sharding
+from . import decontaminate, extraction, language, lines, minhash, mixing, quality, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,13 @@ def id_fold(folds: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
 
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = quality.train(docs, labels.filter(id_fold(5) != 0))
+    return quality.score(docs, net).select("doc_id", (id_fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 @query("op2_language_id")
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -38,6 +45,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+@query("op3_html_extraction")
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op5_sharding")
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(table(spark, sf_dir, "documents"), 40)[0]
