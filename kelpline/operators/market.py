@@ -122,7 +122,7 @@ def short_date(text: Column) -> Column:
 
 def zipped_closes(timestamps: Column, closes: Column) -> Column:
     """Pairs of a chart's parallel arrays without null ones; null if lengths differ or fewer than two are left."""
-    pairs = F.filter(F.arrays_zip(timestamps.alias("t"), closes.alias("c")), lambda x: x["0"].isNotNull() & x["1"].isNotNull())
+    pairs = F.filter(F.arrays_zip(timestamps.alias("t"), closes.alias("c")), lambda x: x["t"].isNotNull() & x["c"].isNotNull())
     return F.when((F.size(timestamps) == F.size(closes)) & (F.size(pairs) >= 2), pairs)
 
 

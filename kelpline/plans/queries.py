@@ -360,7 +360,7 @@ def alert_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Lanes: orders as shipments
 
-_LANES_SQL = "(VALUES (0, 'A', 'limited', 32, 2840.0, 0.001), (1, 'B', 'blocked', 25, 2950.0, 0.0075), (2, 'D', 'limited', 35, 2900.0, 0.006), (3, 'C', 'best', 52, 3200.0, 0.0)) AS l(place, route_key, status, lead_time_days, freight, rate)"
+_LANES_SQL = "(VALUES (0, 'A', 'limited', 32, CAST(2840 AS DOUBLE), CAST(0.001 AS DOUBLE)), (1, 'B', 'blocked', 25, 2950.0, 0.0075), (2, 'D', 'limited', 35, 2900.0, 0.006), (3, 'C', 'best', 52, 3200.0, 0.0)) AS l(place, route_key, status, lead_time_days, freight, rate)"
 
 
 def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
