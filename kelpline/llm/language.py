@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import slices
 
@@ -126,4 +127,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pdf
 
     kept = docs.select(*[F.col(f"`{c}`") for c in own])
-    return kept.mapInPandas(run, kept.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    return kept.mapInPandas(run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

@@ -29,6 +29,7 @@ EPOCHS, BATCH, RATE, SEED = 14, 32, 0.01, 7
 #: Bytes that one numpy pass holds.
 PIECE = 1 << 20
 THRESHOLD = 0.3
+_PAD = np.zeros(WIDTH, np.uint8)
 
 
 def blocks_of(data: bytes) -> np.ndarray:
@@ -53,9 +54,9 @@ class Network:
             "bias": np.zeros(1, np.float32),
         }
 
-    def _pooled(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(inputs of the filters, answers by block x place x filter)."""
-        x = self.p["embed"][np.r_[data, np.zeros(WIDTH, np.uint8)]]
+    def _pooled(self, data: np.ndarray, after: np.ndarray = _PAD) -> tuple[np.ndarray, np.ndarray]:
+        """(inputs of the filters, answers by block x place x filter). after: the bytes that follow, for the last places."""
+        x = self.p["embed"][np.r_[data, after]]
         n = len(data) // STRIDE
         view = np.lib.stride_tricks.as_strided(x, (n, WIDTH * DIMS), (STRIDE * DIMS * 4, 4))
         inputs = np.ascontiguousarray(view)
@@ -71,9 +72,9 @@ class Network:
         right = np.minimum(left + 1, np.repeat(ends, chunk_counts) - 1)
         return left, right, starts
 
-    def features(self, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def features(self, data: np.ndarray, counts: np.ndarray, after: np.ndarray = _PAD) -> np.ndarray:
         left, right, starts = self._chunks(counts)
-        best = self._pooled(data)[1].max(1)
+        best = self._pooled(data, after)[1].max(1)
         chunk = np.maximum(np.maximum(best[left], best[right]), 0)
         n = np.diff(np.r_[starts, len(left)])
         return np.concatenate([np.add.reduceat(chunk, starts) / n[:, None], np.maximum.reduceat(chunk, starts)], 1)
@@ -95,7 +96,8 @@ class Network:
         total, top, n = 0.0, 0.0, 0
         for k in range(0, blocks - 1, most):
             part = data[k * BLOCK : min(blocks, k + most + 1) * BLOCK]
-            f = self.features(part, np.array([len(part) // BLOCK]))[0]
+            after = data[k * BLOCK + len(part) :][:WIDTH]
+            f = self.features(part, np.array([len(part) // BLOCK]), np.r_[after, _PAD[len(after) :]])[0]
             c = len(part) // BLOCK - 1
             total, top, n = total + f[:FILTERS] * c, np.maximum(top, f[FILTERS:]), n + c
         return np.r_[total / n, top][None, :]
