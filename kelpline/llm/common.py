@@ -46,3 +46,22 @@ def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         held += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+#: Groups that are broadcast at most, as those with more than one row in so many of the table.
+MAX_HOT_GROUPS = 100_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` joined with one row for each group of them, without a task that holds a large group.
+
+    size: the column of ``groups`` with the number of a group's rows. Groups of more than 1,000 rows and of more than 1 / MAX_HOT_GROUPS of all rows
+    are MAX_HOT_GROUPS at most, so they are broadcast and their rows stay where they are; all others are joined by a shuffle.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    least = max(1000, total // MAX_HOT_GROUPS)
+    added = [c for c in groups.columns if c not in keys]
+    hot = groups.filter(F.col(size) > least)
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    cold = marked.filter("_hot is null").drop("_hot", *added).join(groups.filter(F.col(size) <= least), keys)
+    return marked.filter("_hot").drop("_hot").unionByName(cold)

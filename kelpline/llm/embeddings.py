@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, n_partitions
+from .common import checkpointed, join_groups, n_partitions
 from .components import components
 
 COSINE = 0.9
@@ -177,10 +177,10 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     found = checkpointed(met.mapInPandas(_groups, "id long, n long, least long"))
     part = components(found.select(F.col("id").alias("a"), F.col("least").alias("b")))
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
-    named = (
+    named = checkpointed(
         classes.join(links, "id", "left").join(part, "id", "left")
-        .select("vector", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        .select("vector", "size", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     )
-    out = rows.filter("vector is not null").join(named, "vector").select("vec_id", "n_links", "component_id")
+    out = join_groups(rows.filter("vector is not null"), named, ["vector"], "size").select("vec_id", "n_links", "component_id")
     lone = rows.filter("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(lone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

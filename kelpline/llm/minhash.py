@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, join_groups
 from .components import components
 from .shingles import mixed, shingled, weighted
 
@@ -169,10 +169,12 @@ def links(members: DataFrame, docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest id of its near-duplicate group), class_size, kept: one row for each row of ``docs``."""
     rows = checkpointed(sketches(docs))
-    classes = checkpointed(rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")))
+    classes = checkpointed(rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.count(F.lit(1)).alias("n")))
     buckets = classes.filter("bands is not null").select("id", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("bucket"), "id").distinct()
     part = components(links(buckets, docs))
-    named = classes.select("k1", "k2", "id").join(part, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("class_id"))
-    out = rows.select("doc_id", "k1", "k2").join(named, ["k1", "k2"])
-    sizes = out.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    return out.join(sizes, "class_id").select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    # Sizes are summed over classes of equal texts, so a group's rows never meet.
+    named = checkpointed(classes.join(part, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("class_id")))
+    sizes = named.groupBy("class_id").agg(F.sum("n").alias("class_size"))
+    groups = checkpointed(named.join(sizes, "class_id"))
+    out = join_groups(rows.select("doc_id", "k1", "k2"), groups, ["k1", "k2"], "n")
+    return out.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))

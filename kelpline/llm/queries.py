@@ -94,6 +94,37 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digests(table(spark, sf_dir, "documents"))
 
 
-@query("op10_mixing")
+@query(
+    "op10_mixing",
+    r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substring(md5('mix-1:' || CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS draw FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM sized GROUP BY source
+), ranked AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY 2.0 * source_size / weight, source NULLS LAST) AS k FROM sources WHERE source_size > 0
+), levels AS (
+  SELECT k, cap / weight AS ratio, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM ranked
+), level AS (
+  SELECT k, rest, weights FROM levels WHERE rest / weights <= ratio ORDER BY k LIMIT 1
+), targets AS (
+  SELECT s.source, s.source_size, CASE WHEN s.source_size = 0 THEN 0.0 WHEN l.k IS NULL OR r.k < l.k THEN r.cap ELSE l.rest * s.weight / l.weights END AS target
+  FROM sources s LEFT JOIN ranked r ON r.source IS NOT DISTINCT FROM s.source LEFT JOIN level l ON true
+), parts AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets
+), placed AS (
+  SELECT d.*, p.source_size, p.target, p.whole, greatest(p.target - p.whole * p.source_size, 0.0) AS part, d.draw % 4096 AS cell,
+         sum(size) OVER (PARTITION BY d.source ORDER BY d.draw % 4096 RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto_cell,
+         sum(size) OVER (PARTITION BY d.source, d.draw % 4096) AS cell_size,
+         sum(size) OVER (PARTITION BY d.source ORDER BY d.draw % 4096, draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM sized d JOIN parts p ON p.source IS NOT DISTINCT FROM d.source
+), drawn AS (
+  SELECT *, whole + CASE WHEN upto_cell - cell_size < part AND upto_cell > part THEN CASE WHEN upto - size / 2.0 <= part THEN 1 ELSE 0 END WHEN upto_cell <= part THEN 1 ELSE 0 END AS repeats FROM placed
+)
+SELECT doc_id, size, source_size, target, CAST(size * repeats AS BIGINT) AS taken, source, CAST(repeats AS BIGINT) AS repeats FROM drawn
+""",
+)
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
