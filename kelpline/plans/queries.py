@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from kelpline.functions import text as T
 from kelpline.functions import vectors as V
-from kelpline.operators import alerts, chunks, market, retrieval, routes
+from kelpline.operators import alerts, chunks, feeds, market, retrieval, routes
 from kelpline.sources import files, seeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -468,3 +468,24 @@ def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed as TXT, DOCX and HWPX files, and read back."""
     packed = table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(_as_files, "path string, content binary")
     return files.extract_text(packed)
+
+
+@query(
+    """WITH q AS (SELECT event_id, value, event_id % 3 AS kind, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS k FROM events),
+d AS (SELECT *, value BETWEEN 60 AND 120 AND NOT (kind = 0 AND event_id % 7 = 0) AS ok, CASE WHEN value - k > 0 THEN k / (value - k) * 100 END AS derived FROM q)
+SELECT event_id, CASE kind WHEN 0 THEN 'chart' WHEN 1 THEN 'screen' ELSE 'contract' END AS provider, CASE WHEN ok THEN value END AS spot,
+CASE WHEN NOT ok THEN NULL WHEN kind = 0 THEN round(CASE WHEN derived IS NOT NULL AND abs(derived - k) > 0.05 THEN derived ELSE k END, 6) WHEN kind = 1 THEN round(k, 6) ELSE round(derived, 6) END AS day_change_pct,
+CASE WHEN ok THEN NULL WHEN NOT (value BETWEEN 60 AND 120) THEN 'out of range' ELSE 'wrong product' END AS reason FROM d"""
+)
+def feed_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as payloads of the three feeds, each in its own shape; every seventh event of the first is in the wrong currency."""
+    events = table(spark, sf_dir, "events").select("event_id", "value", (F.from_json("props", "k double")["k"] / 100).alias("k"))
+    chart = F.struct(F.col("value").alias("close"), F.col("k").alias("change"), F.col("k").alias("change_abs"), F.when(F.col("event_id") % 7 == 0, "USD").otherwise("eur").alias("currency"))
+    pair = F.struct(F.format_string("%,.2f", "value").alias("last"), F.concat(F.col("k").cast("string"), F.lit("%")).alias("change_percent_val"), F.lit("1 = €1000").alias("point_value"))
+    screen = F.struct(F.array(F.struct(F.struct(F.array(pair).alias("pairs_data")).alias("screen_data"))).alias("data"))
+    contract = F.struct(F.array(F.struct(F.struct(F.col("value").alias("lastPrice"), F.col("k").alias("priceChange")).alias("raw"), F.lit("EUA Futures").alias("contractName"))).alias("data"))
+    kind = F.col("event_id") % 3
+    payload = F.when(kind == 0, F.to_json(chart)).when(kind == 1, F.to_json(screen)).otherwise(F.to_json(contract))
+    provider = F.when(kind == 0, "chart").when(kind == 1, "screen").otherwise("contract")
+    parsed = feeds.quotes(events.select("event_id", provider.alias("provider"), payload.alias("payload")))
+    return parsed.select("event_id", "provider", "spot", F.round("day_change_pct", 6).alias("day_change_pct"), "reason")
