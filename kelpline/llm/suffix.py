@@ -11,7 +11,7 @@ Seeds with very many surroundings are cut into sub-shards. Each builds its own s
 hash, cut into ranges, and the lists of all sub-shards are merged by binary search.
 
 Defined cases: a null text is empty; texts shorter than 200 bytes lose nothing; rows with the same id are documents of their own, so equal ones
-remove each other; an empty table gives an empty result; other columns are not looked at.
+remove each other; a row without an id is answered, but not compared; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import checkpointed, n_partitions, slices
 from .shingles import mixed
 
-LENGTH, SEED = 200, 128
+LENGTH, SEED = 200, 112
 SIDE = LENGTH - SEED
 #: Bytes of text, and suffixes, that one numpy pass holds.
 PIECE, SUFFIXES = 1 << 20, 1 << 21
@@ -243,10 +243,11 @@ def _cut_marks(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFr
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, crc, lo, hi): byte ranges to remove; they may overlap. docs: doc_id, crc, text."""
     found = docs.mapInPandas(_found, "seed long, ctx long, doc_id long, crc long, pos int")
-    seeds = checkpointed(found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("subs", F.ceil(F.col("n") / HOT).cast("int")))
+    seeds = checkpointed(found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed", F.ceil(F.col("n") / HOT).cast("int").alias("subs")))
     cut = seeds.filter("subs > 1").limit(1).count() > 0
-    sub = F.pmod(F.xxhash64("doc_id", "pos"), F.col("subs")).cast("int")
-    met = found.join(seeds, "seed").withColumn("sub", sub if cut else F.lit(0))
+    # Sub-shard of a seed; -1 for a seed that isn't cut.
+    sub = F.when(F.col("subs") > 1, F.pmod(F.xxhash64("doc_id", "pos"), F.col("subs"))).otherwise(-1).cast("int")
+    met = found.join(seeds, "seed").withColumn("sub", sub if cut else F.lit(-1))
     keys = ["seed", "sub"] if cut else ["seed"]
     same = Window.partitionBy(*keys, "ctx")
     counted = met.withColumns({"same": F.count(F.lit(1)).over(same), "place": F.row_number().over(same.orderBy("doc_id", "pos"))})
@@ -256,16 +257,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     asked = kinds.filter("kinds > 1 or subs > 1").groupBy("doc_id", "crc").agg(*[F.collect_list(c).alias(to) for c, to in (("seed", "seed"), ("pos", "at"), ("sub", "sub"), ("lone", "lone"))])
     sent = asked.join(docs, ["doc_id", "crc"]).mapInPandas(_surroundings, "seed long, sub int, doc_id long, crc long, pos int, lone boolean, lo int, hi int, around binary")
     schema = "doc_id long, crc long, lo long, hi long"
+    shards = sent.filter("sub < 0").repartition(n_partitions(docs), "seed").sortWithinPartitions("seed")
+    found_again = whole.unionByName(shards.mapInPandas(_sharded, schema))
     if not cut:
-        shards = sent.repartition(n_partitions(docs), "seed").sortWithinPartitions("seed")
-        return whole.unionByName(shards.mapInPandas(_sharded, schema))
-    sent = checkpointed(sent.join(seeds.select("seed", "subs"), "seed"))
-    plain = sent.filter("subs = 1").repartition(n_partitions(docs), "seed").sortWithinPartitions("seed").mapInPandas(_sharded, schema)
-    hot = sent.filter("subs > 1")
+        return found_again
+    hot = sent.filter("sub >= 0")
     lists = hot.groupBy("seed", "sub").applyInPandas(_listed, "seed long, sub int, range int, hashes binary")
     shared = lists.groupBy("seed", "range").applyInPandas(_merged, "seed long, sub int, hashes binary")
-    marked = hot.groupBy("seed", "sub").cogroup(shared.groupBy("seed", "sub")).applyInPandas(_cut_marks, schema)
-    return whole.unionByName(plain).unionByName(marked)
+    return found_again.unionByName(hot.groupBy("seed", "sub").cogroup(shared.groupBy("seed", "sub")).applyInPandas(_cut_marks, schema))
 
 
 def _merge(lo: np.ndarray, hi: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -301,5 +300,8 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     texts = docs.select("doc_id", F.coalesce(F.crc32("text"), F.lit(0)).alias("crc"), "text")
-    ranges = repeats(texts).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    return texts.join(ranges, ["doc_id", "crc"], "left").mapInPandas(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # Both joins with the texts read one exchange: the same rows, with an id, by the same keys.
+    known = texts.filter("doc_id is not null")
+    ranges = repeats(known).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    unknown = texts.filter("doc_id is null").withColumn("ranges", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
+    return known.join(ranges, ["doc_id", "crc"], "left").unionByName(unknown).mapInPandas(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
