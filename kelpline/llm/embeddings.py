@@ -9,7 +9,7 @@ links are summed where they are found and pairs are never written out. A filter
 of their own. A vector that exceeds no filter goes to its best one.
 
 Defined cases: null and zero vectors and those with null or non-finite components have no links and are their own component; vectors of
-different lengths never link; rows with equal ids and vectors link as two vectors; an empty table gives an empty result.
+different lengths never link; a row without an id links with nothing; rows with equal ids and vectors link as two vectors; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -163,7 +163,7 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of ``vectors``."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select("vec_id", F.when(finite, F.col("embedding").cast("array<double>")).alias("vector"))
+    rows = vectors.select("vec_id", F.when(finite & F.col("vec_id").isNotNull(), F.col("embedding").cast("array<double>")).alias("vector"))
     classes = checkpointed(rows.filter("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size")))
     # A class is known by its least id; vectors of one id that differ share it.
     decoded = checkpointed(classes.mapInPandas(_decoded, "id long, size long, dims int, data binary, filters array<int>"))
@@ -183,4 +183,4 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     )
     out = join_groups(rows.filter("vector is not null"), named, ["vector"], "size").select("vec_id", "n_links", "component_id")
     lone = rows.filter("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(lone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

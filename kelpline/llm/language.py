@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -120,11 +121,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = sc.broadcast((model.langs, model.log_p))
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
-        for pdf in filter(len, batches):
-            pdf["lang_pred"], pdf["score"] = m.predict(pdf["text"].tolist())
-            yield pdf
+        for batch in batches:
+            langs, scores = m.predict(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in own])
-    return kept.mapInPandas(run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

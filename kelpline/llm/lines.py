@@ -6,7 +6,7 @@ a third of all documents spans many partitions, and sorted; each partition then
 compressed bitmap of the lines to keep; only that is joined with the texts.
 
 Defined cases: a null or empty text is one empty line; lines whose key is shorter than ``MIN_CHARS`` code points stay; rows with the same
-id count as one document and never lose lines to each other; an empty table gives an empty result.
+id count as one document and never lose lines to each other; a row without an id keeps its lines; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ def kept_lines(text: str | None, keep_bits: bytes | None) -> list[str]:
 
 def dropped_bitmaps(docs: DataFrame) -> DataFrame:
     """doc_id, row_hash, keep_bits (zlib of a bit for each line up to the last dropped, 0 where it goes), n_dropped of the documents that lose lines."""
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), "text").mapInPandas(_hashed, "h1 long, h2 long, doc_id long, row_hash long, at int")
+    rows = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), "text").mapInPandas(_hashed, "h1 long, h2 long, doc_id long, row_hash long, at int")
     order = ["h1", "h2", "doc_id", "row_hash", "at"]
     ranged = checkpointed(rows.repartitionByRange(n_partitions(docs), *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()))
     # The borders: first and last row of each partition.
@@ -131,5 +131,8 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def line_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every row."""
-    marked = with_bitmaps(docs).withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0)).cast("long"))
-    return marked.mapInPandas(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    marked = with_bitmaps(docs.filter("doc_id is not null")).withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0)).cast("long"))
+    schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
+    # Apart, as pandas would turn the ids of a batch with a null one into floating-point numbers.
+    lone = docs.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("binary").alias("keep_bits"), F.lit(0).cast("long").alias("n_dropped"))
+    return marked.mapInPandas(_digests, schema).unionByName(lone.mapInPandas(_digests, schema))

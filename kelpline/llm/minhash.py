@@ -11,7 +11,7 @@ members are then still in several components are looked at again, in pairs of bl
 candidate link that would join components is lost, and a bucket of near copies costs about two comparisons a member.
 
 Defined cases: texts without words form a class only if equal and not blank; null, empty and blank texts are never linked; rows with
-the same id are one document; ties in a class go to the smallest id; an empty table gives an empty result.
+the same id are one document; a row without an id is kept, and compared with none; ties in a class go to the smallest id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -168,6 +168,8 @@ def links(members: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest id of its near-duplicate group), class_size, kept: one row for each row of ``docs``."""
+    lone = docs.filter("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    docs = docs.filter("doc_id is not null")
     rows = checkpointed(sketches(docs))
     classes = checkpointed(rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.count(F.lit(1)).alias("n")))
     buckets = classes.filter("bands is not null").select("id", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("bucket"), "id").distinct()
@@ -177,4 +179,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = named.groupBy("class_id").agg(F.sum("n").alias("class_size"))
     groups = checkpointed(named.join(sizes, "class_id"))
     out = join_groups(rows.select("doc_id", "k1", "k2"), groups, ["k1", "k2"], "n")
-    return out.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return out.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept")).unionByName(lone)

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,10 +176,10 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, score, predicted of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(net.p)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(shared.value)
-        for pdf in filter(len, batches):
-            s = own.score(pdf["text"].tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": s, "predicted": (s >= THRESHOLD).astype(np.int32)})
+        for batch in batches:
+            s = own.score(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64()), pa.array(s >= THRESHOLD).cast(pa.int32())], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")

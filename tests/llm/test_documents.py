@@ -162,3 +162,22 @@ def test_pipeline(spark):
         assert stage(spark, odd, DATA).count() >= 0
         assert stage(spark, odd.limit(0), DATA).count() == 0
     assert sum(r["taken"] for r in mixing.mix(docs.filter(F.col("doc_id") < 0)).collect()) == 0
+
+
+def test_rows_without_an_id(spark):
+    from kelpline.llm import decontaminate, embeddings, lines, minhash, suffix
+
+    big = 2**60 + 1
+    text = "one two three four five six seven eight nine ten eleven " * 30
+    docs = spark.createDataFrame([(None, text, "en", "s", 1), (big, text, "en", "s", 1), (3, text, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    model = language.train(docs)
+    assert {r["doc_id"] for r in language.predict(docs, model).collect()} == {None, big, 3}
+    assert {r["doc_id"] for r in quality.score(docs, quality.Network()).collect()} == {None, big, 3}
+    assert {r["doc_id"]: r["kept"] for r in minhash.near_duplicates(docs).collect()} == {None: True, big: False, 3: True}
+    assert {r["doc_id"]: r["n_dropped"] for r in lines.line_digests(docs).collect()} == {None: 0, big: 1, 3: 0}
+    assert {r["doc_id"]: r["n_removed"] > 0 for r in suffix.removed(docs).collect()} == {None: False, big: True, 3: True}
+    assert decontaminate.decontaminate(docs, spark.createDataFrame([(1, text)], "item_id long, text string")).count() <= 3
+    assert len(key(mixing.mix(docs), "doc_id")) == 3 and len(key(sharding.shard_records(docs, 2)[0], "doc_id")) == 3
+    vectors = spark.createDataFrame([(None, [1.0, 2.0]), (big, [1.0, 2.0]), (3, [2.0, 4.0])], "vec_id long, embedding array<float>")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(vectors).collect()} == {None: (0, None, True), big: (1, 3, False), 3: (1, 3, True)}
