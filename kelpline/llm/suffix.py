@@ -92,7 +92,28 @@ def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text, pos, seed = anchors(texts[a:b])
             digest = xxhash.xxh3_64_intdigest
             around = [digest(texts[a + t][max(0, p - SIDE) : p + LENGTH], min(p, SIDE)) for t, p in zip(text.tolist(), pos.tolist(), strict=True)]
-            yield pd.DataFrame({"seed": seed.astype(np.int64), "ctx": np.array(around, np.uint64).astype(np.int64), "doc_id": ids[a + text], "crc": crcs[a + text], "pos": pos})
+            ctx = np.array(around, np.uint64)
+            once, own = _gathered(text, pos, seed, ctx)
+            text, pos, seed, ctx = text[once], pos[once], seed[once], ctx[once]
+            yield pd.DataFrame({"seed": seed.astype(np.int64), "ctx": ctx.astype(np.int64), "doc_id": ids[a + text], "crc": crcs[a + text], "pos": pos, "own": own})
+
+
+def _gathered(text: np.ndarray, pos: np.ndarray, seed: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One anchor for each kind of surroundings of a text, and the byte ranges of those that it holds several times (None for others).
+
+    So a text that repeats itself thousands of times sends one row for all of them.
+    """
+    key = mixed(mixed(mixed(seed) + ctx) + text.astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[starts, len(key)])
+    once = order[starts]
+    own = np.full(len(once), None, object)
+    for k in np.flatnonzero(times > 1):
+        at = pos[order[starts[k] : starts[k] + times[k]]]
+        own[k] = np.array(_merge(at - SIDE, at + LENGTH, int(at.max()) + LENGTH), np.int32).tobytes()
+    back = np.argsort(once)
+    return once[back], own[back]
 
 
 def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,7 +184,7 @@ def _runs(rows: pd.DataFrame, again: np.ndarray) -> pd.DataFrame:
     row, first = np.nonzero(edge == 1)
     last = np.nonzero(edge == -1)[1] - 1
     pos = rows["pos"].to_numpy()[row]
-    return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[row], "crc": rows["crc"].to_numpy()[row], "lo": pos - SIDE + first, "hi": pos - SIDE + last + LENGTH})
+    return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[row], "crc": rows["crc"].to_numpy()[row], "lo": pos - SIDE + first, "hi": pos - SIDE + last + LENGTH, "own": np.full(len(pos), None, object)})
 
 
 def _sharded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,7 +254,7 @@ def _merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 def _cut_marks(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Runs of one sub-shard: strings that occur again in it, or elsewhere."""
     if not len(left):
-        return pd.DataFrame(columns=["doc_id", "crc", "lo", "hi"]).astype("int64")
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc_id", "crc", "lo", "hi")} | {"own": np.zeros(0, object)})
     rows, whole, again = _marks(left)
     elsewhere = np.sort(np.frombuffer(b"".join(right["hashes"]), np.uint64))
     again |= whole & np.isin(_string_hashes(rows), elsewhere)
@@ -241,22 +262,23 @@ def _cut_marks(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFr
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, crc, lo, hi): byte ranges to remove; they may overlap. docs: doc_id, crc, text."""
-    found = docs.mapInPandas(_found, "seed long, ctx long, doc_id long, crc long, pos int")
-    seeds = checkpointed(found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed", F.ceil(F.col("n") / HOT).cast("int").alias("subs")))
+    """(doc_id, crc, lo, hi, own): byte ranges to remove; they may overlap; own, where there is one, holds them instead. docs: doc_id, crc, text."""
+    found = docs.mapInPandas(_found, "seed long, ctx long, doc_id long, crc long, pos int, own binary")
+    times = F.when(F.col("own").isNull(), 1).otherwise(2)  # more than one, if it is not 1
+    seeds = checkpointed(found.groupBy("seed").agg(F.sum(times).alias("n")).filter("n > 1").select("seed", F.ceil(F.col("n") / HOT).cast("int").alias("subs")))
     cut = seeds.filter("subs > 1").limit(1).count() > 0
     # Sub-shard of a seed; -1 for a seed that isn't cut.
     sub = F.when(F.col("subs") > 1, F.pmod(F.xxhash64("doc_id", "pos"), F.col("subs"))).otherwise(-1).cast("int")
     met = found.join(seeds, "seed").withColumn("sub", sub if cut else F.lit(-1))
     keys = ["seed", "sub"] if cut else ["seed"]
     same = Window.partitionBy(*keys, "ctx")
-    counted = met.withColumns({"same": F.count(F.lit(1)).over(same), "place": F.row_number().over(same.orderBy("doc_id", "pos"))})
-    whole = counted.filter("same > 1").select("doc_id", "crc", (F.col("pos") - SIDE).cast("long").alias("lo"), (F.col("pos") + LENGTH).cast("long").alias("hi"))
+    counted = met.withColumns({"same": F.sum(times).over(same), "place": F.row_number().over(same.orderBy("doc_id", "pos"))})
+    whole = counted.filter("same > 1").select("doc_id", "crc", (F.col("pos") - SIDE).cast("long").alias("lo"), (F.col("pos") + LENGTH).cast("long").alias("hi"), "own")
     # One of each kind of surroundings is enough; seeds with one kind have nothing to compare.
     kinds = counted.filter("place = 1").withColumns({"kinds": F.count(F.lit(1)).over(Window.partitionBy(*keys)), "lone": F.col("same") == 1})
     asked = kinds.filter("kinds > 1 or subs > 1").groupBy("doc_id", "crc").agg(*[F.collect_list(c).alias(to) for c, to in (("seed", "seed"), ("pos", "at"), ("sub", "sub"), ("lone", "lone"))])
     sent = asked.join(docs, ["doc_id", "crc"]).mapInPandas(_surroundings, "seed long, sub int, doc_id long, crc long, pos int, lone boolean, lo int, hi int, around binary")
-    schema = "doc_id long, crc long, lo long, hi long"
+    schema = "doc_id long, crc long, lo long, hi long, own binary"
     shards = sent.filter("sub < 0").repartition(n_partitions(docs), "seed").sortWithinPartitions("seed")
     found_again = whole.unionByName(shards.mapInPandas(_sharded, schema))
     if not cut:
@@ -286,7 +308,7 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             data = (text or "").encode("utf-8", "surrogatepass")
             gone: list[tuple[int, int]] = []
             if ranges is not None and len(ranges):
-                pairs = np.asarray([(r["lo"], r["hi"]) for r in ranges], np.int64)
+                pairs = np.concatenate([np.array([(r["lo"], r["hi"])]) if r["own"] is None else np.frombuffer(r["own"], np.int32).reshape(-1, 2) for r in ranges]).astype(np.int64)
                 gone = _merge(pairs[:, 0], pairs[:, 1], len(data))
             kept, at = [], 0
             for a, b in gone:
@@ -302,6 +324,8 @@ def removed(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce(F.crc32("text"), F.lit(0)).alias("crc"), "text")
     # Both joins with the texts read one exchange: the same rows, with an id, by the same keys.
     known = texts.filter("doc_id is not null")
-    ranges = repeats(known).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    unknown = texts.filter("doc_id is null").withColumn("ranges", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
-    return known.join(ranges, ["doc_id", "crc"], "left").unionByName(unknown).mapInPandas(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    ranges = repeats(known).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("lo", "hi", "own")).alias("ranges"))
+    unknown = texts.filter("doc_id is null").withColumn("ranges", F.lit(None).cast("array<struct<lo:bigint,hi:bigint,own:binary>>"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    # Apart, as pandas would turn the ids of a batch with a null one into floating-point numbers.
+    return known.join(ranges, ["doc_id", "crc"], "left").mapInPandas(_digests, schema).unionByName(unknown.mapInPandas(_digests, schema))
