@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.functions.text import allowed_id, salvage_json, used_numbers
+from kelpline.functions.text import CAVEAT, allowed_id, salvage_json, used_numbers
 from kelpline.operators.routes import masked_total
 
 #: States of a lane, ways that a question can go, and screens that an answer may point to.
@@ -64,7 +64,7 @@ def routed(raw: Column) -> Column:
     return F.struct(way.alias("way"), text.alias("text"), target.alias("target"), problem.alias("problem"))
 
 
-def cited_answer(raw: Column, hits: Column, caveat: str) -> Column:
+def cited_answer(raw: Column, hits: Column, caveat: str = CAVEAT) -> Column:
     """struct(answer, used, caveat) of a model's JSON: numbers out of range go, a blank caveat becomes the default."""
     parsed = F.from_json(salvage_json(raw), "answer string, used array<int>, caveat string")
     return F.struct(parsed["answer"].alias("answer"), used_numbers(F.coalesce(parsed["used"], F.array().cast("array<int>")), hits).alias("used"), F.coalesce(F.nullif(F.trim(parsed["caveat"]), F.lit("")), F.lit(caveat)).alias("caveat"))

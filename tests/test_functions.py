@@ -23,6 +23,7 @@ def test_tokens(spark):
         ("<script>x</p></script>a&nbsp;b<!-- c -->", "a b"),
         ("&#x41;&#66;&#x1F600;&unknown;z", "AB😀 z"),
         ("&#x110000;q", "q"),
+        ("a\u00a0\t b", "a b"),
         (None, ""),
     ],
 )
@@ -36,7 +37,7 @@ def test_model_answers(spark):
     assert value(spark, T.salvage_json(F.lit('say {"a": 1} ok'))) == '{"a": 1}'
     assert value(spark, T.salvage_json(F.lit("{no json}"))) is None
     assert value(spark, T.normal_refusal(F.lit("x " + T.NOT_FOUND + " y"))) == T.NOT_FOUND
-    assert value(spark, T.clean_query(F.lit('\n  Query: "port of call"\nmore'))) == "port of call"
+    assert value(spark, T.clean_query(F.lit('\n  Query: "port of call"\nmore'), F.lit("q"))) == 'port of call'
     assert value(spark, T.citation_excerpt(F.lit("x" * 401))) == "x" * 400 + "…"
     assert value(spark, T.citation_excerpt(F.lit(None).cast("string"))) == ""
     assert value(spark, T.allowed_id(F.lit("made-up"), ["report"])) is None
