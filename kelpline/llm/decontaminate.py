@@ -1,9 +1,9 @@
 """Benchmark decontamination by SimHash over item-sized windows, in DataFrame functions only.
 
 Words are longest runs of letters and digits, lower-cased; shingles are five words. A window of a document has as many shingles as the
-item that it is held against. A window whose weighted Jaccard similarity with an item of n shingles is 0.8 or more has at least
-n * 1.6 / 1.8 positions whose shingle is in the item, so the places where windows start come, without loss, from a join of shingles
-with the items' shingles. Each such window and each item get a SimHash fingerprint; ``RADIUS`` + 1 blocks of it are indexed, so that any two
+item that it is held against, or fewer where the text ends. A window whose weighted Jaccard similarity with an item of n shingles is 0.8
+or more has at least 0.8 n positions whose shingle is in the item, so the places where windows start come, without loss, from a join of
+shingles with the items' shingles. (Only windows of n shingles have 1.6 / 1.8 n; one that the text's end cuts may be 0.8 n shared ones.) Each such window and each item get a SimHash fingerprint; ``RADIUS`` + 1 blocks of it are indexed, so that any two
 fingerprints within the radius share a block (seven standard deviations beyond what similarity 0.8 gives); pairs within the radius are
 verified by the exact weighted similarity of their shingles.
 
@@ -73,7 +73,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, hamming: the best window of each pair of a document and an item that it holds."""
     items = checkpointed(
         benchmark.filter("item_id is not null").select("item_id", shingles(words(F.col("text"))).alias("item")).filter(F.size("item") > 0)
-        .withColumn("n", F.size("item")).withColumn("need", F.ceil(F.col("n") * (2 * SIMILARITY) / (1 + SIMILARITY) - 1e-9).cast("int"))
+        .withColumn("n", F.size("item")).withColumn("need", F.ceil(F.col("n") * SIMILARITY - 1e-9).cast("int"))
     )
     index = items.select("item_id", "n", "need", F.explode(F.array_distinct("item")).alias("shingle"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))

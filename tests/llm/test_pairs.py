@@ -125,6 +125,23 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 == decontaminate.contaminated(docs.limit(0), bench).count()
 
 
+def test_decontamination_of_cut_items(spark):
+    """Documents that end with, or are, a part of an item: the last window is shorter than the item."""
+    rng = random.Random(16)
+    items = [prose(rng, n) for n in (9, 24, 59, 104)]
+    texts, want = [], {}
+    for i, item in enumerate(items):
+        w, n = item.split(), len(item.split()) - 4
+        for shared in range(int(0.7 * n), n + 1):
+            for text in (" ".join(w[: shared + 4]), prose(rng, 30) + " " + " ".join(w[: shared + 4]), " ".join(w[-shared - 4 :])):
+                if 10 * shared >= 8 * n:
+                    want[len(texts)] = (i, round(shared / n, 9))
+                texts.append(text)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decontaminate.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {r["doc_id"]: (r["item_id"], round(r["similarity"], 9)) for r in rows} == want
+
+
 def test_lines(spark):
     rng = random.Random(8)
     pool = [" Shared LINE number %d\t" % k for k in range(9)] + ["short", "", "é" * 10, "shared line number 1"]
