@@ -1,7 +1,7 @@
 """HTML extraction: the blocks of a page, and nearest-URL page differencing.
 
 A page is cut into blocks of text. What markup names as menu, header, footer, sidebar, notice, advert, form, script, style or
-reader comment goes. Where a page marks its article (``article``, ``main``), the blocks inside are its text.
+reader comment goes, but for a frame that holds the page's article. Where a page marks its article (``article``, ``main``), the blocks inside are its text.
 
 On other pages the boilerplate is found by differencing: pages are paired with their neighbours by URL path within their host, the blocks of
 both are aligned by longest common subsequence, and shared blocks are deleted. A neighbour that shares more than half of a page's text is
@@ -11,7 +11,8 @@ Pages to pair are range-partitioned by (host, path, id), so a host with a third
 meets its neighbour through a table of the borders, two pages for each partition.
 
 Defined cases: null and empty html give an empty text; a null URL is the host and path ""; rows with equal ids and URLs are pages of their own
-and, being copies, not differenced; a single page of a host keeps all blocks; unclosed elements end with their parent or the page.
+and, being copies, not differenced; a single page of a host keeps all blocks; unclosed elements end where
+HTML ends them (at the next paragraph, item or cell), with their parent or the page.
 """
 
 from __future__ import annotations
@@ -52,6 +53,18 @@ _DROP_WORDS = frozenset(
 )
 _HEADER_WORDS = frozenset(["header"])
 _COMMENT_WORDS = frozenset("comment comments reply replies".split())
+#: A class such as has-sidebar or page-with-nav tells of a page that has one, or none; it doesn't name one.
+_TELLS = frozenset("has have no not with without".split())
+#: Start tags that end an open element of the key, unless one of its containers was opened since.
+_ENDED_BY = {
+    "p": frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split()),
+    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option", "optgroup"]), "optgroup": frozenset(["optgroup"]),
+    "td": frozenset("td th tr tbody thead tfoot".split()), "th": frozenset("td th tr tbody thead tfoot".split()), "tr": frozenset("tr tbody thead tfoot".split()),
+    "tbody": frozenset("tbody tfoot".split()), "thead": frozenset("tbody tfoot".split()), "tfoot": frozenset(["tbody"]),
+}
+#: Elements that a stray end tag inside them doesn't reach beyond, but for those of the table itself.
+_CELL = frozenset("td th caption".split())
+_TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
 
 
 def _words(attrs: str) -> tuple[set[str], bool]:
@@ -61,20 +74,66 @@ def _words(attrs: str) -> tuple[set[str], bool]:
     for name, a, b, c, bare in _ATTR.findall(attrs):
         value = (a or b or c).lower()
         if name.lower() in ("class", "id", "role"):
-            words.update(re.split(r"[^a-z0-9]+", value))
+            for token in value.split():
+                parts = re.split(r"[^a-z0-9]+", token)
+                if not _TELLS.intersection(parts):
+                    words.update(parts)
         hidden = hidden or bool(bare) or (name.lower() == "aria-hidden" and value == "true") or (name.lower() == "style" and "display:none" in value.replace(" ", ""))
     return words, hidden
 
 
+def _closed(tags: list[tuple[str, int]], name: str) -> int | None:
+    """Place in the open elements of the one that an end tag closes, if any."""
+    for i in range(len(tags) - 1, -1, -1):
+        if tags[i][0] == name:
+            return i
+        if tags[i][0] in _CELL and name not in _TABLE:
+            return None
+    return None
+
+
+def _ended(tags: list[tuple[str, int]], name: str) -> int | None:
+    """Place in the open elements of the outermost one that a start tag ends, as HTML has it for paragraphs, list items and cells."""
+    found = None
+    for i in range(len(tags) - 1, -1, -1):
+        open_name = tags[i][0]
+        if name in _ENDED_BY.get(open_name, ()):
+            found = i
+        elif open_name in _BLOCK and open_name not in _ENDED_BY:
+            break
+    return found
+
+
 def page_blocks(page: str | None) -> tuple[list[str], bool]:
-    """Blocks of a page in order, and whether they come from a marked article."""
+    """Blocks of a page in order, and whether they come from a marked article.
+
+    An element that would be dropped but holds ``main``, or the only articles of the page, is its frame and stays. Where the page has more
+    text outside of it than in it, that text stays too.
+    """
     page = page or ""
+    every, inside, seen_mark, mains, articles = _parsed(page, frozenset())
+    frames = mains if seen_mark else mains | articles
+    if not frames:
+        return (inside, True) if seen_mark else (every, False)
+    all_blocks, marked_blocks, _, _, _ = _parsed(page, frames)
+    if sum(map(len, marked_blocks)) >= sum(map(len, inside if seen_mark else every)):
+        return marked_blocks, True
+    return all_blocks, False
+
+
+def _parsed(page: str, frames: frozenset[int]) -> tuple[list[str], list[str], bool, frozenset[int], frozenset[int]]:
+    """Blocks, those in marked articles, whether there is one, and places of the dropped elements that hold main or article. Those at ``frames`` stay."""
     every: list[str] = []
     inside: list[str] = []
     piece: list[str] = []
     marked = 0  # open article and main elements
     seen_mark = False
-    drop, drop_depth = "", 0
+    drop = ""
+    outer: list[tuple[str, int]] = []  # open block elements, with their places
+    inner: list[tuple[str, int]] = []  # the same from the dropped element on
+    comments = False
+    mains: set[int] = set()
+    articles: set[int] = set()
     only_headings, heading_depth = 0, 0  # inside a header of a marked article: open elements of its name
     header_tag, in_heading = "", False
     at, end = 0, len(page)
@@ -101,13 +160,38 @@ def page_blocks(page: str | None) -> tuple[list[str], bool]:
             continue
         closing, attrs = bool(m[1] or m[4]), m[3] or m[6] or ""
         if drop:
-            if name in ("article", "main") and not closing and drop not in ("article",) and drop_depth == 1 and f"</{drop}" not in page[at:].lower():
-                drop, drop_depth = "", 0
+            if closing:
+                to = _closed(inner, name)
+                if to is not None:
+                    del inner[to:]
+                    if not inner:
+                        drop = ""
+                    continue
+                if name not in _BLOCK or any(t in _CELL for t, _ in inner) and name not in _TABLE or _closed(outer, name) is None:
+                    continue
+                drop = ""  # the parent's end
             else:
-                if name == drop and name not in _VOID and not attrs.endswith("/"):
-                    drop_depth += -1 if closing else 1
-                    if not drop_depth:
+                to = _ended(inner, name)
+                if to is None and name in ("article", "main") and drop != "article" and sum(t == drop for t, _ in inner) == 1:
+                    low = low if low is not None else page.lower()
+                    to = 0 if low.find(f"</{drop}", at) < 0 else None  # never closed
+                if to is not None:
+                    del inner[to:]
+                    if not inner:
                         drop = ""
+            if drop:
+                if name in _RAW and not attrs.endswith("/"):
+                    low = low if low is not None else page.lower()
+                    to = low.find(f"</{name}", at)
+                    if to >= 0:
+                        at = to
+                    continue
+                if (name in _BLOCK or name == drop) and name not in _VOID and not attrs.endswith("/"):
+                    if name in ("article", "main"):
+                        words, hidden = _words(attrs)
+                        if not hidden and not words & _COMMENT_WORDS and (name == "main" or not comments):
+                            (mains if name == "main" else articles).update(i for _, i in inner)
+                    inner.append((name, m.start()))
                 continue
         if not closing and name in _RAW:
             if attrs.endswith("/"):
@@ -127,6 +211,12 @@ def page_blocks(page: str | None) -> tuple[list[str], bool]:
             continue
         if name in _BLOCK:
             close_block()
+        if name in _BLOCK and name not in _VOID and not attrs.endswith("/"):
+            to = _closed(outer, name) if closing else _ended(outer, name)
+            if to is not None:
+                del outer[to:]
+            if not closing:
+                outer.append((name, m.start()))
         if closing:
             if name in ("article", "main") and marked:
                 marked -= 1
@@ -139,27 +229,34 @@ def page_blocks(page: str | None) -> tuple[list[str], bool]:
             continue
         words, hidden = _words(attrs) if attrs else (set(), False)
         if name in ("article", "main"):
-            if words & _COMMENT_WORDS or hidden:
-                drop, drop_depth = name, 1
+            if (words & _COMMENT_WORDS or hidden) and m.start() not in frames:
+                drop = name
             else:
                 marked += 1
                 seen_mark = True
+        elif m.start() in frames:
+            pass
         elif name not in ("body", "html") and (name in _DROP or hidden or words & _DROP_WORDS):
             close_block()
-            drop, drop_depth = name, 1
+            drop = name
         elif name == "header" or (words & _HEADER_WORDS and name in _BLOCK and name not in ("body", "html")):
             if not marked:
-                drop, drop_depth = name, 1
+                drop = name
             elif not only_headings:
                 only_headings, header_tag = 1, name
             elif name == header_tag:
                 only_headings += 1
         elif only_headings and name == header_tag:
             only_headings += 1
-        if name in _HEADING:
+        if drop:
+            if name in _BLOCK:
+                outer.pop()
+            inner = [(name, m.start())]
+            comments = bool(words & _COMMENT_WORDS)
+        elif name in _HEADING:
             in_heading = True
     close_block()
-    return (inside, True) if seen_mark else (every, False)
+    return every, inside, seen_mark, frozenset(mains), frozenset(articles)
 
 
 def lcs_mask(a: list[int], b: list[int]) -> list[bool]:

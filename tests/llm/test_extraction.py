@@ -13,6 +13,24 @@ def test_blocks_of_marked_page():
     assert extraction.page_blocks('<script>var t="</p>";</script><p>a<p>b') == (["a", "b"], False)
 
 
+def test_articles_do_not_vanish():
+    def text(page):
+        return extraction.page_blocks(page)[0]
+
+    for frame in ("site has-sidebar", "no-comments", "page-with-nav", "sidebar", "widget"):
+        assert text(f"<body><div class='{frame}'><nav>m</nav><article><h1>T</h1><p>All of it.</p></article></div><footer>f</footer>") == ["T", "All of it."]
+    assert text("<form id='f'><nav>m</nav><main>A</main></form><article>B</article>") == ["A", "B"]
+    assert text("<article><p class='notice'>ad<p>One.</p><p>Two.</p></article>") == ["One.", "Two."]
+    assert text("<article><ul><li class='share'>s<li>One</ul><p>Two.</p></article>") == ["One", "Two."]
+    assert text("<article><section><div class='share'>s<p>t</section><p>Two.</p></article>") == ["Two."]
+    assert text("<article><table><tr><td class='ad'>s<td>One<tr><td>2</table><p>Two.</p></article>") == ["One", "2", "Two."]
+    assert text("<main><div class='ad'>x<article>A</article></main>") == ["A"]
+    # What holds no page's article still goes.
+    assert text("<main><p>A</p></main><div class='related'><article>teaser</article></div>") == ["A"]
+    assert text("<div>The whole post</div><section class='comments'><article>hi</article></section>") == ["The whole post"]
+    assert text("<main><ul><li class='related'><article>teaser</article></li><li>B</li></ul></main>") == ["B"]
+
+
 def test_lcs_mask_is_longest(monkeypatch):
     def longest(a, b):
         best = [0] * (len(b) + 1)
