@@ -36,10 +36,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: each document as many times as it is taken, 0 to 2. Rows without an id can't be drawn again and are left out."""
-    taken = mixing.mix(docs).filter("doc_id is not null and repeats > 0").select("doc_id", "source", "repeats").groupBy("doc_id", "source").agg(F.max("repeats").alias("repeats"))
-    copies = docs.alias("d").join(taken.alias("t"), F.expr("d.doc_id = t.doc_id and d.source <=> t.source")).select("d.*", "t.repeats")
-    return copies.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))).alias("_copy")).drop("_copy")
+    """The mixture: each document as many times as it is taken, 0 to 2, with or without an id."""
+    return mixing.mixture(docs).select(*COLUMNS)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,12 +5,12 @@ there, and the excess is dealt again to the rest by weight until no source is ab
 whole repetitions of all its documents plus one more of a seeded choice of them.
 
 Defined cases: null and empty texts have size 0 and take 0; a null source is a source of its own, the last; sources of size 0
-get target 0; repeated ids are separate rows with equal draws; an empty table gives an empty result.
+get target 0; repeated ids are separate rows with equal draws; rows without an id draw by their text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,6 +23,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL, MAX_EPOCHS = 1.5, 2.0
 #: Draws per source are cut into so many cells; only the cell that the share ends in is ordered row by row.
 CELLS = 4096
+#: Cells that are broadcast to the texts; more are joined by a shuffle.
+MAX_BROADCAST = 200_000
 SEED = "mix-1"
 
 
@@ -44,21 +46,42 @@ def water_fill(sizes: list[int], weights: list[float], total: float, max_epochs:
     return target
 
 
+def words(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def drawn(docs: DataFrame) -> DataFrame:
+    """The rows with a seeded draw that depends on the id alone, or on the text where there is no id, and its cell."""
+    who = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), who)), 1, 15), 16, 10).cast("long")
+    return docs.withColumn("draw", draw).withColumn("cell", F.pmod(F.col("draw"), F.lit(CELLS)).cast("int"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """The rows without their texts: words, and a seeded draw that depends on the id alone."""
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string"))), 1, 15), 16, 10).cast("long")
-    return docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), draw.alias("draw")
-    ).withColumn("cell", F.pmod(F.col("draw"), F.lit(CELLS)).cast("int"))
+    """The rows without their texts: words, draw and cell."""
+    return drawn(docs.select("doc_id", "source", "text")).select("doc_id", "source", words("text").alias("size"), "draw", "cell")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, repeats for every row.
+    """doc_id, source, size, source_size, target, taken, repeats for every row."""
+    rows = checkpointed(sized(docs))
+    return _repeats(rows, _ends(docs, rows, weights, total, max_epochs)).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
+
 
-    Sizes are summed per (source, cell of the draw) before they are shuffled; sources are never gathered. A source's fractional
-    repetition goes to the cells below the one where the share ends, and there to the rows below the share, in the order of their draws.
+def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+    """The rows of ``docs``, each as many times as it is taken. Texts go along, so no id is needed to find them again."""
+    ends = _ends(docs, checkpointed(sized(docs)), weights, total, max_epochs)
+    taken = _repeats(drawn(docs), ends).filter("repeats > 0")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))).alias("_copy")
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], copies).drop("_copy")
+
+
+def _ends(docs: DataFrame, rows: DataFrame, weights: tuple[float, ...], total: float, max_epochs: float) -> DataFrame:
+    """What is taken of each (source, cell of the draw): source_size, target, whole and part of its source, cell_size, and the words below it.
+
+    Sizes are summed per cell before they are shuffled; sources are never gathered. A source's fractional repetition goes to the cells below
+    the one where the share ends, and there to the rows below the share, in the order of their draws.
     """
-    rows = checkpointed(sized(docs))
     cells = checkpointed(rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")))
     sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")).collect()  # a row for each source
     sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # by code point, null last
@@ -72,10 +95,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TO
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     running = cells.withColumn("below", F.coalesce(F.sum("cell_size").over(before), F.lit(0)))
     ends = running.alias("c").join(F.broadcast(plan.alias("p")), F.expr("c.source <=> p.source")).select("c.*", "p.source_size", "p.target", "p.whole", "p.part")
+    return F.broadcast(ends) if cells.count() <= MAX_BROADCAST else ends
+
+
+def _repeats(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows with how often each is taken. Words of rows that come with their texts are only counted where the share ends."""
     joined = rows.alias("r").join(ends.alias("e"), F.expr("r.cell = e.cell and r.source <=> e.source")).select("r.*", "e.cell_size", "e.below", "e.source_size", "e.target", "e.whole", "e.part")
     inside = (F.col("below") < F.col("part")) & (F.col("below") + F.col("cell_size") > F.col("part"))
     # The cell that a share ends in: about one row in CELLS, ordered by draw; the row nearest the share is where it stops.
     in_cell = Window.partitionBy("source", "cell").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    split = joined.filter(inside).withColumn("upto", F.col("below") + F.sum("size").over(in_cell)).withColumn("more", (F.col("upto") - F.col("size") / 2 <= F.col("part")).cast("long")).drop("upto")
+    size = F.col("size") if "size" in rows.columns else words("text")
+    split = joined.filter(inside).withColumn("_size", size).withColumn("_upto", F.col("below") + F.sum("_size").over(in_cell))
+    split = split.withColumn("more", (F.col("_upto") - F.col("_size") / 2 <= F.col("part")).cast("long")).drop("_size", "_upto")
     even = joined.filter(~inside).withColumn("more", (F.col("below") + F.col("cell_size") <= F.col("part")).cast("long"))
-    return even.unionByName(split).withColumn("repeats", F.col("whole") + F.col("more")).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
+    return even.unionByName(split).withColumn("repeats", F.col("whole") + F.col("more"))

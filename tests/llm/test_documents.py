@@ -94,6 +94,25 @@ def test_water_fill():
     assert mixing.water_fill([10], [1], 99) == [20.0] and mixing.water_fill([], [], 0) == []
 
 
+def test_mixture_keeps_rows_without_an_id(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    rows = [(None if i % 3 else i, f"row {i} " + "w " * rng.randrange(1, 40), "en", "ab"[i % 2], i) for i in range(900)]
+    rows += [(5, "one", "en", "a", 1), (5, "another text", "en", "a", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.mix_sources(spark, docs, "").collect()
+    plan = {r["source"]: r["target"] for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    for source, target in plan.items():
+        taken = sum(len(r["text"].split()) for r in got if r["source"] == source)
+        assert abs(taken - target) <= 21
+    assert {tuple(r) for r in got} <= set(rows)
+    without = sum(r["doc_id"] is None for r in got) / len(got)
+    assert 0.6 < without < 0.73
+    again = p.mix_sources(spark, docs.repartition(5), "").collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_mix(spark):
     rng = random.Random(3)
     rows = [(i, " ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(0, 40))), rng.choice(["b", "a", "ü", None, "b", "b"])) for i in range(600)]
