@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that a lost executor recomputes nothing before it.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where there is none.
+    The folder is the session's ``spark.checkpoint.dir``; without one this is an error, as any other folder might not be shared.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kelpline-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+class CharClass:
+    """A test of characters as a look-up of code points: a table of the first plane, the others asked one by one as they come."""
+
+    def __init__(self, test: Callable[[str], bool]):
+        self.test = test
+        self.first = np.array([test(chr(i)) for i in range(1 << 16)])
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        mask = self.first[np.minimum(codes, (1 << 16) - 1)]
+        high = np.flatnonzero(codes >= 1 << 16)
+        if len(high):
+            kinds, at = np.unique(codes[high], return_inverse=True)
+            mask[high] = np.array([self.test(chr(i)) for i in kinds.tolist()])[at]
+        return mask
+
+
 def n_partitions(df: DataFrame) -> int:
     """Partitions for an explicit exchange: the session's own setting."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

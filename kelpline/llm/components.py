@@ -8,26 +8,25 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether a node hangs on several others, or on one that hangs itself. No edges are settled."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every end of (a, b) edges; component is the smallest id reached.
+    """(id, component) of every end of (a, b) edges; component is the smallest id reached. No edges give no rows.
 
     Each step hangs the neighbours of a node on the smallest of them: first the larger neighbours, then the smaller ones. The least
     neighbour of a node is a partial aggregation, and what is joined back is one row a node, so a node with very many edges is
-    split like any skewed join side. Ends when a round changes nothing; self loops are ignored; no edges give no rows.
+    split like any skewed join side. Ends when every node but the roots hangs on a root; self loops are ignored.
     """
     now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
+    while _unsettled(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         now = checkpointed(small)
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("h")).first()
-        if seen == before:
-            break
-        before = seen
-    star = now.groupBy("u").agg(F.min("v").alias("component"))
-    roots = now.select(F.col("v").alias("u"), F.col("v").alias("component"))
-    return star.unionByName(roots).groupBy(F.col("u").alias("id")).agg(F.min("component").alias("component"))
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

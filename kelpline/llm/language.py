@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import slices
+from .common import CharClass, slices
 
 #: Bins of the hashed n-grams, as a power of two, and code points that one numpy pass holds.
 BITS, PIECE = 15, 1 << 19
@@ -28,7 +28,7 @@ ALPHA = 0.5
 UNKNOWN = "und"
 _SHIFT = np.uint64(64 - BITS)
 _MUL = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
-_LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
+_LETTER = CharClass(str.isalpha)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -52,7 +52,7 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _grams(codes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bin, row) of the one-, two- and three-grams that end in a letter; every other character counts as a blank."""
-    letter = np.where(codes < 1 << 16, _LETTER[np.minimum(codes, (1 << 16) - 1)], True)
+    letter = _LETTER(codes)
     c = np.where(letter, codes, 32).astype(np.uint64)
     at = np.flatnonzero(letter[2:]) + 2
     one = c[at] * _MUL[0]

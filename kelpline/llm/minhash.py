@@ -5,13 +5,14 @@ their weights as rates; an arrival falls on a random component, and a component
 stops as soon as its next arrival is later than every component's (early termination). Two texts then agree in a component with their
 probability Jaccard similarity. Components are banded, and candidates are verified exactly by the weighted Jaccard similarity of their shingles.
 
-Texts with the same words are one class from the start (a partial aggregation, so thousands of copies cost no pair). Members of a
-bucket are not paired with each other: first each is verified against the least and the greatest of its bucket. Only buckets whose
-members are then still in several components are looked at again, in pairs of blocks of bounded size, between components only. So no
-candidate link that would join components is lost, and a bucket of near copies costs about two comparisons a member.
+Texts with the same words are one class from the start (a partial aggregation, so thousands of copies cost no pair). The buckets of one
+least member, their hub, are one group; it is cut into blocks of bounded size by a hash, and the hub comes to each of them. In a block all
+members are compared, but for those that are already linked through others. So a bucket of one block is done; buckets of several blocks whose
+members are still in several components are looked at again, a pair of blocks at a time. No candidate link that would join components is lost.
 
 Defined cases: texts without words form a class only if equal and not blank; null, empty and blank texts are never linked; rows with
-the same id are one document; a row without an id is kept, and compared with none; ties in a class go to the smallest id; an empty table gives an empty result.
+the same id and words are one document; rows of one id with other words are compared as texts of their own; a row without an id is kept, and
+compared with none; ties in a class go to the smallest id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import checkpointed, join_groups
+from .common import checkpointed, join_groups, n_partitions
 from .components import components
-from .shingles import mixed, shingled, weighted
+from .shingles import WIDTH, mixed, shingled, weighted
 
 SIMILARITY = 0.8
-#: Members of a block; a task compares two blocks at most.
-BLOCK = 256
+#: Members and shingles of a block, about; a task holds two blocks at most.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 BANDS, BAND_ROWS = 16, 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,7 +60,7 @@ def prob_minhash(h: np.ndarray, of: np.ndarray, weight: np.ndarray, n_rows: int,
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in filter(len, batches):
-        texts, ids = pdf["text"].tolist(), pdf["doc_id"].to_numpy()
+        texts, ids, row_hash = pdf["text"].tolist(), pdf["doc_id"].to_numpy(), pdf["row_hash"].to_numpy()
         for a, n, h, of, count, k1, k2 in shingled(texts):
             element, row, weight = weighted(h, of)
             who = prob_minhash(element, row, weight, n).reshape(n, BANDS, BAND_ROWS)
@@ -70,28 +72,32 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 text = (texts[a + i] or "").strip()
                 digest = xxhash.xxh3_128_intdigest(text.encode("utf-8", "surrogatepass") if text else b"\0%d" % ids[a + i])
                 keys[0][i], keys[1][i] = np.array([digest & (2**64 - 1), digest >> 64], np.uint64).astype(np.int64)
-            yield pd.DataFrame({"doc_id": ids[a : a + n], "k1": keys[0], "k2": keys[1], "n_words": count, "bands": list(bands.astype(np.int64))})
+            yield pd.DataFrame({"doc_id": ids[a : a + n], "row_hash": row_hash[a : a + n], "k1": keys[0], "k2": keys[1], "n_words": count, "bands": list(bands.astype(np.int64))})
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, k1 and k2 (the words' hash), n_words, bands (null for texts without words)."""
-    rows = docs.select("doc_id", "text").mapInPandas(_sketches, "doc_id long, k1 long, k2 long, n_words long, bands array<long>")
+    """doc_id, row_hash (of the text), k1 and k2 (the words' hash), n_words, bands (null for texts without words)."""
+    rows = _texts(docs).mapInPandas(_sketches, "doc_id long, row_hash long, k1 long, k2 long, n_words long, bands array<long>")
     return rows.withColumn("bands", F.when(F.col("n_words") > 0, F.col("bands")))
 
 
 def _shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in filter(len, batches):
-        texts, ids = pdf["text"].tolist(), pdf["id"].to_numpy()
+        texts, ids, row_hash = pdf["text"].tolist(), pdf["doc_id"].to_numpy(), pdf["row_hash"].to_numpy()
         for a, n, h, of, _, _, _ in shingled(texts):
             element, row, weight = weighted(h, of)
             cuts = np.r_[0, np.cumsum(np.bincount(row, minlength=n))]
             parts = [slice(cuts[i], cuts[i + 1]) for i in range(n)]
-            once = [bool((weight[p] == 1).all()) for p in parts]
             yield pd.DataFrame({
                 "id": ids[a : a + n],
+                "row_hash": row_hash[a : a + n],
                 "hashes": [element[p].tobytes() for p in parts],
-                "counts": [None if o else weight[p].astype(np.int32).tobytes() for o, p in zip(once, parts, strict=True)],
-                "total": [int(weight[p].sum()) for p in parts],
+                # Not sent where every shingle occurs once.
+                "counts": [None if (weight[p] == 1).all() else weight[p].astype(np.int32).tobytes() for p in parts],
             })
 
 
@@ -103,67 +109,150 @@ def weighted_jaccard(ha: np.ndarray, ca: np.ndarray, hb: np.ndarray, cb: np.ndar
     return both / either if either else 0.0
 
 
-def _unpacked(hashes: bytes, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    h = np.frombuffer(hashes, np.uint64)
-    return h, np.ones(len(h), np.int32) if counts is None else np.frombuffer(counts, np.int32)
+def linked(hashes: list[np.ndarray], counts: list[np.ndarray], part: np.ndarray | None = None, known: np.ndarray | None = None) -> np.ndarray:
+    """A label for each set, equal where links join them: each set taken up is held against all others not yet reached, in one pass.
+
+    part: only sets of different parts are compared. known: labels of sets that are joined already.
+    """
+    n = len(hashes)
+    total = np.array([int(c.sum()) for c in counts])
+    order = np.argsort(total, kind="stable")
+    total = total[order]
+    sizes = np.array([len(hashes[i]) for i in order])
+    starts = np.r_[0, np.cumsum(sizes)]
+    place = np.unique(np.concatenate([hashes[i] for i in order]), return_inverse=True)[1]
+    times = np.concatenate([counts[i] for i in order])
+    own = np.zeros(int(place.max()) + 1 if len(place) else 1, np.int64)
+    parts = np.zeros(n, np.int64) if part is None else part[order]
+    before = np.arange(n) if known is None else known[order]
+    label = np.full(n, -1)
+    for seed in range(n):
+        if label[seed] >= 0:
+            continue
+        waiting = np.flatnonzero(before == before[seed]).tolist()
+        label[waiting] = seed
+        while waiting:
+            p = waiting.pop()
+            lo, hi = np.searchsorted(total, SIMILARITY * total[p] - 1e-9), np.searchsorted(total, total[p] / SIMILARITY + 1e-9, "right")
+            if not (label[lo:hi] < 0).any():
+                continue
+            mine = slice(starts[p], starts[p + 1])
+            own[place[mine]] = times[mine]
+            span = slice(starts[lo], starts[hi])
+            both = np.add.reduceat(np.minimum(own[place[span]], times[span]), starts[lo:hi] - starts[lo])
+            own[place[mine]] = 0
+            near = (both >= SIMILARITY * (total[lo:hi] + total[p] - both)) & (label[lo:hi] < 0)
+            if part is not None:
+                near &= parts[lo:hi] != parts[p]
+            for q in np.unique(before[lo:hi][near]):
+                more = np.flatnonzero(before == q)
+                label[more] = seed
+                waiting.extend(more.tolist())
+    out = np.empty(n, np.int64)
+    out[order] = label
+    return out
+
+
+def _sets_of(rows: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    hashes = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
+    return hashes, [np.ones(len(h), np.int32) if c is None else np.frombuffer(c, np.int32) for h, c in zip(hashes, rows["counts"], strict=True)]
+
+
+def _roots(ids: np.ndarray, label: np.ndarray) -> pd.DataFrame:
+    """(id, root) of the members of components of several; the root is the least id, and has a row itself."""
+    names, at, n = np.unique(label, return_inverse=True, return_counts=True)
+    root = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(root, at, ids)
+    several = n[at] > 1
+    return pd.DataFrame({"id": ids[several], "root": root[at[several]]})
+
+
+def _block_stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Streams rows sorted by group, and answers a group when it is whole. A group is a block, or with ``i`` and ``j`` a pair of blocks."""
+    held: list[pd.DataFrame] = []
 
+    def answer() -> pd.DataFrame:
+        rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+        held.clear()
+        if len(rows) < 2:
+            return pd.DataFrame({"id": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
+        ids, apart = rows["id"].to_numpy(), None
+        known = None
+        if "component" in rows:
+            apart = rows["block"].to_numpy() if rows["i"].iloc[0] != rows["j"].iloc[0] else None
+            known = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+        return _roots(ids, linked(*_sets_of(rows), apart, known))
 
-def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    last = None
     for pdf in filter(len, batches):
-        keep = [weighted_jaccard(*_unpacked(ha, ca), *_unpacked(hb, cb)) >= SIMILARITY for ha, ca, hb, cb in zip(pdf["ha"], pdf["ca"], pdf["hb"], pdf["cb"], strict=True)]
-        yield pdf.loc[keep, ["a", "b"]]
+        keys = pdf[["hub", "i", "j"]].to_numpy()
+        cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(pdf)]
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and last != tuple(keys[a]):
+                out.append(answer())
+            held.append(pdf.iloc[a:b])
+            last = tuple(keys[a])
+        if out:
+            yield pd.concat(out, ignore_index=True)
+    if held:
+        yield answer()
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) pairs whose texts are alike. Totals too far apart are left out before any set is moved."""
-    size = sets.select("id", "total")
-    near = (
-        pairs.join(size.select(F.col("id").alias("a"), F.col("total").alias("ta")), "a")
-        .join(size.select(F.col("id").alias("b"), F.col("total").alias("tb")), "b")
-        .filter(F.least("ta", "tb") >= SIMILARITY * F.greatest("ta", "tb"))
-    )
-    left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
-    right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
-    return near.join(right, "b").join(left, "a").select("a", "b", "ha", "ca", "hb", "cb").mapInPandas(_alike, "a long, b long")
-
-
-def _block_links(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links that join components, among the members of one block, or between those of two."""
-    _, i, j = key
-    sets = [_unpacked(h, c) for h, c in zip(pdf["hashes"], pdf["counts"], strict=True)]
-    ids, total, part = pdf["id"].to_numpy(), pdf["total"].to_numpy(), pdf["part"].to_numpy()
-    names, root = np.unique(pdf["component"].to_numpy(), return_inverse=True)
-    found = []
-    order = np.argsort(total, kind="stable")
-    for x, p in enumerate(order):
-        for q in order[x + 1 :]:
-            if total[p] < SIMILARITY * total[q]:
-                break
-            if root[p] != root[q] and (i == j or part[p] != part[q]) and weighted_jaccard(*sets[p], *sets[q]) >= SIMILARITY:
-                found.append((ids[p], ids[q]))
-                root[root == root[q]] = root[p]
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-
-def links(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) between classes, enough to join all that verified links join. members: (bucket, id), two ids a bucket at least."""
-    sizes = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = checkpointed(members.join(sizes, "bucket"))
+def _stars(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, root) links within the groups (hub, i, j) of ``dealt``, whose rows name an id."""
+    group = ["hub", "i", "j"]
+    met = dealt.join(sets, ["id", "row_hash"]).drop("row_hash")
+    return met.repartition(n_partitions(dealt), *group).sortWithinPartitions(*group).mapInPandas(_block_stars, "id long, root long")
+
+
+def _groups(classes: DataFrame) -> DataFrame:
+    """(hub, blocks, block, id, row_hash): the members of each hub's buckets, once each, and the hub in every block."""
+    buckets = classes.filter("bands is not null").select("id", "row_hash", F.greatest(F.col("n_words") - (WIDTH - 1), F.lit(1)).alias("shingles"), F.posexplode("bands"))
+    buckets = buckets.select(F.xxhash64("pos", "col").alias("bucket"), "id", "row_hash", "shingles")
+    sizes = buckets.groupBy("bucket").agg(F.min(F.struct("id", "row_hash")).alias("h"), F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("shingles")).filter("n > 1")
+    # A hub has one bucket a band at most, and one number of blocks for all of them.
+    blocks = F.ceil(F.greatest(F.max("n").over(Window.partitionBy("h")) / BLOCK, F.max("shingles").over(Window.partitionBy("h")) / BLOCK_SHINGLES)).cast("int")
+    hubs = checkpointed(sizes.select("bucket", "n", "h", blocks.alias("blocks")))
+    met = join_groups(buckets.select("bucket", "id", "row_hash"), hubs, ["bucket"], "n").select(F.col("h.id").alias("hub"), F.col("h.row_hash").alias("hub_hash"), "blocks", "id", "row_hash").distinct()
+    placed = checkpointed(met.withColumn("block", F.pmod(F.xxhash64("id", "row_hash"), F.col("blocks")).cast("int")))
+    is_hub = (F.col("id") == F.col("hub")) & (F.col("row_hash") == F.col("hub_hash"))
+    everywhere = placed.filter(is_hub).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.filter(~is_hub).unionByName(everywhere).drop("hub_hash")
+
+
+def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, class_id) of the classes that verified links join."""
+    dealt = _groups(classes)
     sets = checkpointed(
-        docs.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi").mapInPandas(_shingle_sets, "id long, hashes binary, counts binary, total long").dropDuplicates(["id"])
+        _texts(docs).join(dealt.select(F.col("id").alias("doc_id"), "row_hash"), ["doc_id", "row_hash"], "left_semi")
+        .mapInPandas(_shingle_sets, "id long, row_hash long, hashes binary, counts binary").dropDuplicates(["id", "row_hash"])
     )
-    # Every member against the least and the greatest of its bucket.
-    ends = members.select(F.explode(F.array("lo", "hi")).alias("a"), F.col("id").alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = checkpointed(verified(ends, sets))
-    part = components(first)
-    # Buckets with untested pairs between components; their members meet in blocks of bounded size, each pair of blocks a group.
-    placed = members.filter("n > 2").join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_up = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("bucket")
-    left = placed.join(mixed_up, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    first = _stars(dealt.withColumns({"i": F.col("block"), "j": F.col("block")}).select("hub", "i", "j", "id", "row_hash"), sets)
+    named = _joined(first)
+    # Groups of several blocks with members that are still apart: their blocks meet in pairs.
+    large = dealt.filter("blocks > 1").join(named, "id", "left").withColumn("component", F.coalesce("class_id", "id"))
+    apart = large.groupBy("hub").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("hub")
+    left = checkpointed(large.join(apart, "hub").select("hub", "blocks", "block", "id", "row_hash", "component"))
+    if left.isEmpty():
+        return named
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = left.select("bucket", "id", "component", "part", other.alias("o")).select("bucket", "id", "component", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
-    more = dealt.join(sets, "id").groupBy("bucket", "i", "j").applyInPandas(_block_links, "a long, b long")
-    return first.unionByName(more)
+    pairs = left.select("*", other.alias("o")).filter("o <> block").select("hub", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "row_hash", "component")
+    more = _stars(pairs, sets)
+    return _joined(more.unionByName(named.select("id", F.col("class_id").alias("root"))))
+
+
+def _joined(stars: DataFrame) -> DataFrame:
+    """(id, class_id) of (id, root) rows. Ids that are no root are leaves: only their roots are handed to the search for components."""
+    nodes = checkpointed(stars.groupBy("id").agg(F.min("root").alias("least"), F.collect_set("root").alias("roots"), F.count(F.lit(1)).alias("n")))
+    edges = nodes.select(F.explode("roots").alias("a"), F.col("least").alias("b")).filter("a <> b")
+    if edges.isEmpty():
+        return nodes.select("id", F.col("least").alias("class_id"))
+    part = components(edges)
+    # Rows of one root are as many as its members, so the join is by groups of known size.
+    members = nodes.groupBy("least").agg(F.count(F.lit(1)).alias("n"))
+    roots = checkpointed(members.join(part.withColumnRenamed("id", "least"), "least", "left").select("least", "n", F.coalesce("component", "least").alias("class_id")))
+    return checkpointed(join_groups(nodes.select("id", "least"), roots, ["least"], "n").select("id", "class_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -171,12 +260,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lone = docs.filter("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     docs = docs.filter("doc_id is not null")
     rows = checkpointed(sketches(docs))
-    classes = checkpointed(rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.count(F.lit(1)).alias("n")))
-    buckets = classes.filter("bands is not null").select("id", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("bucket"), "id").distinct()
-    part = components(links(buckets, docs))
+    least = F.min(F.struct("doc_id", "row_hash")).alias("h")
+    classes = checkpointed(
+        rows.groupBy("k1", "k2").agg(least, F.min_by("bands", "doc_id").alias("bands"), F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("n"))
+        .select("k1", "k2", F.col("h.doc_id").alias("id"), F.col("h.row_hash").alias("row_hash"), "bands", "n_words", "n")
+    )
+    named = checkpointed(classes.select("k1", "k2", "id", "n").join(links(classes, docs), "id", "left").select("k1", "k2", "n", F.coalesce("class_id", "id").alias("class_id")))
     # Sizes are summed over classes of equal texts, so a group's rows never meet.
-    named = checkpointed(classes.join(part, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("class_id")))
-    sizes = named.groupBy("class_id").agg(F.sum("n").alias("class_size"))
-    groups = checkpointed(named.join(sizes, "class_id"))
+    sizes = checkpointed(named.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("texts")))
+    groups = checkpointed(join_groups(named, sizes, ["class_id"], "texts").select("k1", "k2", "n", "class_id", "class_size"))
     out = join_groups(rows.select("doc_id", "k1", "k2"), groups, ["k1", "k2"], "n")
     return out.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept")).unionByName(lone)

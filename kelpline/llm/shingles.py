@@ -9,12 +9,13 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .common import slices
+from .common import CharClass, slices
 
 WIDTH = 5
 #: Code points that one numpy pass holds; a longer text is one pass of its own.
 PIECE = 1 << 19
-_WORD = np.array([chr(i).isalnum() for i in range(1 << 16)])
+#: Letters and numbers of any plane.
+_WORD = CharClass(str.isalnum)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -34,7 +35,7 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     lowered = [(t or "").lower() for t in texts]
     codes = np.frombuffer(" ".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t) + 1 for t in lowered])
-    is_word = _WORD[np.minimum(codes, (1 << 16) - 1)] | (codes >= 1 << 16)
+    is_word = _WORD(codes)
     edge = np.diff(np.r_[False, is_word, False].astype(np.int8))
     starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
