@@ -7,8 +7,8 @@ probability Jaccard similarity. Components are banded, and candidates are verifi
 
 Texts with the same words are one class from the start (a partial aggregation, so thousands of copies cost no pair). The buckets of one
 least member, their hub, are one group; it is cut into blocks of bounded size by a hash, and the hub comes to each of them. In a block all
-members are compared, but for those that are already linked through others. So a bucket of one block is done; buckets of several blocks whose
-members are still in several components are looked at again, a pair of blocks at a time. No candidate link that would join components is lost.
+members are compared, but for those that are already linked through others. So a bucket of one block is done; in one of several blocks, members that
+aren't linked to the hub within their block meet the members of all other blocks. No candidate link that would join components is lost.
 
 Defined cases: texts without words form a class only if equal and not blank; null, empty and blank texts are never linked; rows with
 the same id and words are one document; rows of one id with other words are compared as texts of their own; a row without an id is kept, and
@@ -32,7 +32,7 @@ from .shingles import WIDTH, mixed, shingled, weighted
 
 SIMILARITY = 0.8
 #: Members and shingles of a block, about; a task holds two blocks at most.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 BANDS, BAND_ROWS = 16, 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -158,30 +158,32 @@ def _sets_of(rows: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return hashes, [np.ones(len(h), np.int32) if c is None else np.frombuffer(c, np.int32) for h, c in zip(hashes, rows["counts"], strict=True)]
 
 
-def _roots(ids: np.ndarray, label: np.ndarray) -> pd.DataFrame:
-    """(id, root) of the members of components of several; the root is the least id, and has a row itself."""
+def _least(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each member the least id of its component, and whether there are others in it."""
     names, at, n = np.unique(label, return_inverse=True, return_counts=True)
     root = np.full(len(names), np.iinfo(np.int64).max)
     np.minimum.at(root, at, ids)
-    several = n[at] > 1
-    return pd.DataFrame({"id": ids[several], "root": root[at[several]]})
+    return root[at], n[at] > 1
+
+
+STARS = "hub long, blocks int, block int, id long, row_hash long, shingles long, root long"
 
 
 def _block_stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Streams rows sorted by group, and answers a group when it is whole. A group is a block, or with ``i`` and ``j`` a pair of blocks."""
+    """Streams rows sorted by group, and answers a group when it is whole: each member with the least id that it is linked to."""
     held: list[pd.DataFrame] = []
 
     def answer() -> pd.DataFrame:
-        rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+        rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
         held.clear()
-        if len(rows) < 2:
-            return pd.DataFrame({"id": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
-        ids, apart = rows["id"].to_numpy(), None
-        known = None
-        if "component" in rows:
-            apart = rows["block"].to_numpy() if rows["i"].iloc[0] != rows["j"].iloc[0] else None
-            known = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
-        return _roots(ids, linked(*_sets_of(rows), apart, known))
+        hashes, counts = _sets_of(rows)
+        if "root" in rows:  # a second look: blocks are whole, and what is linked in them is known
+            label = linked(hashes, counts, rows["block"].to_numpy(), np.unique(rows["root"].to_numpy(), return_inverse=True)[1])
+        else:
+            label = linked(hashes, counts)
+        root, several = _least(rows["id"].to_numpy(), label)
+        out = rows[["hub", "blocks", "block", "id", "row_hash"]].assign(shingles=[int(c.sum()) for c in counts], root=root)
+        return out[several | ((rows["blocks"] > 1).to_numpy() & ("root" not in rows))]
 
     last = None
     for pdf in filter(len, batches):
@@ -200,10 +202,10 @@ def _block_stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _stars(dealt: DataFrame, sets: DataFrame) -> DataFrame:
-    """(id, root) links within the groups (hub, i, j) of ``dealt``, whose rows name an id."""
+    """The answers of all groups (hub, i, j) of ``dealt``."""
     group = ["hub", "i", "j"]
-    met = dealt.join(sets, ["id", "row_hash"]).drop("row_hash")
-    return met.repartition(n_partitions(dealt), *group).sortWithinPartitions(*group).mapInPandas(_block_stars, "id long, root long")
+    met = dealt.join(sets, ["id", "row_hash"])
+    return met.repartition(n_partitions(dealt), *group).sortWithinPartitions(*group).mapInPandas(_block_stars, STARS)
 
 
 def _groups(classes: DataFrame) -> DataFrame:
@@ -212,13 +214,14 @@ def _groups(classes: DataFrame) -> DataFrame:
     buckets = buckets.select(F.xxhash64("pos", "col").alias("bucket"), "id", "row_hash", "shingles")
     sizes = buckets.groupBy("bucket").agg(F.min(F.struct("id", "row_hash")).alias("h"), F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("shingles")).filter("n > 1")
     # A hub has one bucket a band at most, and one number of blocks for all of them.
-    blocks = F.ceil(F.greatest(F.max("n").over(Window.partitionBy("h")) / BLOCK, F.max("shingles").over(Window.partitionBy("h")) / BLOCK_SHINGLES)).cast("int")
+    of_hub = Window.partitionBy("h")
+    blocks = F.ceil(F.greatest(F.max("n").over(of_hub) / BLOCK, F.max("shingles").over(of_hub) / BLOCK_SHINGLES)).cast("int")
     hubs = checkpointed(sizes.select("bucket", "n", "h", blocks.alias("blocks")))
     met = join_groups(buckets.select("bucket", "id", "row_hash"), hubs, ["bucket"], "n").select(F.col("h.id").alias("hub"), F.col("h.row_hash").alias("hub_hash"), "blocks", "id", "row_hash").distinct()
     placed = checkpointed(met.withColumn("block", F.pmod(F.xxhash64("id", "row_hash"), F.col("blocks")).cast("int")))
     is_hub = (F.col("id") == F.col("hub")) & (F.col("row_hash") == F.col("hub_hash"))
-    everywhere = placed.filter(is_hub).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return placed.filter(~is_hub).unionByName(everywhere).drop("hub_hash")
+    everywhere = F.when(is_hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    return placed.withColumn("block", F.explode(everywhere)).drop("hub_hash")
 
 
 def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -228,36 +231,36 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
         _texts(docs).join(dealt.select(F.col("id").alias("doc_id"), "row_hash"), ["doc_id", "row_hash"], "left_semi")
         .mapInPandas(_shingle_sets, "id long, row_hash long, hashes binary, counts binary").dropDuplicates(["id", "row_hash"])
     )
-    first = _stars(dealt.withColumns({"i": F.col("block"), "j": F.col("block")}).select("hub", "i", "j", "id", "row_hash"), sets)
-    named = _joined(first)
-    # Groups of several blocks with members that are still apart: their blocks meet in pairs.
-    large = dealt.filter("blocks > 1").join(named, "id", "left").withColumn("component", F.coalesce("class_id", "id"))
-    apart = large.groupBy("hub").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("hub")
-    left = checkpointed(large.join(apart, "hub").select("hub", "blocks", "block", "id", "row_hash", "component"))
-    if left.isEmpty():
-        return named
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = left.select("*", other.alias("o")).filter("o <> block").select("hub", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "row_hash", "component")
-    more = _stars(pairs, sets)
-    return _joined(more.unionByName(named.select("id", F.col("class_id").alias("root"))))
+    first = checkpointed(_stars(dealt.withColumns({"i": F.lit(0), "j": F.col("block")}), sets))
+    # Of groups of several blocks, what isn't linked to the hub within its block is loose: it meets the other blocks.
+    loose = F.col("root") != F.col("hub")
+    large = first.filter("blocks > 1")
+    sizes = large.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(loose, 1)).alias("loose"), F.sum(F.when(loose, F.col("shingles"))).alias("loose_shingles")).filter("loose > 0")
+    parts = checkpointed(sizes.select("hub", "n", F.ceil(F.greatest(F.col("loose") / BLOCK, F.col("loose_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts")))
+    if parts.isEmpty():
+        return _joined(first.select("id", "root"))
+    again = join_groups(large, parts, ["hub"], "n").drop("shingles")
+    members = again.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("block").alias("j"))
+    guests = again.filter(loose).select("*", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).filter("j <> block")
+    more = _stars(members.unionByName(guests), sets)
+    return _joined(first.select("id", "root").unionByName(more.select("id", "root")))
 
 
 def _joined(stars: DataFrame) -> DataFrame:
     """(id, class_id) of (id, root) rows. Ids that are no root are leaves: only their roots are handed to the search for components."""
-    nodes = checkpointed(stars.groupBy("id").agg(F.min("root").alias("least"), F.collect_set("root").alias("roots"), F.count(F.lit(1)).alias("n")))
+    nodes = checkpointed(stars.groupBy("id").agg(F.min("root").alias("least"), F.collect_set("root").alias("roots")))
     edges = nodes.select(F.explode("roots").alias("a"), F.col("least").alias("b")).filter("a <> b")
     if edges.isEmpty():
         return nodes.select("id", F.col("least").alias("class_id"))
-    part = components(edges)
     # Rows of one root are as many as its members, so the join is by groups of known size.
     members = nodes.groupBy("least").agg(F.count(F.lit(1)).alias("n"))
-    roots = checkpointed(members.join(part.withColumnRenamed("id", "least"), "least", "left").select("least", "n", F.coalesce("component", "least").alias("class_id")))
-    return checkpointed(join_groups(nodes.select("id", "least"), roots, ["least"], "n").select("id", "class_id"))
+    roots = checkpointed(members.join(components(edges).withColumnRenamed("id", "least"), "least", "left").select("least", "n", F.coalesce("component", "least").alias("class_id")))
+    return join_groups(nodes.select("id", "least"), roots, ["least"], "n").select("id", "class_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest id of its near-duplicate group), class_size, kept: one row for each row of ``docs``."""
-    lone = docs.filter("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    """doc_id, class_id (smallest id of its near-duplicate group), kept: one row for each row of ``docs``."""
+    lone = docs.filter("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
     docs = docs.filter("doc_id is not null")
     rows = checkpointed(sketches(docs))
     least = F.min(F.struct("doc_id", "row_hash")).alias("h")
@@ -265,9 +268,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rows.groupBy("k1", "k2").agg(least, F.min_by("bands", "doc_id").alias("bands"), F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("n"))
         .select("k1", "k2", F.col("h.doc_id").alias("id"), F.col("h.row_hash").alias("row_hash"), "bands", "n_words", "n")
     )
-    named = checkpointed(classes.select("k1", "k2", "id", "n").join(links(classes, docs), "id", "left").select("k1", "k2", "n", F.coalesce("class_id", "id").alias("class_id")))
-    # Sizes are summed over classes of equal texts, so a group's rows never meet.
-    sizes = checkpointed(named.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("texts")))
-    groups = checkpointed(join_groups(named, sizes, ["class_id"], "texts").select("k1", "k2", "n", "class_id", "class_size"))
+    groups = checkpointed(classes.select("k1", "k2", "id", "n").join(links(classes, docs), "id", "left").select("k1", "k2", "n", F.coalesce("class_id", "id").alias("class_id")))
     out = join_groups(rows.select("doc_id", "k1", "k2"), groups, ["k1", "k2"], "n")
-    return out.select("doc_id", "class_id", "class_size", (F.col("doc_id") == F.col("class_id")).alias("kept")).unionByName(lone)
+    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept")).unionByName(lone)
