@@ -1,25 +1,26 @@
 """HTML extraction: the blocks of a page, and nearest-URL page differencing.
 
 A page is cut into blocks of text. What markup names as menu, header, footer, sidebar, notice, advert, form, script, style or
-reader comment goes, but for a frame that holds the page's article. Where a page marks its article (``article``, ``main``), the blocks inside are its text.
+reader comment goes, but for a frame that holds the page's article. Where a page marks its article (``article``, ``main``), only blocks inside are its text.
 
-On other pages the boilerplate is found by differencing: pages are paired with their neighbours by URL path within their host, the blocks of
-both are aligned by longest common subsequence, and shared blocks are deleted. A neighbour that shares more than half of a page's text is
-a copy of it and not differenced. (Blocks inside a marked article are not differenced: articles of one host quote the same passages.)
+Then every page is differenced: its blocks are aligned by longest common subsequence with those of the ``NEAR`` pages before and after it by URL path
+in its host, and blocks shared with at least half of them are deleted. Markup protects: a block inside a marked article is deleted only where its element has a name
+that may be boilerplate's (``related-work``, ``share-count``), as pages of one host quote the same passages. A neighbour that leaves a page no
+block of its own is a copy of it and has no say.
 
-Pages to pair are range-partitioned by (host, path, id), so a host with a third of all pages spans many partitions; a page at a border
-meets its neighbour through a table of the borders, two pages for each partition.
+The pages' block hashes, never their texts, are range-partitioned by (host, path, key), so a host with a third of all pages spans many partitions; pages near a
+border are guests in the next partition. What goes back to a page is a bitmap of its deleted blocks.
 
-Defined cases: null and empty html give an empty text; a null URL is the host and path ""; rows with equal ids and URLs are pages of their own
-and, being copies, not differenced; a single page of a host keeps all blocks; unclosed elements end where
-HTML ends them (at the next paragraph, item or cell), with their parent or the page.
+Defined cases: null and empty html give an empty text; a null URL is the host and path ""; equal rows are one page, and answered alike;
+a single page of a host keeps all blocks; unclosed elements end where HTML ends them (at the next paragraph, item or cell), with their parent or the page.
 """
 
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, n_partitions
 
-#: A neighbour that shares more of a page's text than this is a copy.
-COPY_SHARE = 0.5
+#: Pages before and after a page that it is held against.
+NEAR = 4
 #: Bits of alignment rows that are held at once; longer alignments are halved.
 MAX_BITS = 1 << 31
 
@@ -53,6 +54,8 @@ _DROP_WORDS = frozenset(
 )
 _HEADER_WORDS = frozenset(["header"])
 _COMMENT_WORDS = frozenset("comment comments reply replies".split())
+#: Elements that hold others: an id names what these are, but only the place of a heading or paragraph; comments come in these.
+_HOLDERS = frozenset("article aside center dd details dialog div dl fieldset figure footer form header li main menu nav ol section table tbody td th tr ul".split())
 #: A class such as has-sidebar or page-with-nav tells of a page that has one, or none; it doesn't name one.
 _TELLS = frozenset("has have no not with without".split())
 #: Start tags that end an open element of the key, unless one of its containers was opened since.
@@ -67,19 +70,24 @@ _CELL = frozenset("td th caption".split())
 _TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
 
 
-def _words(attrs: str) -> tuple[set[str], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
-    words: set[str] = set()
+def _names(name: str, attrs: str) -> tuple[set[str], set[str], bool]:
+    """Words of class, id and role that stand alone, those that are a part of a longer name, and whether the element is hidden."""
+    alone: set[str] = set()
+    parts: set[str] = set()
     hidden = False
-    for name, a, b, c, bare in _ATTR.findall(attrs):
-        value = (a or b or c).lower()
-        if name.lower() in ("class", "id", "role"):
+    for key, a, b, c, bare in _ATTR.findall(attrs):
+        key, value = key.lower(), (a or b or c).lower()
+        if key in ("class", "role") or (key == "id" and name in _HOLDERS):
             for token in value.split():
-                parts = re.split(r"[^a-z0-9]+", token)
-                if not _TELLS.intersection(parts):
-                    words.update(parts)
-        hidden = hidden or bool(bare) or (name.lower() == "aria-hidden" and value == "true") or (name.lower() == "style" and "display:none" in value.replace(" ", ""))
-    return words, hidden
+                words = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+                if len(words) == 1:
+                    alone.update(words)
+                elif not _TELLS.intersection(words):
+                    parts.update(words)
+        hidden = hidden or bool(bare) or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", ""))
+    if name not in _HOLDERS:
+        alone, parts = alone - _COMMENT_WORDS, parts - _COMMENT_WORDS
+    return alone, parts, hidden
 
 
 def _closed(tags: list[tuple[str, int]], name: str) -> int | None:
@@ -104,27 +112,36 @@ def _ended(tags: list[tuple[str, int]], name: str) -> int | None:
     return found
 
 
-def page_blocks(page: str | None) -> tuple[list[str], bool]:
-    """Blocks of a page in order, and whether they come from a marked article.
+def page_lines(page: str | None) -> tuple[list[str], list[bool], bool]:
+    """Blocks of a page in order, which of them differencing may delete, and whether they come from a marked article.
 
     An element that would be dropped but holds ``main``, or the only articles of the page, is its frame and stays. Where the page has more
     text outside of it than in it, that text stays too.
     """
     page = page or ""
-    every, inside, seen_mark, mains, articles = _parsed(page, frozenset())
+    every, inside, asked, seen_mark, mains, articles = _parsed(page, frozenset())
     frames = mains if seen_mark else mains | articles
     if not frames:
-        return (inside, True) if seen_mark else (every, False)
-    all_blocks, marked_blocks, _, _, _ = _parsed(page, frames)
+        return (inside, asked, True) if seen_mark else (every, [True] * len(every), False)
+    all_blocks, marked_blocks, marked_asked, _, _, _ = _parsed(page, frames)
     if sum(map(len, marked_blocks)) >= sum(map(len, inside if seen_mark else every)):
-        return marked_blocks, True
-    return all_blocks, False
+        return marked_blocks, marked_asked, True
+    return all_blocks, [True] * len(all_blocks), False
+
+
+def page_blocks(page: str | None) -> tuple[list[str], bool]:
+    """Blocks of a page before differencing, and whether they come from a marked article."""
+    blocks, _, marked = page_lines(page)
+    return blocks, marked
 
 
-def _parsed(page: str, frames: frozenset[int]) -> tuple[list[str], list[str], bool, frozenset[int], frozenset[int]]:
-    """Blocks, those in marked articles, whether there is one, and places of the dropped elements that hold main or article. Those at ``frames`` stay."""
+def _parsed(page: str, frames: frozenset[int]) -> tuple[list[str], list[str], list[bool], bool, frozenset[int], frozenset[int]]:
+    """Blocks, those in marked articles and which of these have a doubtful name, whether there is such an article, and places of the dropped
+    elements that hold main or article. Those at ``frames`` stay."""
     every: list[str] = []
     inside: list[str] = []
+    asked: list[bool] = []
+    doubtful: list[int] = []  # for each open element with a doubtful name, how many block elements were open around it
     piece: list[str] = []
     marked = 0  # open article and main elements
     seen_mark = False
@@ -146,6 +163,7 @@ def _parsed(page: str, frames: frozenset[int]) -> tuple[list[str], list[str], bo
             every.append(text)
             if marked:
                 inside.append(text)
+                asked.append(bool(doubtful))
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -188,8 +206,8 @@ def _parsed(page: str, frames: frozenset[int]) -> tuple[list[str], list[str], bo
                     continue
                 if (name in _BLOCK or name == drop) and name not in _VOID and not attrs.endswith("/"):
                     if name in ("article", "main"):
-                        words, hidden = _words(attrs)
-                        if not hidden and not words & _COMMENT_WORDS and (name == "main" or not comments):
+                        alone, parts, hidden = _names(name, attrs)
+                        if not hidden and not (alone | parts) & _COMMENT_WORDS and (name == "main" or not comments):
                             (mains if name == "main" else articles).update(i for _, i in inner)
                     inner.append((name, m.start()))
                 continue
@@ -215,6 +233,8 @@ def _parsed(page: str, frames: frozenset[int]) -> tuple[list[str], list[str], bo
             to = _closed(outer, name) if closing else _ended(outer, name)
             if to is not None:
                 del outer[to:]
+                while doubtful and doubtful[-1] >= to:
+                    doubtful.pop()
             if not closing:
                 outer.append((name, m.start()))
         if closing:
@@ -227,7 +247,8 @@ def _parsed(page: str, frames: frozenset[int]) -> tuple[list[str], list[str], bo
             continue
         if name in _VOID or attrs.endswith("/"):
             continue
-        words, hidden = _words(attrs) if attrs else (set(), False)
+        alone, parts, hidden = _names(name, attrs) if attrs else (set(), set(), False)
+        words = alone | parts
         if name in ("article", "main"):
             if (words & _COMMENT_WORDS or hidden) and m.start() not in frames:
                 drop = name
@@ -236,7 +257,7 @@ def _parsed(page: str, frames: frozenset[int]) -> tuple[list[str], list[str], bo
                 seen_mark = True
         elif m.start() in frames:
             pass
-        elif name not in ("body", "html") and (name in _DROP or hidden or words & _DROP_WORDS):
+        elif name not in ("body", "html") and (name in _DROP or hidden or (alone if marked else words) & _DROP_WORDS):
             close_block()
             drop = name
         elif name == "header" or (words & _HEADER_WORDS and name in _BLOCK and name not in ("body", "html")):
@@ -255,8 +276,10 @@ def _parsed(page: str, frames: frozenset[int]) -> tuple[list[str], list[str], bo
             comments = bool(words & _COMMENT_WORDS)
         elif name in _HEADING:
             in_heading = True
+        if not drop and marked and parts & _DROP_WORDS and name in _BLOCK:
+            doubtful.append(len(outer) - 1)
     close_block()
-    return every, inside, seen_mark, frozenset(mains), frozenset(articles)
+    return every, inside, asked, seen_mark, frozenset(mains), frozenset(articles)
 
 
 def lcs_mask(a: list[int], b: list[int]) -> list[bool]:
@@ -316,15 +339,10 @@ def line_hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def differenced(blocks: list[str], neighbours: list[list[int]]) -> list[str]:
-    """The blocks without those shared with a neighbour that isn't a copy."""
-    own, size = [line_hash(x) for x in blocks], sum(map(len, blocks))
-    keep = [True] * len(blocks)
-    for other in neighbours:
-        shared = lcs_mask(own, other)
-        if sum(len(x) for x, s in zip(blocks, shared, strict=True) if s) <= COPY_SHARE * size:
-            keep = [k and not s for k, s in zip(keep, shared, strict=True)]
-    return [x for x, k in zip(blocks, keep, strict=True) if k]
+def shared_lines(own: list[int], neighbours: list[list[int]]) -> list[bool]:
+    """Which lines of a page at least half of its neighbours have in the same order, copies of the page aside."""
+    masks = [m for m in (lcs_mask(own, other) for other in neighbours) if not all(m)]
+    return [2 * sum(votes) >= len(masks) > 0 for votes in zip(*masks, strict=True)] if masks else [False] * len(own)
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -335,66 +353,117 @@ def host_and_path(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-def _texts(pdf: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({"page_id": pdf["page_id"].to_numpy(), "url": pdf["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts]})
+LINED = "k1 long, k2 long, host string, path string, lines array<long>, asked binary"
 
 
-def _direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in filter(len, batches):
-        got = [page_blocks(h) for h in pdf["html"]]
-        done = np.array([m or not b for b, m in got])
-        if done.any():
-            yield _texts(pdf[done], ["\n".join(b) for (b, _), d in zip(got, done, strict=True) if d])
+        rows = []
+        for k1, k2, url, page in zip(pdf["k1"], pdf["k2"], pdf["url"], pdf["html"], strict=True):
+            blocks, asked, _ = page_lines(page)
+            if blocks:
+                rows.append((k1, k2, *host_and_path(url), [line_hash(x) for x in blocks], bytes(asked)))
+        if rows:
+            yield pd.DataFrame(rows, columns=["k1", "k2", "host", "path", "lines", "asked"])
+
+
+def _at_borders(targets: dict[int, list[tuple[int, int]]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The first and last rows of each partition, as guests of the partitions that they are near to. targets: for each partition the others, with the rows between."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head, tail = None, None
+        for pdf in filter(len, batches):
+            head = pd.concat([head, pdf]).head(NEAR) if head is None or len(head) < NEAR else head
+            tail = pd.concat([tail, pdf]).tail(NEAR)
+        if head is None:
+            return
+        own = int(head["pid"].iloc[0])
+        for other, gap in targets[own]:
+            near = tail.iloc[::-1] if other > own else head
+            if gap < NEAR:
+                yield near.head(NEAR - gap).assign(pid=other, guest=True)
+
+    return run
+
+
+def _deleted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(k1, k2, gone) of the pages of one sorted partition that lose blocks. Holds NEAR pages on either side of the one at hand."""
+    held: list[dict] = []
+    at = 0  # place in ``held`` of the first row that waits
+
+    def answered(whole: bool) -> Iterator[tuple]:
+        nonlocal at
+        while at < len(held) and (whole or at + NEAR < len(held)):
+            row = held[at]
+            if not row["guest"]:
+                near = [list(held[i]["lines"]) for i in range(max(0, at - NEAR), min(len(held), at + NEAR + 1)) if i != at and held[i]["host"] == row["host"]]
+                gone = [s and bool(a) for s, a in zip(shared_lines(list(row["lines"]), near), row["asked"], strict=True)]
+                if any(gone):
+                    yield row["k1"], row["k2"], bytes(gone)
+            at += 1
+        cut = max(0, at - NEAR)
+        del held[:cut]
+        at -= cut
 
-def _unmarked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in filter(len, batches):
         rows = []
-        for page_id, url, page in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
-            blocks, is_marked = page_blocks(page)
-            if blocks and not is_marked:
-                rows.append((page_id, url, *host_and_path(url), blocks, [line_hash(x) for x in blocks]))
+        for row in pdf.to_dict("records"):
+            if not held or (held[-1]["k1"], held[-1]["k2"]) != (row["k1"], row["k2"]):
+                held.append(row)
+                rows.extend(answered(False))
         if rows:
-            yield pd.DataFrame(rows, columns=["page_id", "url", "host", "path", "blocks", "lines"])
+            yield pd.DataFrame(rows, columns=["k1", "k2", "gone"])
+    rows = list(answered(True))
+    if rows:
+        yield pd.DataFrame(rows, columns=["k1", "k2", "gone"])
+
+
+def deleted_blocks(keyed: DataFrame) -> DataFrame:
+    """(k1, k2, gone): a byte for each block of the pages that lose some, 1 where it goes. keyed: k1, k2, url, html."""
+    order = ["host", "path", "k1", "k2"]
+    lined = checkpointed(keyed.mapInPandas(_lined, LINED))
+    ranged = checkpointed(lined.repartitionByRange(n_partitions(keyed), *order).sortWithinPartitions(*order).withColumns({"pid": F.spark_partition_id(), "guest": F.lit(False)}))
+    rows = {r["pid"]: r["n"] for r in ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number for each partition
+    pids = sorted(rows)
+    targets: dict[int, list[tuple[int, int]]] = {}
+    for i, pid in enumerate(pids):
+        targets[pid] = []
+        for others in (pids[i + 1 :], pids[:i][::-1]):
+            gap = 0
+            for other in others:
+                if gap >= NEAR:
+                    break
+                targets[pid].append((other, gap))
+                gap += rows[other]
+    guests = ranged.mapInPandas(_at_borders(targets), ranged.schema)
+    return ranged.unionByName(guests).repartition(n_partitions(keyed), "pid").sortWithinPartitions("pid", *order).mapInPandas(_by_range, "k1 long, k2 long, gone binary").dropDuplicates(["k1", "k2"])
+
+
+def _by_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``_deleted`` for each range of a partition, which may hold several."""
+    def pieces() -> Iterator[pd.DataFrame]:
+        for pdf in filter(len, batches):
+            pids = pdf["pid"].to_numpy()
+            for a, b in itertools.pairwise(np.r_[0, np.flatnonzero(np.diff(pids)) + 1, len(pids)]):
+                yield pdf.iloc[a:b]
+
+    for _, of_range in itertools.groupby(pieces(), key=lambda p: p["pid"].iloc[0]):
+        yield from _deleted(of_range)
+
+
+def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in filter(len, batches):
+        texts = []
+        for page, gone in zip(pdf["html"], pdf["gone"], strict=True):
+            blocks = page_lines(page)[0]
+            texts.append("\n".join(blocks if gone is None else [x for x, g in zip(blocks, gone, strict=True) if not g]))
+        yield pd.DataFrame({"page_id": pdf["page_id"].to_numpy(), "url": pdf["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts]})
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     # Ids pass through pandas as text, where a null among them doesn't turn them into floating-point numbers.
-    schema = "page_id string, url string, text string, n_chars long"
-    pages = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
-    order = ["host", "path", "page_id", "url"]
-    rest = pages.mapInPandas(_unmarked, "page_id string, url string, host string, path string, blocks array<string>, lines array<long>")
-    ranged = checkpointed(rest.repartitionByRange(n_partitions(pages), *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()))
-    key = F.struct(*order)
-    ends = ranged.groupBy("pid").agg(F.min_by(F.struct("host", "lines"), key).alias("lo"), F.max_by(F.struct("host", "lines"), key).alias("hi")).orderBy("pid").collect()
-    before = {r["pid"]: (ends[i - 1]["hi"]["host"], list(ends[i - 1]["hi"]["lines"])) for i, r in enumerate(ends) if i}
-    after = {r["pid"]: (ends[i + 1]["lo"]["host"], list(ends[i + 1]["lo"]["lines"])) for i, r in enumerate(ends) if i + 1 < len(ends)}
-
-    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = now = None  # (host, lines) of the page before, and the row at hand, which waits for the page after
-
-        def done(row: dict, prior: tuple | None, following: tuple | None) -> tuple:
-            near = [list(n[1]) for n in (prior, following) if n is not None and n[0] == row["host"]]
-            text = "\n".join(differenced(list(row["blocks"]), near))
-            return row["page_id"], row["url"], text, len(text)
-
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars"])
-
-        for pdf in filter(len, batches):
-            out = []
-            for row in pdf.to_dict("records"):
-                if now is None:
-                    last = before.get(row["pid"])
-                else:
-                    out.append(done(now, last, (row["host"], row["lines"])))
-                    last = (now["host"], now["lines"])
-                now = row
-            if out:
-                yield frame(out)
-        if now is not None:
-            yield frame([done(now, last, after.get(now["pid"]))])
-
-    texts = pages.mapInPandas(_direct, schema).unionByName(ranged.mapInPandas(pair, schema))
+    keyed = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", *[F.xxhash64(F.lit(k), "page_id", "url", "html").alias(f"k{k}") for k in (1, 2)])
+    marks = deleted_blocks(keyed.select("k1", "k2", "url", "html"))
+    texts = keyed.join(marks, ["k1", "k2"], "left").select("page_id", "url", "html", "gone").mapInPandas(_texts, "page_id string, url string, text string, n_chars long")
     return texts.withColumn("page_id", F.col("page_id").cast("long"))

@@ -71,3 +71,65 @@ def test_differencing_over_partitions(spark):
 
 def test_empty(spark):
     assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_doubtful_names_are_left_to_differencing():
+    page = '<main><h2 id="market-share">A</h2><p>kept</p><section id="related-work">B</section><p class="reply">C</p><h2 id="search">D</h2></main>'
+    assert extraction.page_lines(page) == (["A", "kept", "B", "C", "D"], [False, False, True, False, False], True)
+    inner = "<article><div class='share-count'><p>a</p><div>b</div></div><p>c</p><div class='share'>d</div></article>"
+    assert extraction.page_lines(inner)[:2] == (["a", "b", "c"], [True, True, False])
+
+
+def plain_lcs(a, b):
+    """Entries of a in a longest common subsequence, by the plain table."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+    mask, i, j = [False] * len(a), len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            mask[i - 1] = True
+            i, j = i - 1, j - 1
+        elif table[i - 1][j] >= table[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return mask
+
+
+def test_whole_extraction_against_plain_differencing(spark):
+    """Hosts with menus and footers of their own, longer than the articles; articles with doubtful names; one very long and one broken page."""
+    rng = random.Random(11)
+    pages, parts, alone = [], [], 0
+    for h in range(7):
+        menu = [f"Menu {h} entry {k} of the site" for k in range(rng.randrange(3, 12))]
+        foot = [f"Footer {h} line {k} with all its notes" for k in range(rng.randrange(2, 9))]
+        for n in range(rng.randrange(6, 30) if h else 1):
+            body = [f"Host {h} page {n} line {k}" for k in range(rng.randrange(1, 5))]
+            marked = rng.random() < 0.4
+            share = rng.random() < 0.5
+            lines = [*((x, False) for x in body), *([("Share this with your friends", True)] if share else [])] if marked else [(x, True) for x in [*menu, *body, *foot]]
+            inner = "".join(f"<p>{x}</p>" for x in body)
+            tail = '<div class="share-row">Share this with your friends</div>' if share and marked else ""
+            outer = [f"<div>{x}</div>" for x in menu], [f"<div>{x}</div>" for x in foot]
+            page = f"<body>{''.join(outer[0])}{f'<article>{inner}{tail}</article>' if marked else inner}{''.join(outer[1])}"
+            pages.append((len(pages), f"https://h{h}.example/{n:04d}", page))
+            parts.append((f"h{h}.example", f"/{n:04d}", lines))
+    long = [f"word {k} " * 30 for k in range(3000)]
+    pages.append((len(pages), "https://h1.example/0000a", "<div>" + "<br><p>".join(long)))
+    parts.append(("h1.example", "/0000a", [(" ".join(x.split()), True) for x in long]))
+    pages.append((len(pages), "https://h1.example/0000b", "<div <p>>x</div></div></p><<p class='a>y <b><i></b>z"))
+    parts.append(("h1.example", "/0000b", [(x, True) for x in extraction.page_blocks(pages[-1][2])[0]]))
+    order = sorted(range(len(parts)), key=lambda i: parts[i][:2])
+    want = {}
+    for at, i in enumerate(order):
+        own = [x for x, _ in parts[i][2]]
+        near = [[x for x, _ in parts[j][2]] for j in order[max(0, at - extraction.NEAR) : at + extraction.NEAR + 1] if j != i and parts[j][0] == parts[i][0]]
+        masks = [m for m in (plain_lcs(own, x) for x in near) if not all(m)]
+        alone += not masks
+        gone = [masks and 2 * sum(m[k] for m in masks) >= len(masks) and parts[i][2][k][1] for k in range(len(own))]
+        want[i] = "\n".join(x for x, g in zip(own, gone, strict=True) if not g)
+    got = {r["page_id"]: r["text"] for r in extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want and alone <= 0.1 * len(pages)
+    assert sum("Menu" in t or "Footer" in t for t in want.values()) <= 0.1 * len(pages)
