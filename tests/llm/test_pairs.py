@@ -187,3 +187,43 @@ def test_embeddings(spark, monkeypatch, block):
     assert [(got[n + i]["n_links"], got[n + i]["kept"]) for i in range(6)] == [(0, True)] * 6
     assert [got[n + i]["component_id"] for i in (6, 7)] == [n + 6, n + 6]
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_fingerprints_against_plain_simhash(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(21)
+    bags = [[rng.getrandbits(64) - 2**63 for _ in range(rng.randrange(1, 40))] * rng.randrange(1, 3) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(bags)), "k long, bag array<long>")
+    second = {r["h"]: r["x"] for r in df.select(F.explode("bag").alias("h")).distinct().withColumn("x", F.xxhash64("h")).collect()}
+
+    def plain(hashes):
+        return sum(1 << b for b in range(decontaminate.HALF) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    rows = decontaminate.simhash(df, ["k"], "bag").withColumn("blocks", decontaminate.blocks()).collect()
+    for r in rows:
+        assert (r["print0"], r["print1"]) == (plain(bags[r["k"]]), plain([second[h] for h in bags[r["k"]]]))
+        assert len(set(r["blocks"])) == decontaminate.BLOCKS == decontaminate.RADIUS + 1
+        assert r["blocks"][22] == 8 * 22 + (r["print1"] >> 3 & 7) and r["blocks"][20] == 8 * 20 + (r["print0"] >> 60)
+
+
+def test_candidates_come_through_the_fingerprints(spark, monkeypatch):
+    """Windows name no item: all items of their size are looked up, and the radius leaves the right ones. Without it all of them would stay."""
+    rng = random.Random(22)
+    items = [[rng.getrandbits(64) - 2**63 for _ in range(40)] for _ in range(60)]
+    windows = [[*item[:-3], *(rng.getrandbits(64) - 2**63 for _ in range(3))] for item in items[:30]] + [[rng.getrandbits(64) - 2**63 for _ in range(40)] for _ in range(30)]
+    w = spark.createDataFrame([(i, 1, 40, 0, x) for i, x in enumerate(windows)], "doc_id long, row_hash long, n int, start int, window array<long>")
+    it = spark.createDataFrame([(i, 40, x) for i, x in enumerate(items)], "item_id long, n int, item array<long>")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.candidates(w, it).collect()}
+    assert {(i, i) for i in range(30)} <= got and len(got) <= 35
+    monkeypatch.setattr(decontaminate, "RADIUS", 124)
+    assert decontaminate.candidates(w, it).count() > 1000
+
+
+def test_weighted_similarity_of_bags(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(23)
+    rows = [([rng.randrange(9) for _ in range(rng.randrange(1, 20))], [rng.randrange(9) for _ in range(rng.randrange(1, 20))]) for _ in range(50)]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select("a", "b", decontaminate.weighted_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    assert all(abs(r["s"] - similarity(Counter(r["a"]), Counter(r["b"]))) < 1e-12 for r in got)
