@@ -4,12 +4,15 @@ The filter directions are random product codes: after a seeded rotation the dime
 unit code words, and every pair of code words is a direction; several rotations even out how many directions a vector exceeds. A vector is list-decoded to all directions whose inner product
 exceeds the cap's height, without looking at those that cannot reach it: only code words that some partner can lift over it are combined. Vectors that share a filter meet and are compared by cosine in double precision; none is reported unverified.
 
+The height of the caps comes from the number of vectors, so that a filter holds about ``FILLED`` of them whatever the corpus; the number of filters follows, so that
+a pair at the threshold still shares as many.
+
 Equal vectors are one class from the start, with a size. A pair that shares several filters is counted in the first of them alone, so
 links are summed where they are found and pairs are never written out. A filter with many vectors is cut into blocks whose pairs are groups
 of their own. A vector that exceeds no filter goes to its best one.
 
 Defined cases: null and zero vectors and those with null or non-finite components have no links and are their own component; vectors of
-different lengths never link; a row without an id links with nothing; rows with equal ids and vectors link as two vectors; an empty table gives an empty result.
+different lengths never link; a row without an id links with nothing; rows of one id are vectors of their own: equal ones link, others are compared; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,23 +29,52 @@ from .common import checkpointed, join_groups, n_partitions
 from .components import components
 
 COSINE = 0.9
-#: Rotations, height of the caps in standard deviations of a random inner product, filters that a vector exceeds on average.
-#: Measured on 64 dimensions: no pair missed from cosine 0.91 on, 1.5 % of pairs at exactly 0.9. A larger corpus takes a larger height.
-ROTATIONS, HEIGHT, LIST = 8, 3.0, 32
+#: Rotations, vectors that a filter holds on average, and bounds of the caps' height (an inner product of unit vectors, for 64 dimensions the least is 3 deviations).
+ROTATIONS, FILLED, LEAST, MOST = 8, 64, 3.0, 0.75
+#: Filters that both of two vectors at the threshold exceed, on average. Product codes are uneven, so some pairs share far fewer.
+SHARED = 14.0
 #: Vectors of a block of a filter's vectors.
 BLOCK = 1024
 SEED = 11
+#: Points of the sums that stand for integrals over the sphere.
+GRID = 4000
+
+
+def _above(height: np.ndarray | float, dims: int) -> np.ndarray:
+    """Part of the unit vectors whose inner product with a fixed one is above each height."""
+    x = (np.arange(GRID) + 0.5) / GRID * 2 - 1
+    density = (1 - x * x) ** ((max(dims, 2) - 3) / 2)
+    tail = np.r_[np.cumsum(density[::-1])[::-1], 0.0] / density.sum()
+    return np.interp(height, np.arange(GRID + 1) / GRID * 2 - 1, tail)
+
+
+def cap_height(n: int, dims: int) -> float:
+    """The height that ``FILLED`` of n random vectors exceed, by halving between the bounds."""
+    low, high = min(LEAST / math.sqrt(dims), 0.5), MOST
+    if n * _above(low, dims) <= FILLED:
+        return low
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (middle, high) if n * _above(middle, dims) > FILLED else (low, middle)
+    return low
+
+
+def both_above(height: float, dims: int) -> float:
+    """Part of the vectors over a cap whose partner at the threshold is over it too."""
+    x = height + (np.arange(GRID) + 0.5) / GRID * (1 - height)
+    weight = (1 - x * x) ** ((max(dims, 2) - 3) / 2)
+    partner = _above((height - COSINE * x) / np.sqrt((1 - COSINE**2) * (1 - x * x)), dims - 1)
+    return float((weight * partner).sum() / weight.sum())
 
 
 class ProductCode:
-    """The filter directions for vectors of ``dims`` components."""
+    """The filter directions for n vectors of ``dims`` components."""
 
-    def __init__(self, dims: int):
+    def __init__(self, dims: int, n: int = 1):
         rng = np.random.default_rng([SEED, dims])
-        self.cap = min(HEIGHT / math.sqrt(dims), 0.5)
-        passes = 0.5 * math.erfc(self.cap * math.sqrt(dims / 2))
+        self.cap = cap_height(n, dims)
         self.cut = (dims + 1) // 2
-        self.words = math.ceil((LIST / ROTATIONS / passes) ** 0.5)
+        self.words = math.ceil((SHARED / both_above(self.cap, dims) / ROTATIONS / float(_above(self.cap, dims))) ** 0.5)
         self.codes = []
         for _ in range(ROTATIONS):
             rotation = np.linalg.qr(rng.normal(size=(dims, dims)))[0]
@@ -82,12 +114,12 @@ def _unpacked(data: bytes, dims: int) -> np.ndarray:
     return np.frombuffer(data, np.float32 if len(data) == 4 * dims else np.float64).astype(np.float64)
 
 
-def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decoded(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
     codes: dict[int, ProductCode] = {}
     for pdf in filter(len, batches):
         dims = pdf["vector"].map(len).to_numpy()
         for d in np.unique(dims):
-            code = codes.setdefault(int(d), ProductCode(int(d)))
+            code = codes.setdefault(int(d), ProductCode(int(d), n))
             part = pdf[dims == d]
             for a in range(0, len(part), 256):
                 some = part.iloc[a : a + 256]
@@ -99,7 +131,7 @@ def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "size": some["size"].to_numpy(),
                     "dims": np.full(len(some), d, np.int32),
                     "data": [_packed(x) for x in v],
-                    "filters": [found[cuts[i] : cuts[i + 1]].astype(np.int32) for i in range(len(some))],
+                    "filters": [found[cuts[i] : cuts[i + 1]] for i in range(len(some))],
                 })
 
 
@@ -117,7 +149,7 @@ def _compare(rows: list[tuple], key: tuple) -> pd.DataFrame | None:
         return None
     # A pair that shares an earlier filter was counted there.
     used, place = np.unique(np.r_[a, b], return_inverse=True)
-    earlier = [np.asarray(rows[u][4], np.int32) for u in used]
+    earlier = [np.asarray(rows[u][4], np.int64) for u in used]
     earlier = [f[f < filter_id] for f in earlier]
     names, at = np.unique(np.concatenate(earlier), return_inverse=True)
     has = np.zeros((len(used), len(names)), np.float32)
@@ -164,9 +196,11 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of ``vectors``."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select("vec_id", F.when(finite & F.col("vec_id").isNotNull(), F.col("embedding").cast("array<double>")).alias("vector"))
-    classes = checkpointed(rows.filter("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size")))
-    # A class is known by its least id; vectors of one id that differ share it.
-    decoded = checkpointed(classes.mapInPandas(_decoded, "id long, size long, dims int, data binary, filters array<int>"))
+    grouped = rows.filter("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("size"))
+    # A class has a number of its own, fixed when it is written; ids may repeat.
+    classes = checkpointed(grouped.withColumn("id", F.monotonically_increasing_id()))
+    n = classes.count()
+    decoded = checkpointed(classes.select("id", "size", "vector").mapInPandas(lambda it: _decoded(it, n), "id long, size long, dims int, data binary, filters array<long>"))
     lists = decoded.select("id", "size", "dims", "data", "filters", F.explode("filters").alias("filter"))
     counts = lists.groupBy("dims", "filter").agg(F.count(F.lit(1)).alias("in_filter")).filter("in_filter > 1").withColumn("blocks", F.ceil(F.col("in_filter") / BLOCK).cast("int"))
     placed = lists.join(counts, ["dims", "filter"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -175,11 +209,14 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     packed = dealt.select(*group, "id", "size", "part", "data", F.col("filters"))
     met = packed.repartition(n_partitions(vectors), *group).sortWithinPartitions(*group)
     found = checkpointed(met.mapInPandas(_groups, "id long, n long, least long"))
-    part = components(found.select(F.col("id").alias("a"), F.col("least").alias("b")))
+    part = checkpointed(components(found.select(F.col("id").alias("a"), F.col("least").alias("b"))))
+    # The smallest vec_id of a component; its classes find it in a table of known group sizes.
+    least = checkpointed(classes.select("id", "vec_id").join(part, "id").groupBy("component").agg(F.min("vec_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    reached = join_groups(part, least, ["component"], "n").select("id", "component_id")
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     named = checkpointed(
-        classes.join(links, "id", "left").join(part, "id", "left")
-        .select("vector", "size", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        classes.join(links, "id", "left").join(reached, "id", "left")
+        .select("vector", "size", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     )
     out = join_groups(rows.filter("vector is not null"), named, ["vector"], "size").select("vec_id", "n_links", "component_id")
     lone = rows.filter("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

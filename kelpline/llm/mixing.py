@@ -76,6 +76,26 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns], copies).drop("_copy")
 
 
+def targets(sources: DataFrame, weights: tuple[float, ...], total: float, max_epochs: float) -> DataFrame:
+    """(source, source_size, target): the water-filling of ``water_fill`` over a table of (source, source_size), a row for each source.
+
+    Sources are clamped in the order in which a rising level reaches their caps, so the level is found by running sums over them.
+    """
+    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1  # by code point, null last
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(place, F.lit(len(weights))).cast("int") + 1)
+    rows = sources.withColumn("weight", weight).withColumn("cap", F.lit(float(max_epochs)) * F.col("source_size"))
+    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
+    all_rows = by_cap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rest = F.lit(float(total)) * F.sum("source_size").over(all_rows) - F.coalesce(F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    free = F.sum("weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing))
+    ranked = rows.filter("source_size > 0").select("*", rest.alias("rest"), free.alias("free"), F.row_number().over(by_cap).alias("k"))
+    # The first source that the level doesn't lift to its cap, and with it all later ones.
+    stops = F.when(F.col("rest") / F.col("free") <= F.col("cap") / F.col("weight"), F.struct("k", "rest", "free"))
+    levels = ranked.withColumn("at", F.min(stops).over(all_rows))
+    target = F.when(F.col("at").isNull() | (F.col("k") < F.col("at.k")), F.col("cap")).otherwise(F.col("at.rest") * F.col("weight") / F.col("at.free"))
+    return levels.select("source", "source_size", target.alias("target")).unionByName(rows.filter("source_size = 0").select("source", "source_size", F.lit(0.0).alias("target")))
+
+
 def _ends(docs: DataFrame, rows: DataFrame, weights: tuple[float, ...], total: float, max_epochs: float) -> DataFrame:
     """What is taken of each (source, cell of the draw): source_size, target, whole and part of its source, cell_size, and the words below it.
 
@@ -83,18 +103,12 @@ def _ends(docs: DataFrame, rows: DataFrame, weights: tuple[float, ...], total: f
     the one where the share ends, and there to the rows below the share, in the order of their draws.
     """
     cells = checkpointed(rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")))
-    sources = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")).collect()  # a row for each source
-    sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # by code point, null last
-    sizes = [r["source_size"] for r in sources]
-    each = [weights[i % len(weights)] for i in range(len(sources))]
-    targets = water_fill(sizes, each, total * sum(sizes), max_epochs)
-    literal = F.array(*[F.struct(F.lit(r["source"]).cast("string").alias("source"), F.lit(r["source_size"]).cast("long").alias("source_size"), F.lit(float(t)).alias("target")) for r, t in zip(sources, targets, strict=True)])
-    plan = docs.sparkSession.range(1).select(F.inline(literal)) if sources else docs.select(F.col("source").cast("string").alias("source"), F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target")).limit(0)
+    plan = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, total, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("part", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     running = cells.withColumn("below", F.coalesce(F.sum("cell_size").over(before), F.lit(0)))
-    ends = running.alias("c").join(F.broadcast(plan.alias("p")), F.expr("c.source <=> p.source")).select("c.*", "p.source_size", "p.target", "p.whole", "p.part")
+    ends = running.alias("c").join(plan.alias("p"), F.expr("c.source <=> p.source")).select("c.*", "p.source_size", "p.target", "p.whole", "p.part")
     return F.broadcast(ends) if cells.count() <= MAX_BROADCAST else ends
 
 

@@ -4,11 +4,11 @@ A document's bytes are embedded, learned filters run over them, and their answer
 by one block, so every byte of the document is covered. The mean and the maximum of the chunks' features, over the whole document, go
 into one logistic unit.
 
-The network is fitted on the driver on a bounded sample of labelled rows: ``SAMPLE`` rows, ``SAMPLE_BLOCKS`` blocks of each, spread evenly over
-longer texts. Scoring uses whole texts, in pieces of bounded size.
+The network is fitted on the driver on a bounded sample of labelled rows with their whole texts: the first ``SAMPLE`` rows in the order of a hash of
+the id, as far as they are ``SAMPLE_BYTES`` together; texts of more than ``SAMPLE_TEXT`` bytes aren't drawn. Scoring uses whole texts, in pieces of bounded size.
 
 Defined cases: null and empty texts are scored as one block of padding; without labelled rows every score is the untrained network's;
-repeated rows are scored alike; labels other than 0 and 1, or null, are left out; a text of any length is scored whole.
+repeated rows are scored alike, and drawn once; labels other than 0 and 1, or null, and ids with both labels are left out; a text of any length is scored whole.
 """
 
 from __future__ import annotations
@@ -16,15 +16,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import slices
 
-#: Labelled rows that the network is fitted on, and most blocks of one of them.
-SAMPLE, SAMPLE_BLOCKS = 4000, 64
+#: Labelled rows that the network is fitted on, their bytes together, and those of one text.
+SAMPLE, SAMPLE_BYTES, SAMPLE_TEXT = 4000, 32 << 20, 1 << 20
 BLOCK, STRIDE, WIDTH, DIMS, FILTERS = 128, 2, 8, 4, 16
 EPOCHS, BATCH, RATE, SEED = 14, 32, 0.01, 7
 #: Bytes that one numpy pass holds.
@@ -151,24 +151,19 @@ class Network:
         return self
 
 
-def _sample_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in filter(len, batches):
-        out = []
-        for text in pdf["text"]:
-            data = blocks_of((text or "").encode("utf-8", "surrogatepass")).reshape(-1, BLOCK)
-            pick = np.unique(np.linspace(0, len(data) - 1, min(len(data), SAMPLE_BLOCKS)).astype(int))
-            out.append(data[pick].tobytes())
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "data": out})
-
-
 def train(docs: DataFrame, labels: DataFrame) -> Network:
-    """Fits the network to (doc_id, quality) rows. What the driver gets is SAMPLE x SAMPLE_BLOCKS blocks at most."""
-    some = labels.filter("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").mapInPandas(_sample_blocks, "doc_id long, quality int, data binary")
-    rows = sorted(sample.limit(2 * SAMPLE).collect(), key=lambda r: (r["doc_id"], r["data"]))
+    """Fits the network to (doc_id, quality) rows. What the driver gets is SAMPLE rows of SAMPLE_BYTES together at most."""
+    one = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other")
+    drawn = one.select("doc_id", "quality", F.xxhash64("doc_id").alias("draw")).orderBy("draw", "doc_id").limit(SAMPLE)
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    rows = docs.select("doc_id", "text").filter(size <= SAMPLE_TEXT).join(F.broadcast(drawn), "doc_id").distinct()
+    first = rows.orderBy("draw", "doc_id", F.xxhash64("text"), "text").limit(SAMPLE)
+    # A running sum over SAMPLE rows at most.
+    upto = Window.orderBy("draw", "doc_id", F.xxhash64("text"), "text").rowsBetween(Window.unboundedPreceding, 0)
+    sample = first.withColumn("upto", F.sum(size).over(upto)).filter(F.col("upto") <= SAMPLE_BYTES).select("text", "quality", "upto").collect()
     net = Network()
-    if rows:
-        net.fit([np.frombuffer(bytes(r["data"]), np.uint8) for r in rows], np.array([r["quality"] for r in rows], np.float32))
+    if sample:
+        net.fit([blocks_of((r["text"] or "").encode("utf-8", "surrogatepass")) for r in sample], np.array([r["quality"] for r in sample], np.float32))
     return net
 
 

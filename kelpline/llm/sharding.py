@@ -2,11 +2,12 @@
 
 A record is hashed by its id into one of thousands of virtual slots, the bytes of every slot are summed, and a versioned
 map sends slots to shards. Only the map is edited when shards are added or sizes drift; records keep their slot for ever.
+Rows without an id, or of one id, would fill one slot: they are hashed by their text as well, and of equal rows each has a number of its own that is hashed too.
 
 Law: ``bytes``. Shard sizes are near equal: off by at most one slot's bytes, or one record's where a record is larger.
 
 Defined cases: a null text counts no bytes (only the fixed overhead) and has a null CRC; equal texts and repeated ids are separate
-records (equal ids share a slot); an empty table gives an empty result; other columns of the input are not looked at.
+records; an empty table gives an empty result; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .common import checkpointed, utf8_size
 
 #: Virtual slots; a power of two, far above any shard count, fixed for the life of a corpus.
 N_SLOTS = 8192
+#: Repeated ids that are broadcast at most; more are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 #: Bytes that a record takes besides its text.
 OVERHEAD = 16
 
@@ -72,8 +75,8 @@ def map_frame(spark: SparkSession, shard_of: list[int], version: int = 1) -> Dat
 
 
 def save_map(shard_map: DataFrame, path: str) -> None:
-    """Adds a version to the stored maps; old versions stay readable."""
-    shard_map.write.mode("append").partitionBy("version").parquet(path)
+    """Adds a version to the stored maps; old versions stay readable, and a version that is written again replaces itself."""
+    shard_map.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -89,15 +92,29 @@ def as_list(shard_map: DataFrame) -> list[int]:
 
 
 def with_slots(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", utf8_size(F.col("text")).alias("bytes"), F.crc32("text").alias("text_crc32")).select(
-        "doc_id", (F.col("bytes") + OVERHEAD).alias("size"), "text_crc32", virtual_slot(F.col("doc_id")).alias("vslot")
-    )
-
+    """Records with their slot: by id where it is the only row of its id, else by id, text and the row's number among equal ones.
 
-def shard_records(docs: DataFrame, n_shards: int) -> tuple[DataFrame, list[int], dict[int, int]]:
+    Equal rows are numbered without meeting: each task numbers its own, and what is added is the number of equal rows of the tasks before it.
+    """
+    rows = checkpointed(docs.select("doc_id", (utf8_size(F.col("text")) + OVERHEAD).alias("size"), F.crc32("text").alias("text_crc32")).withColumn("_part", F.spark_partition_id()))
+    several = checkpointed(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("_again")))
+    few = several.count() <= MAX_BROADCAST
+    marked = rows.join(F.broadcast(several) if few else several, "doc_id", "left").withColumn("_again", F.coalesce("_again", F.col("doc_id").isNull()))
+    alone = marked.filter("not _again").select("doc_id", "size", "text_crc32", virtual_slot(F.col("doc_id")).alias("vslot"))
+    same = ["doc_id", "text_crc32", "size"]
+    again = checkpointed(marked.filter("_again").withColumn("_number", F.row_number().over(Window.partitionBy("_part", *same).orderBy(F.lit(1)))))
+    counts = again.groupBy("_part", *same).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*same).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    met = [F.col(f"a.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("_part", *same)]
+    numbered = again.alias("a").join(starts.alias("s"), met).select(*[f"a.{c}" for c in same], (F.col("_start") + F.col("_number")).alias("_number"))
+    return alone.unionByName(numbered.select("doc_id", "size", "text_crc32", virtual_slot(F.xxhash64(*same, "_number")).alias("vslot")))
+
+
+def shard_records(docs: DataFrame, n_shards: int, map_path: str | None = None, version: int = 1) -> tuple[DataFrame, list[int], dict[int, int]]:
     """Each record with its shard and its gapless position there; also the map and the bytes of each slot.
 
-    The position is the slot's offset in its shard, a running sum over the slots alone, plus the record's place within its slot.
+    The map is stored as ``version`` at ``map_path``, by default in the session's checkpoint folder, and read from there. The position is the slot's offset in its shard, a running sum over the slots alone, plus the record's place within its slot.
     So no window ever holds a shard: the largest holds one slot.
     """
     spark = docs.sparkSession
@@ -111,7 +128,9 @@ def shard_records(docs: DataFrame, n_shards: int) -> tuple[DataFrame, list[int],
         offsets.append(ends[shard])
         ends[shard] += rows.get(slot, 0)
     starts = F.split(F.lit(",".join(map(str, offsets))), ",")
-    placed = map_frame(spark, shard_of).withColumn("slot_start", F.element_at(starts, F.col("vslot") + 1).cast("long"))
+    path = map_path or f"{spark.sparkContext.getCheckpointDir()}/shard_maps"
+    save_map(map_frame(spark, shard_of, version), path)
+    placed = load_map(spark, path, version).withColumn("slot_start", F.element_at(starts, F.col("vslot") + 1).cast("long"))
     within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
     out = (
         records.withColumn("place", F.row_number().over(within))

@@ -200,3 +200,156 @@ def test_rows_without_an_id(spark):
     assert len(key(mixing.mix(docs), "doc_id")) == 3 and len(key(sharding.shard_records(docs, 2)[0], "doc_id")) == 3
     vectors = spark.createDataFrame([(None, [1.0, 2.0]), (big, [1.0, 2.0]), (3, [2.0, 4.0])], "vec_id long, embedding array<float>")
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(vectors).collect()} == {None: (0, None, True), big: (1, 3, False), 3: (1, 3, True)}
+
+
+def test_shards_of_repeated_and_missing_ids(spark):
+    """A third of the rows without an id, a third of one id, equal rows among them: no slot is filled by them, and reruns agree."""
+    rng = random.Random(15)
+    rows = [(i, "x" * rng.randrange(50, 900)) for i in range(1500)] + [(None, "y" * rng.randrange(50, 900)) for _ in range(1500)] + [(7777, "z" * 500)] * 1500
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("vslot", F.lit("a"))
+    got = sharding.shard_records(docs, 10)[0].collect()
+    again = sharding.shard_records(docs.repartition(3), 10)[0].collect()
+    key = lambda out: sorted(str((r["doc_id"], r["size"], r["text_crc32"], r["shard"])) for r in out)
+    assert key(got) == key(again) and len(got) == len(rows)
+    filled, places, slots = {}, {}, {}
+    for r in got:
+        filled[r["shard"]] = filled.get(r["shard"], 0) + r["size"]
+        places.setdefault(r["shard"], []).append(r["slot"])
+        slots[r["vslot"]] = slots.get(r["vslot"], 0) + 1
+    assert max(filled.values()) - min(filled.values()) <= 916 and max(slots.values()) < 12
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_shards_against_plain_greedy(spark):
+    """Bytes of each shard, and the shard of each slot, by a plain loop over the slots."""
+    rng = random.Random(16)
+    docs = spark.createDataFrame([(i, "x" * rng.randrange(0, 2000)) for i in range(4000)], "doc_id long, text string")
+    got = sharding.shard_records(docs, 40)[0].collect()
+    slots, filled, want = {}, [0] * 40, {}
+    for r in got:
+        slots[r["vslot"]] = slots.get(r["vslot"], 0) + r["size"]
+    assert {r["doc_id"]: r["vslot"] for r in got} == {r["doc_id"]: r["v"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(8192)).alias("v")).collect()}
+    for slot in sorted(slots, key=lambda s: (-slots[s], s)):
+        shard = min(range(40), key=lambda s: (filled[s], s))
+        want[slot] = shard
+        filled[shard] += slots[slot]
+    assert {r["vslot"]: r["shard"] for r in got} == want
+
+
+def test_stored_maps_are_replaced_not_doubled(spark, tmp_path):
+    path = str(tmp_path / "m")
+    for version in (1, 2, 2):
+        sharding.save_map(sharding.map_frame(spark, [version] * 8, version), path)
+    assert sharding.load_map(spark, path).count() == 8 and sharding.as_list(sharding.load_map(spark, path, 1)) == [1] * 8
+
+
+def plain_naive_bayes(rows, texts):
+    """Multinomial naive Bayes by loops over characters, with the same hash of one- to three-grams."""
+    import math
+
+    mask, counts = 2**64 - 1, {}
+
+    def bins(text):
+        chars = [ord(c) if c.isalpha() else 32 for c in "  " + text.lower()]
+        for i in range(2, len(chars)):
+            if ("  " + text.lower())[i].isalpha():
+                x = chars[i] * int(language._MUL[0])
+                grams = [x + 1, x + chars[i - 1] * int(language._MUL[1]) + 2, x + chars[i - 1] * int(language._MUL[1]) + chars[i - 2] * int(language._MUL[2]) + 3]
+                for g in (v & mask for v in grams):
+                    yield ((g ^ (g >> 29)) * int(language._MUL[0]) & mask) >> (64 - language.BITS)
+
+    for text, lang in rows:
+        own = counts.setdefault(lang, {})
+        for b in bins(text):
+            own[b] = own.get(b, 0) + 1
+    out = []
+    for text in texts:
+        score = {}
+        for lang, own in counts.items():
+            total = sum(own.values()) + language.ALPHA * language.N_BINS
+            score[lang] = sum(math.log((own.get(b, 0) + language.ALPHA) / total) for b in bins(text))
+        best = min(score, key=lambda k: (-score[k], k))
+        out.append((best, 1 / sum(math.exp(s - score[best]) for s in score.values())))
+    return out
+
+
+def test_language_against_plain_naive_bayes(spark):
+    rng = random.Random(17)
+    words = {"aa": ["kilo", "muna", "tabi", "x1y"], "bb": ["strøm", "Fjord", "ålen", "kilo"], "cc": ["дом", "мир", "река", "kilo"]}
+    rows = [(" ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 9))), lang) for lang in words for _ in range(15)]
+    texts = [" ".join(rng.choice(words[rng.choice("abc") * 2]) for _ in range(rng.randrange(1, 7))) for _ in range(60)] + ["kilo " * 3000 + "мир"]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(docs, model).collect()}
+    for i, (lang, score) in enumerate(plain_naive_bayes(rows, texts)):
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-3
+
+
+def test_letters_of_all_planes(spark):
+    model = language.Model(["aa"], np.zeros((1, language.N_BINS), np.float32))
+    assert model.predict(["😀😀 🎉", "𝐚", "𠀀"])[0] == ["und", "aa", "aa"]
+    from kelpline.llm.shingles import words
+
+    assert [len(words([t])[0]) for t in ("😀 😀", "𝐚 𠀀", "a😀b")] == [0, 2, 2]
+
+
+def test_quality_against_plain_convolution():
+    """Scores by loops over places, filters and chunks."""
+    rng = np.random.default_rng(8)
+    net = quality.Network()
+    net.p["mean"], net.p["top"] = rng.normal(size=quality.FILTERS).astype(np.float32), rng.normal(size=quality.FILTERS).astype(np.float32)
+    net.p["bias"], net.p["offsets"] = np.float32([0.2]), rng.normal(size=quality.FILTERS).astype(np.float32)
+    for text in ("", "short", "a longer text é " * 40, None):
+        data = (text or "").encode()
+        n = (len(data) + quality.WIDTH) // quality.BLOCK + 1
+        padded = data.ljust(n * quality.BLOCK + quality.WIDTH, b"\0")
+        blocks = []
+        for b in range(n):
+            answers = []
+            for place in range(b * quality.BLOCK, (b + 1) * quality.BLOCK, quality.STRIDE):
+                x = np.concatenate([net.p["embed"][c] for c in padded[place : place + quality.WIDTH]])
+                answers.append(x @ net.p["filters"] + net.p["offsets"])
+            blocks.append(np.max(answers, 0))
+        chunks = [np.maximum(np.maximum(blocks[i], blocks[min(i + 1, n - 1)]), 0) for i in range(max(n - 1, 1))]
+        z = np.mean(chunks, 0) @ net.p["mean"] + np.max(chunks, 0) @ net.p["top"] + net.p["bias"][0]
+        assert abs(net.score([text])[0] - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_quality_gradient_of_the_embedding():
+    rng = np.random.default_rng(1)
+    net = quality.Network()
+    docs = [quality.blocks_of(bytes(rng.integers(97, 103, n).astype(np.uint8))) for n in (40, 300)]
+    data, counts, label = np.concatenate(docs), np.array([len(d) // quality.BLOCK for d in docs]), np.array([0.0, 1.0])
+
+    def loss():
+        z = net.features(data, counts).astype(np.float64) @ np.r_[net.p["mean"], net.p["top"]].astype(np.float64) + net.p["bias"][0]
+        return float(np.mean(np.log1p(np.exp(z)) - label * z))
+
+    g = net.gradients(data, counts, label)["embed"]
+    for at in ((97, 0), (99, 2), (101, 3)):
+        old = net.p["embed"][at]
+        net.p["embed"][at] = old + 1e-2
+        up = loss()
+        net.p["embed"][at] = old - 1e-2
+        down = loss()
+        net.p["embed"][at] = old
+        assert abs((up - down) / 2e-2 - g[at]) < 2e-3
+
+
+def test_quality_sample(spark, monkeypatch):
+    """Conflicting labels go, repeated rows count once, the bytes bound holds, and the fit is the same whatever the order of the rows."""
+    seen = []
+    monkeypatch.setattr(quality.Network, "fit", lambda self, docs, labels: seen.append((docs, labels)) or self)
+    rng = random.Random(4)
+    docs = [(i, "t" * (50 + i)) for i in range(60)] + [(3, "t" * 53), (4, "other"), (None, "x"), (70, "long " * 400_000), (71, None)]
+    labels = [(i, i % 2) for i in range(60)] + [(3, 1), (5, 0), (8, None), (70, 1), (71, 1), (None, 1)]
+    for order in (1, 2):
+        rng.shuffle(docs)
+        quality.train(spark.createDataFrame(docs, "doc_id long, text string").repartition(order), spark.createDataFrame(labels, "doc_id long, quality int"))
+    (a, la), (b, lb) = seen
+    assert [x.tobytes() for x in a] == [x.tobytes() for x in b] and la.tolist() == lb.tolist() and len(a) == 60 + 1 - 1 + 1
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 500)
+    quality.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert 0 < len(seen[2][0]) < 10
+    quality.train(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int"))
+    assert len(seen) == 3

@@ -227,3 +227,31 @@ def test_weighted_similarity_of_bags(spark):
     rows = [([rng.randrange(9) for _ in range(rng.randrange(1, 20))], [rng.randrange(9) for _ in range(rng.randrange(1, 20))]) for _ in range(50)]
     got = spark.createDataFrame(rows, "a array<long>, b array<long>").select("a", "b", decontaminate.weighted_similarity(F.col("a"), F.col("b")).alias("s")).collect()
     assert all(abs(r["s"] - similarity(Counter(r["a"]), Counter(r["b"]))) < 1e-12 for r in got)
+
+
+def test_embeddings_of_one_id(spark):
+    """Rows of one id with other vectors are vectors of their own: they neither share links nor join what isn't near."""
+    rows = [(5, [1.0, 0.0, 0.0, 0.0]), (9, [1.0, 0.1, 0.0, 0.0]), (5, [0.0, 0.0, 1.0, 0.0]), (12, [0.0, 0.0, 1.0, 0.1]), (20, [0.0, 1.0, 0.0, 0.0])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(5, 1, 5), (5, 1, 5), (9, 1, 5), (12, 1, 5), (20, 0, 20)]
+    far = [(7, rows[0][1]), (9, rows[1][1]), (5, rows[2][1]), (12, rows[3][1])]
+    got = {r["vec_id"]: r["component_id"] for r in embeddings.near_duplicates(spark.createDataFrame(far, "vec_id long, embedding array<double>")).collect()}
+    assert got == {7: 7, 9: 7, 5: 5, 12: 5}
+
+
+def test_cap_height_follows_the_number_of_vectors():
+    heights = [embeddings.cap_height(n, 64) for n in (1000, 10**6, 10**8)]
+    assert heights[0] == 3 / 8 and heights == sorted(set(heights))
+    for n, height in zip((10**6, 10**8), heights[1:], strict=True):
+        assert abs(n * float(embeddings._above(height, 64)) / embeddings.FILLED - 1) < 0.01
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(1000, 64))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert abs(float(embeddings._above(0.25, 64)) - (np.abs(u @ u[0])[1:] > 0.25).mean() / 2) < 0.01
+    other = rng.normal(size=u.shape)
+    other -= (other * u).sum(1, keepdims=True) * u
+    w = 0.9 * u + np.sqrt(1 - 0.81) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    for n in (1000, 10**6):
+        code = embeddings.ProductCode(64, n)
+        a, b = (set(zip(*(x.tolist() for x in code.decode(m)), strict=True)) for m in (u, w))
+        assert len({r for r, _ in a & b}) > 0.98 * 1000
