@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kelpline.functions.text import tokenize
+from kelpline.functions.text import is_token, pieces
 
 #: BM25 and fusion weights, and the range below which a signal is flat.
 K1, B = 1.5, 0.75
@@ -18,39 +18,58 @@ VECTOR_WEIGHT, KEYWORD_WEIGHT = 0.6, 0.4
 FLAT_RANGE = 1e-12
 #: Query and row vectors of one block: a matrix product at a time.
 QUERY_BLOCK, ROW_BLOCK = 256, 1024
-#: Queries that are broadcast at most.
-MAX_BROADCAST_QUERIES = 100_000
+#: Bytes that are broadcast at most; what is larger is joined by a shuffle, or dealt to the rows block by block.
+MAX_BROADCAST = 128 << 20
+
+
+def broadcast_if(df: DataFrame, n_bytes: int) -> DataFrame:
+    return F.broadcast(df) if n_bytes <= MAX_BROADCAST else df
+
+
+def tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, term) of every token; split first and filtered as rows, which is generated code."""
+    return docs.select("doc_id", F.explode(pieces(F.col("text"))).alias("term")).filter(is_token(F.col("term")))
 
 
 def postings(docs: DataFrame) -> DataFrame:
     """(doc_id, term, tf) of (doc_id, text) rows."""
-    return docs.select("doc_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return tokens(docs).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_stats(posts: DataFrame) -> DataFrame:
-    """(term, df, cf): documents with the term, and times it occurs."""
-    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+def term_stats(docs: DataFrame) -> DataFrame:
+    """(term, df, cf): documents with the term, and times it occurs. A document's tokens are in one task, so its postings are nearly counted before the shuffle."""
+    return postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def doc_lengths(docs: DataFrame) -> DataFrame:
     """(doc_id, dl); documents without tokens count, with length 0."""
-    return docs.select("doc_id", F.size(tokenize(F.col("text"))).cast("long").alias("dl"))
+    pieces_of = docs.select("doc_id", F.explode(pieces(F.col("text"))).alias("term"))  # a split has one piece at least
+    return pieces_of.groupBy("doc_id").agg(F.count(F.when(is_token(F.col("term")), 1)).alias("dl"))
 
 
-def bm25(docs: DataFrame, query_terms: DataFrame) -> DataFrame:
-    """(query_id, doc_id, kw) of documents with a term of (query_id, term, weight).
+def bm25(docs: DataFrame, query_terms: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, kw) of documents with a term of (query_id, term, weight); of ``only`` (query_id, doc_id), if it is given.
 
-    Only the postings of query terms are grouped: terms are joined right after the split, so no posting of another term is shuffled.
-    Lengths and the corpus' totals come from one slim pass.
+    One pass over the texts: a document's tokens that nobody asks for are counted as one, those asked for by term. Lengths and the corpus' totals
+    are sums over these few rows.
     """
-    lengths = doc_lengths(docs)
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("total"))
     asked = query_terms.filter("weight <> 0").select("query_id", "term", "weight")
-    tokens = docs.select("doc_id", tokenize(F.col("text")).alias("tokens")).select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    hits = tokens.join(asked.select("term").distinct(), "term").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    n_terms, n_bytes = asked.agg(F.count(F.lit(1)), F.sum(F.length("term") + 40)).first()
+    small = 2 * (n_bytes or 0)
+    known = broadcast_if(asked.select("term", F.lit(True).alias("known")).distinct(), small)
+    pieces_of = docs.select("doc_id", F.explode(pieces(F.col("text"))).alias("term"))
+    token = is_token(F.col("term"))
+    counted = pieces_of.join(known, "term", "left").groupBy("doc_id", F.when(F.col("known") & token, F.col("term")).alias("term")).agg(F.count(F.when(token, 1)).alias("tf"))
+    each = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("hits")
+    by_doc = counted.groupBy("doc_id").agg(F.sum("tf").alias("dl"), each)
+    corpus = by_doc.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("total"))
+    hits = by_doc.select("doc_id", "dl", F.explode("hits").alias("h")).select("doc_id", "dl", "h.term", "h.tf")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    meant = broadcast_if(asked.join(df, "term"), small)
     # One row of totals for all.
-    scored = hits.join(df, "term").join(asked, "term").crossJoin(F.broadcast(corpus))
+    scored = hits.join(meant, "term").crossJoin(F.broadcast(corpus))
+    if only is not None:
+        scored = scored.join(only.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     average = F.col("total") / F.greatest(F.col("n_docs"), F.lit(1))
     term = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))
@@ -63,6 +82,11 @@ def top_k(scores: DataFrame, k: int, score: str, key: str = "doc_id") -> DataFra
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def checked_k(k: Column, default: int = 4) -> Column:
+    """Missing means the default; below 1 is an error; nothing caps it."""
+    return F.when(k.isNull(), F.lit(default)).when(k < 1, F.raise_error(F.lit("k must be 1 or more")).cast("int")).otherwise(k.cast("int"))
+
+
 def clamp_k(k: Column, low: int = 1, high: int = 10, default: int = 4) -> Column:
     """Missing, 0 and values that aren't numbers mean the default; others are clamped."""
     number = k.try_cast("int") if hasattr(k, "try_cast") else k.cast("int")
@@ -89,7 +113,7 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, k: int | None = None)
     schema = "ids binary, dims int, data binary"
     rows = vectors.filter("embedding is not null").select("vec_id", "embedding").mapInPandas(_packs("vec_id", "embedding", ROW_BLOCK), schema)
     asked = queries.filter("q is not null").select("query_id", "q").mapInPandas(_packs("query_id", "q", QUERY_BLOCK), schema).toDF("q_ids", "q_dims", "q_data")
-    few = queries.count() <= MAX_BROADCAST_QUERIES
+    n, dims = queries.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filter(len, batches):
@@ -106,47 +130,78 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, k: int | None = None)
                     i, j = np.nonzero(near >= np.partition(near, s.shape[1] - k, axis=1)[:, [s.shape[1] - k]])
                 yield pd.DataFrame({"query_id": np.frombuffer(q_ids, np.int64)[i], "vec_id": np.frombuffer(ids, np.int64)[j], "cosine": s[i, j]})
 
-    return rows.crossJoin(F.broadcast(asked) if few else asked).mapInPandas(run, "query_id long, vec_id long, cosine double")
+    return rows.crossJoin(broadcast_if(asked, 8 * n * (dims or 0))).mapInPandas(run, "query_id long, vec_id long, cosine double")
 
 
-def min_max(score: Column, by: list[str], flat: float) -> Column:
+def scaled(score: Column, low: Column, high: Column, flat: float) -> Column:
     """(x - min) / (max - min) within a query. A flat signal is ``flat``: 0 in the full variant, 1 in the prefilter one.
 
     At a range of exactly 1e-12 the full variant is flat and the other isn't.
     """
-    window = Window.partitionBy(*by)
-    low, high = F.min(score).over(window), F.max(score).over(window)
     is_flat = (high - low <= FLAT_RANGE) if flat == 0.0 else (high - low < FLAT_RANGE)
     return F.when(is_flat, F.lit(flat)).otherwise((score - low) / (high - low))
 
 
+def min_max(score: Column, by: list[str], flat: float) -> Column:
+    """``scaled`` between the extremes of each group of few rows, such as the k best of a query."""
+    window = Window.partitionBy(*by)
+    return scaled(score, F.min(score).over(window), F.max(score).over(window), flat)
+
+
 def fuse(vec: Column, kw: Column) -> Column:
     return vec * VECTOR_WEIGHT + kw * KEYWORD_WEIGHT
 
 
-def _normal(raw: Column, low: Column, high: Column, flat: float) -> Column:
-    is_flat = (high - low <= FLAT_RANGE) if flat == 0.0 else (high - low < FLAT_RANGE)
-    return F.when(is_flat, F.lit(flat)).otherwise((raw - low) / (high - low))
+def _first_unhit(docs: DataFrame, hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id) of the k smallest ids without a hit of each query, of every task at least: a list of the queries that hit it goes to each document."""
+    by_doc = hits.groupBy("doc_id").agg(F.collect_set("query_id").alias("hit_by"))
+    marked = docs.select("doc_id").join(by_doc, "doc_id", "left").sortWithinPartitions("doc_id")
+    names = queries.agg(F.collect_set("query_id").alias("every"))  # one row
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left: dict[int, int] | None = None
+        for pdf in filter(len, batches):
+            if left is None:
+                left = dict.fromkeys(pdf["every"].iloc[0].tolist(), k)
+            out = []
+            for doc_id, hit_by in zip(pdf["doc_id"], pdf["hit_by"], strict=True):
+                hit = set() if hit_by is None else set(hit_by)
+                for q in [q for q in left if q not in hit]:
+                    out.append((q, doc_id))
+                    left[q] -= 1
+                    if not left[q]:
+                        del left[q]
+                if not left:
+                    break
+            if out:
+                yield pd.DataFrame(out, columns=["query_id", "doc_id"])
+            if not left:
+                break
+
+    return marked.crossJoin(F.broadcast(names)).mapInPandas(run, "query_id long, doc_id long")
 
 
 def hybrid(vec: DataFrame, kw: DataFrame, docs: DataFrame, queries: DataFrame, k: int, variant: str = "full") -> DataFrame:
     """(query_id, doc_id, score, vec_score, kw_score, rank).
 
-    full: all documents are fused, a missing score is 0, a flat signal 0. prefilter: only the k best by vector are fused, flat is 1.
-    Extremes of a query are a partial aggregation, so no window holds all its documents; top-k is cut per task first.
+    full: all documents are fused, a missing score is 0, a flat signal 0. Only documents with a score are rows; of those without one, which score 0 in both,
+    the k first ids are enough. prefilter: only the k best by vector are fused, flat is 1. Extremes of a query are a partial aggregation, so no
+    window holds all its documents; top-k is cut per task first.
     """
     flat = 0.0 if variant == "full" else 1.0
     if variant == "full":
-        every = docs.select("doc_id").crossJoin(F.broadcast(queries.select("query_id").distinct()))
-        both = every.join(vec, ["query_id", "doc_id"], "left").join(kw, ["query_id", "doc_id"], "left")
+        zero = F.lit(0.0)
+        hits = vec.select("query_id", "doc_id", "vec", zero.alias("kw")).unionByName(kw.select("query_id", "doc_id", zero.alias("vec"), "kw")).groupBy("query_id", "doc_id").agg(F.sum("vec").alias("vec"), F.sum("kw").alias("kw"))
+        without = _first_unhit(docs, hits, queries, k).select("query_id", "doc_id", zero.alias("vec"), zero.alias("kw"))
+        both = hits.unionByName(without)
     else:
         best = top_k(vec.withColumn("_v", F.round("vec", 6)), k, "_v").drop("rank", "_v")
-        both = best.join(kw, ["query_id", "doc_id"], "left")
-    both = both.select("query_id", "doc_id", F.coalesce("vec", F.lit(0.0)).alias("vec"), F.coalesce("kw", F.lit(0.0)).alias("kw"))
-    ends = both.groupBy("query_id").agg(*[f(c).alias(f"{n}_{c}") for c in ("vec", "kw") for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    scored = both.join(F.broadcast(ends), "query_id").select(
-        "query_id", "doc_id",
-        F.round(_normal(F.col("vec"), F.col("lo_vec"), F.col("hi_vec"), flat), 6).alias("vec_score"),
-        F.round(_normal(F.col("kw"), F.col("lo_kw"), F.col("hi_kw"), flat), 6).alias("kw_score"),
-    )
-    return top_k(scored.withColumn("score", F.round(fuse(F.col("vec_score"), F.col("kw_score")), 6)), k, "score")
+        both = best.join(kw, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("vec", F.lit(0.0)).alias("vec"), F.coalesce("kw", F.lit(0.0)).alias("kw"))
+    if variant == "full":
+        ends = both.groupBy("query_id").agg(*[f(c).alias(f"{n}_{c}") for c in ("vec", "kw") for f, n in ((F.min, "lo"), (F.max, "hi"))])
+        both = both.join(broadcast_if(ends, 48 * queries.count()), "query_id")
+        norms = [scaled(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"), flat) for c in ("vec", "kw")]
+    else:
+        norms = [min_max(F.col(c), ["query_id"], flat) for c in ("vec", "kw")]
+    scores = both.select("query_id", "doc_id", *[F.round(n, 6).alias(f"{c}_score") for n, c in zip(norms, ("vec", "kw"), strict=True)])
+    return top_k(scores.withColumn("score", F.round(fuse(F.col("vec_score"), F.col("kw_score")), 6)), k, "score")

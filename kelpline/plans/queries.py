@@ -61,7 +61,7 @@ bm25 AS (
 
 @query(f"WITH {POSTINGS_SQL} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY term")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.term_stats(retrieval.postings(table(spark, sf_dir, "documents")))
+    return retrieval.term_stats(table(spark, sf_dir, "documents"))
 
 
 def query_terms_of(rows: DataFrame, key: str) -> DataFrame:
@@ -113,11 +113,16 @@ SELECT query_id, doc_id, vec_score, kw_score, score, row_number() OVER (PARTITIO
 def _hybrid(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
     docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     items = table(spark, sf_dir, "benchmark").filter("item_id % 100 = 0")
-    kw = retrieval.bm25(docs, query_terms_of(items, "item_id")).withColumn("kw", F.round("kw", 9))
     own = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     asked = vectors.join(F.broadcast(items.select(F.col("item_id").alias("vec_id"))), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    vec = retrieval.vector_scores(own, asked).select("query_id", F.col("vec_id").alias("doc_id"), F.round("cosine", 9).alias("vec"))
-    return retrieval.hybrid(vec, kw, docs, items.select(F.col("item_id").alias("query_id")), 10, variant).select("query_id", "doc_id", "vec_score", "kw_score", "score", "rank")
+    k = 10
+    vec = retrieval.vector_scores(own, asked, k if variant == "prefilter" else None).select("query_id", F.col("vec_id").alias("doc_id"), F.round("cosine", 9).alias("vec"))
+    only = None
+    if variant == "prefilter":
+        vec = retrieval.top_k(vec.withColumn("_v", F.round("vec", 6)), k, "_v").drop("rank", "_v")
+        only = vec
+    kw = retrieval.bm25(docs, query_terms_of(items, "item_id"), only).withColumn("kw", F.round("kw", 9))
+    return retrieval.hybrid(vec, kw, docs, items.select(F.col("item_id").alias("query_id")), k, variant).select("query_id", "doc_id", "vec_score", "kw_score", "score", "rank")
 
 
 @query(
@@ -147,7 +152,7 @@ def minmax_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both normalisations, per event type; extremes are aggregated, not windowed."""
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     ends = events.groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    scores = [F.round(retrieval._normal(F.col("value"), F.col("lo"), F.col("hi"), flat), 6).alias(name) for flat, name in ((0.0, "full_score"), (1.0, "prefilter_score"))]
+    scores = [F.round(retrieval.scaled(F.col("value"), F.col("lo"), F.col("hi"), flat), 6).alias(name) for flat, name in ((0.0, "full_score"), (1.0, "prefilter_score"))]
     return events.join(F.broadcast(ends), "event_type").select("event_id", *scores)
 
 
@@ -179,18 +184,21 @@ GLOSSARY_WEIGHT, TRANSLATION_WEIGHT = 1.0, 0.1
 
 
 def glossary_terms(question: F.Column) -> F.Column:
-    """Tokens of the phrases of all terms that a question contains, then its own ASCII tokens, once each."""
-    phrases = F.flatten(F.array(*[F.when(F.contains(question, F.lit(ko)), T.tokenize(F.lit(en))).otherwise(F.array().cast("array<string>")) for ko, en in GLOSSARY]))
+    """Tokens of the phrases of all terms that a question contains, then its own ASCII tokens, once each. The phrases are constants, tokenised here."""
+    held = F.lit(None).cast("array<string>")
+    phrases = F.array(*[F.when(F.contains(question, F.lit(ko)), F.array(*map(F.lit, T.tokens_of(en)))).otherwise(held) for ko, en in GLOSSARY])
     own = F.filter(T.tokenize(question), lambda t: t.rlike("^[a-z0-9]+$"))
-    return F.array_distinct(F.concat(phrases, own))
+    return F.array_distinct(F.concat(F.flatten(F.array_compact(phrases)), own))
 
 
 def weighted_terms(question: F.Column, translated: F.Column) -> F.Column:
-    """(term, weight): glossary terms at 1, those only in the translation at 0.1."""
-    sure = glossary_terms(question)
-    more = F.array_except(F.array_distinct(T.tokenize(translated)), sure)
-    weigh = lambda terms, w: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(w).alias("weight")))
-    return F.concat(weigh(sure, GLOSSARY_WEIGHT), weigh(more, TRANSLATION_WEIGHT))
+    """(term, weight): glossary terms at 1, those only in the translation at 0.1. The glossary terms are bound once and used twice."""
+    def weigh(terms: F.Column, w: float) -> F.Column:
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(w).alias("weight")))
+
+    more = F.array_distinct(T.tokenize(translated))
+    both = F.transform(F.array(F.struct(glossary_terms(question).alias("sure"), more.alias("more"))), lambda x: F.concat(weigh(x["sure"], GLOSSARY_WEIGHT), weigh(F.array_except(x["more"], x["sure"]), TRANSLATION_WEIGHT)))
+    return F.get(both, F.lit(0))
 
 
 _OWN_SQL = f"list_filter({tokens_sql('a.text')}, lambda t: regexp_full_match(t, '[a-z0-9]+'))"
