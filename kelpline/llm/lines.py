@@ -25,26 +25,36 @@ from .common import ASCII_SPACE, checkpointed, n_partitions
 
 #: Least code points of a key that is looked at.
 MIN_CHARS = 10
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_SPACE = ASCII_SPACE.encode()
+
+
+def _keys(text: str | None) -> list[bytes]:
+    """Keys of all lines in UTF-8, where lower-casing and stripping of ASCII bytes touch no other character."""
+    return [x.strip(_SPACE) for x in (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")]
+
+
+def _counts(key: bytes) -> bool:
+    """Whether a key has enough code points."""
+    return len(key) >= MIN_CHARS and (key.isascii() or len(key.decode("utf-8", "surrogatepass")) >= MIN_CHARS)
 
 
 def line_keys(text: str | None) -> list[str]:
     """Keys of all lines: ASCII white space stripped at both ends, A-Z lower-cased."""
-    return [x.strip(ASCII_SPACE) for x in (text or "").translate(_LOWER).split("\n")]
+    return [x.decode("utf-8", "surrogatepass") for x in _keys(text)]
 
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in filter(len, batches):
         doc, row, at, digests = [], [], [], []
         for d, r, text in zip(pdf["doc_id"], pdf["row_hash"], pdf["text"], strict=True):
-            for i, key in enumerate(line_keys(text)):
-                if len(key) >= MIN_CHARS:
-                    doc.append(d)
-                    row.append(r)
-                    at.append(i)
-                    digests.append(xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass")))
+            keys = _keys(text)
+            own = [i for i, key in enumerate(keys) if _counts(key)]
+            doc.append(np.full(len(own), d, np.int64))
+            row.append(np.full(len(own), r, np.int64))
+            at.extend(own)
+            digests.extend(xxhash.xxh3_128_digest(keys[i]) for i in own)
         pair = np.frombuffer(b"".join(digests), dtype=">i8").reshape(-1, 2).astype(np.int64)
-        yield pd.DataFrame({"h1": pair[:, 0], "h2": pair[:, 1], "doc_id": np.array(doc, np.int64), "row_hash": np.array(row, np.int64), "at": np.array(at, np.int32)})
+        yield pd.DataFrame({"h1": pair[:, 0], "h2": pair[:, 1], "doc_id": np.concatenate(doc), "row_hash": np.concatenate(row), "at": np.array(at, np.int32)})
 
 
 def _later(batches: Iterator[pd.DataFrame], first_of: dict[int, tuple[int, int, int]]) -> Iterator[pd.DataFrame]:
