@@ -22,34 +22,62 @@ DOCUMENTS = (
 #: Fixed value: least characters, blanks aside, of an article that isn't empty.
 MIN_BODY = 40
 
-_ANCHOR = re.compile(r'<div[^>]*class="[^"]*eli-subdivision[^"]*"[^>]*id="(art_[^"]+)"[^>]*>', re.I)
-_DIV = re.compile(r"<(/?)div\b", re.I)
-_HEADING = re.compile(r'<p[^>]*class="[^"]*(?:oj-ti-art|title-article-norm)[^"]*"[^>]*>(.*?)</p>', re.I | re.S)
-_TITLE = re.compile(r'<p[^>]*class="[^"]*(?:oj-sti-art|stitle-article-norm)[^"]*"[^>]*>(.*?)</p>', re.I | re.S)
-
-
-def balanced_div(page: str, start: int) -> str:
-    """From a div to its own end tag, which is left out; to the end of the page if there is none."""
-    depth = 0
-    for m in _DIV.finditer(page, start):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return page[start : m.start()]
-    return page[start:]
+#: Classes of an article's block, its heading and its title (two dialects), and how an article's id begins.
+BLOCK_CLASS, ID_PREFIX = "eli-subdivision", "art_"
+PART_CLASSES = {"heading": {"oj-ti-art", "title-article-norm"}, "title": {"oj-sti-art", "stitle-article-norm"}}
+
+_TAG = re.compile(r"<(/?)(div|p)\b([^>]*)>", re.I)
+_ATTR = re.compile(r"""([\w-]+)\s*=\s*"([^"]*)\"""")
+
+
+class _Block:
+    """An article's block while the page is read: where it starts, and its parts (start and end of the element and of its content)."""
+
+    def __init__(self, anchor: str, start: int):
+        self.anchor, self.start, self.end = anchor, start, None
+        self.parts: dict[str, tuple[int, int, int, int]] = {}
+
+
+def article_blocks(page: str) -> list[_Block]:
+    """Blocks in page order, by one pass over the tags with a stack of the open divs; one that is never closed ends with the page."""
+    found: list[_Block] = []
+    stack: list[_Block | None] = []
+    waiting: list[tuple[str, int, int]] = []  # paragraphs of a part that are open
+    for m in _TAG.finditer(page):
+        closing, name, attrs = bool(m[1]), m[2].lower(), {} if m[1] else {k.lower(): v for k, v in _ATTR.findall(m[3])}
+        if name == "div" and closing:
+            if not m[3] and stack:
+                block = stack.pop()
+                if block:
+                    block.end = m.start()
+        elif name == "div":
+            is_block = BLOCK_CLASS in attrs.get("class", "").split() and attrs.get("id", "").startswith(ID_PREFIX)
+            stack.append(_Block(attrs["id"], m.start()) if is_block else None)
+            found.extend(b for b in stack[-1:] if b)
+        elif closing:
+            for part, start, inner in waiting:
+                for block in filter(None, stack):
+                    if start > block.start:
+                        block.parts.setdefault(part, (start, inner, m.start(), m.end()))
+            waiting.clear()
+        else:
+            classes = set(attrs.get("class", "").split())
+            waiting.extend((part, m.start(), m.end()) for part, names in PART_CLASSES.items() if classes & names)
+    return found
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in filter(len, batches):
         rows = []
         for key, page in zip(pdf["doc_key"], pdf["html"], strict=True):
-            for place, m in enumerate(_ANCHOR.finditer(page or "")):
-                block = balanced_div(page, m.start())
-                heading, title = _HEADING.search(block), _TITLE.search(block)
-                body = block
-                for part in (heading, title):
-                    if part:
-                        body = body.replace(part[0], " ", 1)
-                rows.append((key, place, m[1], heading and heading[1], title and title[1], body))
+            page = page or ""
+            for place, block in enumerate(article_blocks(page)):
+                end, body, at = len(page) if block.end is None else block.end, [], block.start
+                for start, _, _, stop in sorted(block.parts.values()):
+                    body += [page[at:start], " "]
+                    at = stop
+                inner = {part: page[span[1] : span[2]] for part, span in block.parts.items()}
+                rows.append((key, place, block.anchor, inner.get("heading"), inner.get("title"), "".join([*body, page[at:end]])))
         if rows:
             yield pd.DataFrame(rows, columns=["doc_key", "place", "anchor", "heading_html", "title_html", "body_html"])
 
@@ -65,7 +93,9 @@ def judged(blocks: DataFrame, limits: DataFrame) -> DataFrame:
     b = blocks.filter(~F.contains("anchor", F.lit("."))).withColumn("art", F.regexp_replace("anchor", "^art_", ""))
     b = b.withColumn("num", F.regexp_extract("art", r"(?i)^(\d+)([a-z]*)$", 1)).withColumn("suffix", F.lower(F.regexp_extract("art", r"(?i)^(\d+)([a-z]*)$", 2)))
     b = b.withColumn("num", F.expr("try_cast(num as bigint)")).join(limits, "doc_key", "left")
-    b = b.withColumns({"body": html_text(F.col("body_html")), "heading": html_text(F.col("heading_html")), "title": html_text(F.col("title_html"))})
+    # One row each; the explode keeps what uses a text from computing it again.
+    texts = F.struct(*[html_text(F.col(f"{c}_html")).alias(c) for c in ("body", "heading", "title")])
+    b = b.select("*", F.explode(F.array(texts)).alias("_t")).select(*b.columns, "_t.*")
     reason = (
         F.when(F.col("num").isNull(), "number format")
         .when((F.col("max_article") > 0) & (F.col("num") > F.col("max_article")), "above limit")
@@ -76,13 +106,19 @@ def judged(blocks: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def chunk(pages: DataFrame, limits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(articles, dropped). Of equal articles of a document the first stays; later ones aren't counted as dropped."""
-    all_blocks = judged(raw_blocks(pages), limits)
-    first = Window.partitionBy("doc_key", "art").orderBy("place")
-    kept = all_blocks.filter("reason is null").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    """(articles, dropped). Of equal articles of a document the first that stays counts; later ones aren't looked at, so they aren't dropped either."""
+    same = Window.partitionBy("doc_key", "art")
+    all_blocks = judged(raw_blocks(pages), limits).withColumn("_first", F.min(F.when(F.col("reason").isNull(), F.col("place"))).over(same))
+    kept = all_blocks.filter("reason is null and place = _first")
     excerpt = F.substring(F.replace("body", F.lit("\n"), F.lit(" ")), 1, EXCERPT_MAX)
     articles = kept.select("doc_key", "art", "num", "suffix", "heading", "title", F.substring("body", 1, TEXT_MAX).alias("text"), excerpt.alias("excerpt"), "place")
-    return articles, all_blocks.filter("reason is not null").select("doc_key", "art", "reason")
+    dropped = all_blocks.filter("reason is not null and not (reason = 'empty body' and coalesce(place > _first, false))")
+    return articles, dropped.select("doc_key", "art", "reason")
+
+
+def in_order(articles: DataFrame) -> DataFrame:
+    """Articles by document, number and suffix: 3, 3a, 3b, 4."""
+    return articles.orderBy("doc_key", "num", "suffix")
 
 
 def first_n(articles: DataFrame, n: int) -> DataFrame:

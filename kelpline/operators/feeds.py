@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import ROUND_HALF_UP, Decimal
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.operators import market
 
-#: Feeds in the order in which they are asked.
-PROVIDERS = ("chart", "screen", "contract")
-
-
 def _fixed(value: pd.Series, digits: pd.Series) -> pd.Series:
-    def one(x: float, n: int) -> float | None:
-        if x is None or x != x or x in (float("inf"), float("-inf")):
-            return None
-        return float(Decimal(x).quantize(Decimal(1).scaleb(-int(n)), ROUND_HALF_UP))
-
-    return pd.Series([one(x, n) for x, n in zip(value, digits, strict=True)], dtype="float64")
+    """A whole batch at once; only values within rounding error of a tie are looked at digit by digit."""
+    x = value.to_numpy(np.float64, na_value=np.nan)
+    n = digits.to_numpy(np.int64)
+    shifted = np.abs(x) * 10.0**n
+    whole = np.floor(shifted)
+    up = shifted - whole >= 0.5
+    near = np.flatnonzero(np.isfinite(x) & (np.abs(shifted - whole - 0.5) < 1e-6 * np.maximum(shifted, 1)))
+    out = np.sign(x) * (whole + up) / 10.0**n
+    for i in near:
+        out[i] = float(Decimal(float(x[i])).quantize(Decimal(1).scaleb(-int(n[i])), ROUND_HALF_UP))
+    return pd.Series(np.where(np.isfinite(x), out, np.nan)).astype(object).where(np.isfinite(x), None)
 
 
 def to_fixed(value: Column, digits: int) -> Column:
@@ -28,72 +32,134 @@ def to_fixed(value: Column, digits: int) -> Column:
     return F.pandas_udf(_fixed, "double")(value, F.lit(digits))
 
 
-def _json(payload: Column, path: str) -> Column:
-    return F.get_json_object(payload, path)
-
-
-def _quote(spot: Column, wrong: Column, change: Column, as_of: Column, delay: Column) -> Column:
-    """A struct of one provider's quote; its spot is null with a reason if it is refused."""
-    sane = F.coalesce(spot.between(market.SPOT_LOW, market.SPOT_HIGH) & ~F.isnan(spot), F.lit(False))
-    reason = F.when(~sane, "out of range").when(F.coalesce(wrong, F.lit(False)), "wrong product")
-    ok = reason.isNull()
-    return F.struct(F.when(ok, spot).alias("spot"), F.when(ok, change).alias("day_change_pct"), F.when(ok, as_of).alias("as_of"), F.when(ok, delay).alias("delay_minutes"), reason.alias("reason"))
-
-
-def chart_quote(payload: Column) -> Column:
-    """Flat fields; the currency must be the euro if it is told, the stated change is checked against the absolute one."""
-    spot, pct, absolute = (market.number(_json(payload, f"$.{k}")) for k in ("close", "change", "change_abs"))
-    currency = F.upper(F.coalesce(F.nullif(_json(payload, "$.currency"), F.lit("")), _json(payload, "$.currency_id"), F.lit("")))
-    derived = F.when(spot - absolute > 0, absolute / (spot - absolute) * 100)
-    change = F.when(derived.isNotNull() & (F.abs(derived - pct) > market.CHANGE_TOLERANCE), derived).otherwise(pct)
-    as_of = market.utc_text(_json(payload, "$.update_time").try_cast("long"))
-    return _quote(spot, (currency != "") & (currency != "EUR"), change, as_of, market.delay_minutes(_json(payload, "$.update_mode")))
-
-
-def screen_quote(payload: Column) -> Column:
-    """A nested pair; its point value must hold a euro sign if it is told. The second percent field has a misspelt name."""
-    at = "$.data[0].screen_data.pairs_data[0]."
-    spot, first, second, absolute = (market.number(_json(payload, at + k)) for k in ("last", "change_percent_val", "change_precent_raw", "change_val"))
-    point = F.coalesce(_json(payload, at + "point_value"), F.lit(""))
-    change = market.resolved_change(F.coalesce(first, second), absolute, spot, "stated")
-    return _quote(spot, (point != "") & ~F.contains(point, F.lit("€")), change, market.utc_text(_json(payload, at + "last_timestamp").try_cast("long")), F.lit(None).cast("int"))
-
-
-def contract_quote(payload: Column) -> Column:
-    """The raw part of a row, or the row; the contract's name must hold EUA if it is told. The stated change is a fraction."""
-    def field(k: str) -> Column:
-        return F.coalesce(_json(payload, f"$.data[0].raw.{k}"), F.when(_json(payload, "$.data[0].raw").isNull(), _json(payload, f"$.data[0].{k}")))
-
-    spot, absolute, pct = (market.number(field(k)) for k in ("lastPrice", "priceChange", "percentChange"))
-    name = F.coalesce(_json(payload, "$.data[0].contractName"), _json(payload, "$.data[0].raw.contractName"), F.lit(""))
-    as_of = F.coalesce(market.short_date(_json(payload, "$.data[0].tradeTime")), market.utc_text(_json(payload, "$.data[0].raw.tradeTime").try_cast("long"), False))
-    return _quote(spot, (name != "") & ~name.rlike("(?i)EUA"), market.resolved_change(pct, absolute, spot, "derived"), as_of, F.lit(None).cast("int"))
+class Feed(NamedTuple):
+    """A provider as data: its payload's schema, where its fields are, and its rules."""
+
+    schema: str
+    fields: dict[str, tuple[str, ...]]  # paths in order; the first that is there counts
+    names_product: str  # what the text of ``product`` must match, if there is one
+    change: str  # the rule of market.resolved_change
+
+
+_PAIR = "struct<last:string,change_percent_val:string,change_precent_raw:string,change_val:string,point_value:string,last_timestamp:string>"
+_RAW = "lastPrice:string,priceChange:string,percentChange:string,contractName:string,tradeTime:string"
+_P, _R = "data[0].screen_data.pairs_data[0].", "data[0]."
+#: Feeds in the order in which they are asked, the names of their fields (one is misspelt there), and the day change's decimals.
+FEEDS = {
+    "chart": Feed(
+        "close string, change string, change_abs string, currency string, currency_id string, update_time string, update_mode string",
+        {"spot": ("close",), "pct": ("change",), "absolute": ("change_abs",), "product": ("nullif(currency, '')", "currency_id"), "seconds": ("update_time",), "mode": ("update_mode",)},
+        "(?i)^EUR$", "crossed",
+    ),
+    "screen": Feed(
+        f"data array<struct<screen_data:struct<pairs_data:array<{_PAIR}>>>>",
+        {"spot": (_P + "last",), "pct": (_P + "change_percent_val", _P + "change_precent_raw"), "absolute": (_P + "change_val",), "product": (_P + "point_value",), "seconds": (_P + "last_timestamp",)},
+        "€", "stated",
+    ),
+    "contract": Feed(
+        f"data array<struct<raw:struct<{_RAW}>,{_RAW}>>",
+        {
+            "spot": (_R + "raw.lastPrice", _R + "lastPrice"), "pct": (_R + "raw.percentChange", _R + "percentChange"), "absolute": (_R + "raw.priceChange", _R + "priceChange"),
+            "product": (_R + "contractName", _R + "raw.contractName"), "day": (_R + "tradeTime",), "seconds": (_R + "raw.tradeTime", _R + "tradeTime"),
+        },
+        "(?i)EUA", "derived",
+    ),
+}
+PROVIDERS = tuple(FEEDS)
+CHANGE_DIGITS = 2
+_NUMBERS = ("spot", "pct", "absolute")
+
+
+def _fields(name: str, feed: Feed) -> Column:
+    """A struct of the fields of one provider's payload, as text; the payload is parsed once."""
+    parsed = F.from_json("payload", feed.schema)
+
+    def pick(x: Column) -> Column:
+        found = []
+        for key in ("spot", "pct", "absolute", "product", "day", "seconds", "mode"):
+            paths = [_at(x, path) for path in feed.fields.get(key, ())]
+            # Where a contract has a raw part, its numbers come from there alone.
+            if name == "contract" and key in (*_NUMBERS, "seconds"):
+                paths = [F.coalesce(paths[0], F.when(_at(x, "data[0].raw").isNull(), paths[1]))]
+            found.append((F.coalesce(*paths) if paths else F.lit(None)).cast("string").alias(key))
+        return F.struct(*found)
+
+    return F.get(F.transform(F.array(parsed), pick), F.lit(0))
+
+
+def _at(x: Column, path: str) -> Column:
+    if path.startswith("nullif("):
+        return F.nullif(x[path[7:].split(",")[0]], F.lit(""))
+    for step in path.split("."):
+        name, _, index = step.partition("[")
+        x = x[name]
+        x = F.get(x, F.lit(int(index[:-1]))) if index else x
+    return x
+
+
+def quotes(payloads: DataFrame, now: Column | None = None) -> DataFrame:
+    """Rows (…, provider, payload) with priority, spot, day_change_pct, as_of, delay_minutes and reason. An unknown provider is refused.
+
+    A quote without a time of its own has the day of ``now``. The spot of a refused quote is null, and so is all else of it.
+    """
+    provider = F.col("provider")
 
+    def by_feed(of: Callable[[Feed], Column]) -> Column:
+        chosen = F.when(F.lit(False), of(FEEDS["chart"]))
+        for name, feed in FEEDS.items():
+            chosen = chosen.when(provider == name, of(feed))
+        return chosen
 
-def quotes(payloads: DataFrame) -> DataFrame:
-    """Rows (…, provider, payload) with priority, spot, day_change_pct, as_of, delay_minutes and reason. An unknown provider is refused."""
-    parsed = F.when(F.col("provider") == "chart", chart_quote(F.col("payload"))).when(F.col("provider") == "screen", screen_quote(F.col("payload"))).when(F.col("provider") == "contract", contract_quote(F.col("payload")))
-    priority = F.array_position(F.array(*[F.lit(p) for p in PROVIDERS]), F.col("provider"))
+    fields = F.when(F.lit(False), _fields("chart", FEEDS["chart"]))
+    for name, feed in FEEDS.items():
+        fields = fields.when(provider == name, _fields(name, feed))
     rest = [c for c in payloads.columns if c != "payload"]
-    return payloads.withColumn("_q", parsed).select(*rest, priority.alias("priority"), "_q.spot", "_q.day_change_pct", "_q.as_of", "_q.delay_minutes", F.when(F.col("_q").isNull(), "unknown provider").otherwise(F.col("_q.reason")).alias("reason"))
+    # One row each; the explode keeps later expressions from parsing the payload again.
+    read = payloads.select(*rest, F.explode(F.array(fields)).alias("_f"))
+    spot, pct, absolute = (market.number(F.col(f"_f.{k}")) for k in _NUMBERS)
+    read = read.select(*rest, "_f", spot.alias("_spot"), pct.alias("_pct"), absolute.alias("_abs"))
+    sane = F.coalesce(F.col("_spot").between(market.SPOT_LOW, market.SPOT_HIGH) & ~F.isnan("_spot"), F.lit(False))
+    product = F.coalesce("_f.product", F.lit(""))
+    wrong = (product != "") & ~by_feed(lambda feed: product.rlike(feed.names_product))
+    reason = F.when(~provider.isin(*PROVIDERS), "unknown provider").when(~sane, "out of range").when(wrong, "wrong product")
+    change = by_feed(lambda feed: market.resolved_change(F.col("_pct"), F.col("_abs"), F.col("_spot"), feed.change))
+    seconds = F.col("_f.seconds").try_cast("long")
+    told = F.when(provider == "contract", F.coalesce(market.short_date(F.col("_f.day")), market.utc_text(seconds, False))).otherwise(market.utc_text(seconds))
+    as_of = F.coalesce(told, F.date_format(now if now is not None else F.current_timestamp(), "yyyy-MM-dd"))
+    ok = F.col("reason").isNull()
+    priority = F.array_position(F.array(*[F.lit(p) for p in PROVIDERS]), provider)
+    judged = read.withColumn("reason", F.coalesce(reason, F.when(provider.isNull(), "unknown provider")))
+    return judged.select(
+        *rest, priority.alias("priority"), F.when(ok, F.col("_spot")).alias("spot"), to_fixed(F.when(ok, change), CHANGE_DIGITS).alias("day_change_pct"),
+        F.when(ok, as_of).alias("as_of"), F.when(ok, market.delay_minutes(F.col("_f.mode"))).alias("delay_minutes"), "reason",
+    )
 
 
-RATES = "result string, base_code string, time_last_update_utc string, rates map<string,decimal(20,10)>"
+RATES = "result string, time_last_update_utc string, rates map<string,string>"
+#: Digits that a stated rate keeps.
+RATE_TYPE = "decimal(38,20)"
 
 
 def fx_rows(payloads: DataFrame) -> DataFrame:
-    """Rows (…, payload) with usd_per_eur, krw_per_eur, as_of and the reason where a payload is refused."""
-    p = F.from_json("payload", RATES)
-    eur, krw = p["rates"]["EUR"], p["rates"]["KRW"]
-    as_of = market.rfc_date(p["time_last_update_utc"])
+    """Rows (…, payload) with usd_per_eur, krw_per_eur, as_of and the reason where a payload is refused. Rates keep all their digits: they aren't read as doubles."""
+    rest = [c for c in payloads.columns if c != "payload"]
+    read = payloads.select(*rest, F.explode(F.array(F.struct(F.from_json("payload", RATES).alias("p"), F.try_parse_json("payload").alias("v")))).alias("_f"))
+    p = F.col("_f.p")
+    eur, krw = (F.try_variant_get(F.col("_f.v"), f"$.rates.{name}", RATE_TYPE) for name in ("EUR", "KRW"))
+    read = read.select(*rest, p["result"].alias("_result"), p["rates"].alias("_rates"), market.rfc_date(p["time_last_update_utc"]).alias("_as_of"), eur.alias("_eur"), krw.alias("_krw"))
     reason = (
-        F.when(p.isNull() | F.coalesce(p["result"] != "success", F.lit(True)), "no success").when(p["rates"].isNull(), "no rates").when(eur.isNull(), "no EUR")
-        .when(krw.isNull(), "no KRW").when(eur == 0, "EUR is 0").when(as_of.isNull(), "no date")
+        F.when(F.coalesce(F.col("_result") != "success", F.lit(True)), "no success").when(F.col("_rates").isNull(), "no rates").when(F.col("_eur").isNull(), "no EUR")
+        .when(F.col("_krw").isNull(), "no KRW").when(F.col("_eur") == 0, "EUR is 0").when(F.col("_as_of").isNull(), "no date")
     )
-    usd_per_eur, krw_per_eur = market.cross_rates(eur, krw)
-    rest = [c for c in payloads.columns if c != "payload"]
-    ok = reason.isNull()
-    return payloads.select(*rest, F.when(ok, usd_per_eur).alias("usd_per_eur"), F.when(ok, krw_per_eur).alias("krw_per_eur"), F.when(ok, as_of).alias("as_of"), reason.alias("reason"))
+    ok = F.col("reason").isNull()
+    usd_per_eur, krw_per_eur = market.cross_rates(F.when(ok, F.col("_eur")), F.when(ok, F.col("_krw")))
+    return read.withColumn("reason", reason).select(*rest, usd_per_eur.alias("usd_per_eur"), krw_per_eur.alias("krw_per_eur"), F.when(ok, F.col("_as_of")).alias("as_of"), "reason")
+
+
+def log_rates(fetched: DataFrame, fetched_at: Column, path: str) -> None:
+    """Appends two rows (base, quote, rate, fetched_at) for each row (base, usd_per_eur, krw_per_eur, reason) that wasn't refused."""
+    pair = F.array(*[F.struct(F.lit(q).alias("quote"), F.col(c).cast("decimal(38,30)").alias("rate")) for q, c in (("USD", "usd_per_eur"), ("KRW", "krw_per_eur"))])
+    fetched.filter("reason is null").select("base", F.inline(pair)).withColumn("fetched_at", fetched_at).write.mode("append").parquet(path)
 
 
 def fx_answer(rates: DataFrame, fetched: DataFrame, now: Column) -> DataFrame:

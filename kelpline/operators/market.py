@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_EVEN, Context
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +31,11 @@ def latest_per_key(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataF
     return rows.groupBy(*keys).agg(newest).select(*keys, "_r.*")
 
 
+def latest_overall(rows: DataFrame, at: str, tie: str) -> DataFrame:
+    """The newest row of all, the greatest ``tie`` among equals: one row, or none."""
+    return rows.orderBy(F.desc(at), F.desc(tie)).limit(1)
+
+
 def daily_closes(ticks: DataFrame, keys: list[str], at: str, value: str, tie: str) -> DataFrame:
     """(keys, price_date, close): the last value of each day."""
     return ticks.filter(F.col(value).isNotNull()).groupBy(*keys, F.to_date(at).alias("price_date")).agg(F.max_by(value, F.struct(at, tie)).alias("close"))
@@ -71,6 +79,20 @@ def cache_decision(history: DataFrame, quotes: DataFrame, now: Column, keys: lis
     return both.withColumn("status", status).withColumn("is_live", F.col("status").isin("cached", "fetched"))
 
 
+def cached_answer(entries: DataFrame, loaded: DataFrame, now: Column, keys: list[str], ttl_s: int, fallback: Column) -> DataFrame:
+    """(keys, value, status, is_live, reason): a fresh entry, else what was loaded, else the stale entry, else the fallback.
+
+    entries: (keys, value, stored_at); loaded: (keys, new_value, error), new_value null where the loader failed. A stale entry isn't dated again, so every later
+    call loads anew. ``reason`` is the loader's error where its value was wanted.
+    """
+    both = entries.join(loaded, keys, "full_outer")
+    held = F.col("value").isNotNull()
+    status = F.when(held & is_fresh(F.col("stored_at"), now, ttl_s), "cached").when(F.col("new_value").isNotNull(), "loaded").when(held, "stale").otherwise("fallback")
+    answer = F.when(F.col("status").isin("cached", "stale"), F.col("value")).when(F.col("status") == "loaded", F.col("new_value")).otherwise(fallback)
+    failed = F.col("status").isin("stale", "fallback")
+    return both.withColumn("status", status).select(*keys, answer.alias("value"), "status", (~failed).alias("is_live"), F.when(failed, F.coalesce("error", F.lit("no answer"))).alias("reason"))
+
+
 def first_provider(offers: DataFrame, keys: list[str]) -> DataFrame:
     """The valid offer of least priority of each key; failed and later ones are listed in ``attempts`` up to it.
 
@@ -93,12 +115,12 @@ def number(value: Column) -> Column:
 def resolved_change(pct: Column, absolute: Column, spot: Column, rule: str = "checked") -> Column:
     """Day change in percent from a stated one and an absolute one.
 
-    checked: the stated one unless it is off the derived one by more than the tolerance. stated: stated, then derived. derived: derived, then the
-    stated one, which is a fraction if it is 1 at most.
+    checked: the stated one unless it is off the derived one by more than the tolerance. crossed: the same, but nothing where none is stated.
+    stated: stated, then derived. derived: derived, then the stated one, which is a fraction if it is 1 at most.
     """
     derived = F.when(spot - absolute > 0, absolute / (spot - absolute) * 100)
-    if rule == "checked":
-        return F.when(pct.isNull(), derived).when(derived.isNotNull() & (F.abs(pct - derived) > CHANGE_TOLERANCE), derived).otherwise(pct)
+    if rule in ("checked", "crossed"):
+        return F.when(pct.isNull(), derived if rule == "checked" else F.lit(None)).when(derived.isNotNull() & (F.abs(pct - derived) > CHANGE_TOLERANCE), derived).otherwise(pct)
     if rule == "stated":
         return F.coalesce(pct, derived)
     return F.coalesce(derived, F.when(F.abs(pct) <= 1, pct * 100).otherwise(pct))
@@ -126,11 +148,22 @@ def zipped_closes(timestamps: Column, closes: Column) -> Column:
     return F.when((F.size(timestamps) == F.size(closes)) & (F.size(pairs) >= 2), pairs)
 
 
+#: Fixed value: significant digits of a rate's division.
+DIGITS = 34
+
+
+def _divided(a: pd.Series, b: pd.Series) -> pd.Series:
+    context = Context(prec=DIGITS, rounding=ROUND_HALF_EVEN)
+    return pd.Series([None if x is None or y is None or not y else context.divide(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+
 def cross_rates(eur_per_usd: Column, krw_per_usd: Column) -> tuple[Column, Column]:
-    """(dollars a euro, won a euro) in decimals; null for a missing or zero euro rate."""
-    eur, krw = eur_per_usd.cast("decimal(18,16)"), krw_per_usd.cast("decimal(18,8)")
-    ok = eur.isNotNull() & (eur != 0)
-    return F.when(ok, F.lit(1).cast("decimal(18,8)") / eur), F.when(ok, krw / eur)
+    """(dollars a euro, won a euro) to 34 significant digits; null for a missing or zero euro rate.
+
+    Spark's own division of decimals keeps fewer digits; there are two of these a refresh.
+    """
+    divide = {scale: F.pandas_udf(_divided, f"decimal(38,{scale})") for scale in (33, 30)}
+    return divide[33](F.lit(1).cast("decimal(38,20)"), eur_per_usd), divide[30](krw_per_usd, eur_per_usd)
 
 
 def rfc_date(text: Column) -> Column:
