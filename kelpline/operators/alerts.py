@@ -61,3 +61,8 @@ def delivered(state: DataFrame, results: DataFrame) -> DataFrame:
     done = state.join(results, "key", "left")
     status = F.when(F.col("status") == "sending", F.when(F.col("ok"), "sent").when(~F.col("ok"), "failed").otherwise("sending")).otherwise(F.col("status"))
     return done.select("key", "target", status.alias("status"))
+
+
+def send_results(answers: DataFrame) -> DataFrame:
+    """(key, ok) of a mail service's answers (key, body): sent only if the body has an id."""
+    return answers.select("key", (F.coalesce(F.get_json_object("body", "$.id"), F.lit("")) != "").alias("ok"))

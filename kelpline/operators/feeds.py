@@ -121,15 +121,14 @@ def quotes(payloads: DataFrame, now: Column | None = None) -> DataFrame:
     sane = F.coalesce(F.col("_spot").between(market.SPOT_LOW, market.SPOT_HIGH) & ~F.isnan("_spot"), F.lit(False))
     product = F.coalesce("_f.product", F.lit(""))
     wrong = (product != "") & ~by_feed(lambda feed: product.rlike(feed.names_product))
-    reason = F.when(~provider.isin(*PROVIDERS), "unknown provider").when(~sane, "out of range").when(wrong, "wrong product")
+    reason = F.when(~F.coalesce(provider.isin(*PROVIDERS), F.lit(False)), "unknown provider").when(~sane, "out of range").when(wrong, "wrong product")
     change = by_feed(lambda feed: market.resolved_change(F.col("_pct"), F.col("_abs"), F.col("_spot"), feed.change))
     seconds = F.col("_f.seconds").try_cast("long")
     told = F.when(provider == "contract", F.coalesce(market.short_date(F.col("_f.day")), market.utc_text(seconds, False))).otherwise(market.utc_text(seconds))
     as_of = F.coalesce(told, F.date_format(now if now is not None else F.current_timestamp(), "yyyy-MM-dd"))
     ok = F.col("reason").isNull()
     priority = F.array_position(F.array(*[F.lit(p) for p in PROVIDERS]), provider)
-    judged = read.withColumn("reason", F.coalesce(reason, F.when(provider.isNull(), "unknown provider")))
-    return judged.select(
+    return read.withColumn("reason", reason).select(
         *rest, priority.alias("priority"), F.when(ok, F.col("_spot")).alias("spot"), to_fixed(F.when(ok, change), CHANGE_DIGITS).alias("day_change_pct"),
         F.when(ok, as_of).alias("as_of"), F.when(ok, market.delay_minutes(F.col("_f.mode"))).alias("delay_minutes"), "reason",
     )

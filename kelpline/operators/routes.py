@@ -68,11 +68,29 @@ def lat_lng(path: Column) -> Column:
     return F.transform(path, lambda p: F.array(F.get(p, F.lit(1)), F.get(p, F.lit(0))))
 
 
-def shortest_paths(requests: DataFrame, edges: list[tuple[str, str, float, str | None]]) -> DataFrame:
+#: Edges of a network that is shared with every task at most.
+MAX_EDGES = 1_000_000
+
+
+def distance_status(distances: DataFrame) -> DataFrame:
+    """Rows (lng, lat, restrictions, snapped, nm, path, …) with ``status``: ok, invalid (400), too far from the network (400), no route (422), or error (500) for half an answer."""
+    valid = valid_point(F.col("lng"), F.col("lat")) & valid_restrictions(F.coalesce("restrictions", F.array().cast("array<string>")))
+    status = (
+        F.when(~valid, 400).when(~F.coalesce("snapped", F.lit(False)), 400).when(F.col("nm").isNull() & F.col("path").isNull(), 422).when(F.col("nm").isNull() | F.col("path").isNull(), 500).otherwise(200)
+    )
+    kind = F.when(~valid, "invalid").when(status == 400, "too far").when(status == 422, "no route").when(status == 500, "error").otherwise("ok")
+    return distances.withColumns({"code": status, "status": kind})
+
+
+def shortest_paths(requests: DataFrame, edges: DataFrame | list[tuple[str, str, float, str | None]]) -> DataFrame:
     """(request_id, nm, path) of (request_id, source, target, restrictions) over a given network: (from, to, nm, passage) edges, both ways.
 
-    The network is small and shared with every task; requests are dealt out. No way: nm and path are null.
+    The network is small, which is checked, and shared with every task; requests are dealt out. No way: nm and path are null.
     """
+    if isinstance(edges, DataFrame):
+        edges = [tuple(r) for r in edges.limit(MAX_EDGES + 1).collect()]
+    if len(edges) > MAX_EDGES:
+        raise ValueError(f"more than {MAX_EDGES} edges")
     shared = requests.sparkSession.sparkContext.broadcast(edges)
 
     def solve(batches):

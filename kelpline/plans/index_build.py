@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
+import random
+import time
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.functions.text import embedding_input
 from kelpline.operators import chunks
 
 
-def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float] | None]], dims: int, batch: int = 64) -> DataFrame:
-    """(id, vec) of (id, text) through an injected embedder, unit length. Failed texts give no row; a wrong length or a zero vector is an error."""
+#: Fixed value: times that a failed call is made at most.
+ATTEMPTS = 6
+#: Bytes above which an index is worth a warning.
+LARGE_INDEX = 20 << 20
+
+
+def _patiently(embedder: Callable, texts: list[str], pause: float) -> list[list[float] | None]:
+    """The embedder's answer, asked again after pauses that double and vary by up to half; its last failure is raised."""
+    for attempt in range(ATTEMPTS):
+        try:
+            return embedder(texts)
+        except Exception:  # whatever the client raises
+            if attempt + 1 == ATTEMPTS:
+                raise
+            time.sleep(pause * 2**attempt * (1 + random.random() / 2))
+    return []
+
+
+def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float] | None]], dims: int, batch: int = 64, pause: float = 1.0) -> DataFrame:
+    """(id, vec) of (id, text) through an injected embedder, unit length. Calls that fail are made again; failed texts give no row; a wrong length or a zero vector is an error."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filter(len, batches):
             for a in range(0, len(pdf), batch):
                 part = pdf.iloc[a : a + batch]
                 out = []
-                for key, v in zip(part["id"], embedder(part["text"].tolist()), strict=True):
+                for key, v in zip(part["id"], _patiently(embedder, part["text"].tolist(), pause), strict=True):
                     if v is None:
                         continue
                     x = np.asarray(v, np.float64)
@@ -55,5 +76,25 @@ def build_index(pages: DataFrame, documents: DataFrame, embedder: Callable, dims
     return index, report
 
 
-def write_index(index: DataFrame, path: str) -> None:
-    index.write.mode("overwrite").partitionBy("doc").parquet(path)
+def write_index(index: DataFrame, path: str) -> int:
+    """Writes the index, articles in their order within a document, and tells its bytes; a large one is warned of."""
+    num = F.regexp_extract("art", r"^(\d+)", 1).cast("long")
+    index.repartition("doc").sortWithinPartitions("doc", num, "art").write.mode("overwrite").partitionBy("doc").parquet(path)
+    spark = index.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    if size > LARGE_INDEX:
+        warnings.warn(f"the index has {size} bytes", stacklevel=2)
+    return size
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame | None, dict]:
+    """The index and its status: ready, with its articles, documents and dimensions, or not, with a reason."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None, {"ready": False, "reason": "no index"}
+    index = spark.read.parquet(path)
+    found = index.agg(F.count(F.lit(1)).alias("articles"), F.count_distinct("doc").alias("documents"), F.max(F.size("vec")).alias("dims"), F.min(F.size("vec")).alias("least")).first()
+    if not found["articles"] or found["dims"] != found["least"]:
+        return None, {"ready": False, "reason": "empty index" if not found["articles"] else "vectors of several lengths"}
+    return index, {"ready": True, "articles": found["articles"], "documents": found["documents"], "dims": found["dims"]}

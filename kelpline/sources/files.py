@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Greatest file, greatest sum of unpacked sections, and extensions that are read.
 MAX_BYTES, MAX_UNPACKED = 8 * 1024 * 1024, 50 * 1024 * 1024
 EXTENSIONS = ("pdf", "docx", "hwpx", "txt", "md")
+#: What a damaged, encrypted or oddly packed file raises: its own status, never the job's end.
+DAMAGED = (ValueError, KeyError, EOFError, OSError, RuntimeError, NotImplementedError, struct.error, zlib.error, zipfile.BadZipFile, ElementTree.ParseError)
 _SECTION = re.compile(r"Contents/section(\d+)\.xml")
 
 
@@ -32,15 +36,30 @@ def _parsed(data: bytes) -> ElementTree.Element:
     return ElementTree.fromstring(data)
 
 
+def _unpacked(z: zipfile.ZipFile, name: str, left: int) -> bytes:
+    """An entry's bytes; an error if there are more than ``left``, whatever its header says."""
+    with z.open(name) as f:
+        data = f.read(left + 1)
+    if len(data) > left:
+        raise ValueError("too large")
+    return data
+
+
+def _own_text(p: ElementTree.Element) -> str:
+    """Text of a paragraph without that of paragraphs inside it, which are lines of their own."""
+    parts = []
+    for child in p:
+        kind = _local(child.tag)
+        if kind != "p":
+            parts.append((child.text or "") if kind == "t" else "\t" if kind == "tab" else _own_text(child))
+    return "".join(parts)
+
+
 def _docx(data: bytes) -> str:
     """Paragraphs in order, those of tables included."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        root = _parsed(z.read("word/document.xml"))
-    lines = []
-    for p in root.iter():
-        if _local(p.tag) == "p":
-            lines.append("".join(x.text or "" if _local(x.tag) == "t" else "\t" if _local(x.tag) == "tab" else "" for x in p.iter()))
-    return "\n".join(lines).strip()
+        root = _parsed(_unpacked(z, "word/document.xml", MAX_UNPACKED))
+    return "\n".join(_own_text(p) for p in root.iter() if _local(p.tag) == "p").strip()
 
 
 def _outer(node: ElementTree.Element) -> Iterator[ElementTree.Element]:
@@ -59,10 +78,7 @@ def _hwpx(data: bytes) -> str:
             if info.filename.startswith("/") or ".." in info.filename or "\\" in info.filename:
                 raise ValueError("entry name")
             if m := _SECTION.fullmatch(info.filename):
-                with z.open(info) as f:
-                    sections[int(m[1])] = f.read(MAX_UNPACKED + 1)
-                if sum(map(len, sections.values())) > MAX_UNPACKED:
-                    raise ValueError("too large")
+                sections[int(m[1])] = _unpacked(z, info.filename, MAX_UNPACKED - sum(map(len, sections.values())))
     if not sections:
         raise ValueError("no section")
     lines = ("".join(t.text or "" for t in p.iter() if _local(t.tag) == "t").strip() for k in sorted(sections) for p in _outer(_parsed(sections[k])))
@@ -77,11 +93,16 @@ def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 text = data.decode("utf-8") if kind in ("txt", "md") else {"docx": _docx, "hwpx": _hwpx}[kind](data)
                 rows.append((path, text, "ok"))
-            except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError):
+            except DAMAGED:
                 rows.append((path, None, "parse error"))
         yield pd.DataFrame(rows, columns=["path", "text", "status"])
 
 
+def is_scanned(path: Column, text: Column) -> Column:
+    """A PDF without any text is a scan; other files without text are just empty."""
+    return (F.lower(F.substring_index(path, ".", -1)) == "pdf") & (F.trim(F.coalesce(text, F.lit(""))) == "")
+
+
 def extract_text(files: DataFrame) -> DataFrame:
     """(path, text, status) of (path, content). status: ok, empty, too large, hwp, unsupported, bad magic, no pdf reader, or parse error.
 

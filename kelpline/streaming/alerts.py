@@ -16,13 +16,18 @@ FIRED = "key string, target double, status string, spot double"
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """new -> pending -> sent, one way. Registrations with their own spot at or below the target fire at once; a null spot waits."""
+    """new -> pending -> sent, one way. Registrations with their own spot at or below the target fire at once; a null spot waits.
+
+    A ``failed`` row, the sender's answer, turns ``sent`` into ``failed``, which only a new registration takes up again.
+    """
     status, target = state.get if state.exists else (None, None)
     out = []
     rows = pd.concat([b for b in batches if len(b)] or [pd.DataFrame(columns=["ts", "target", "spot", "kind"])], ignore_index=True).sort_values(["ts", "kind"], kind="stable")
     for row in rows.itertuples(index=False):
-        if row.kind == "register" and status is None:
+        if row.kind == "register" and status in (None, "failed"):
             status, target = "pending", float(row.target)
+        elif row.kind == "failed" and status == "sent":
+            status = "failed"
         if status == "pending" and pd.notna(row.spot) and row.spot <= target:
             status = "sent"
             out.append((key[0], target, status, float(row.spot)))
@@ -33,29 +38,59 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
 
 def watched(changes: DataFrame) -> DataFrame:
-    """Firings of a stream of (key, kind, ts, target, spot): kind is ``register`` or ``quote``, quotes already dealt to the keys they concern."""
+    """Firings of a stream of (key, kind, ts, target, spot): kind is ``register``, ``quote`` or ``failed``, quotes already dealt to the keys they concern.
+
+    ``run_batches`` needs no dealing: it looks at the keys that wait.
+    """
     return changes.groupBy("key").applyInPandasWithState(_advance, FIRED, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_batches(registrations: DataFrame, path: str, checkpoint: str, quote: Callable[[], float | None], send: Callable[[DataFrame], DataFrame], **trigger):
+def clock(spark: SparkSession) -> DataFrame:
+    """A stream that always has a row for the next batch, so that batches come by the clock and not only with registrations."""
+    empty = [F.lit(None).cast(kind).alias(name) for name, kind in (("key", "string"), ("target", "double"), ("spot", "double"))]
+    return spark.readStream.format("rate").option("rowsPerSecond", 1).load().select(*empty)
+
+
+def _held(spark: SparkSession, path: str) -> DataFrame | None:
+    """A version that was written whole; None if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return spark.read.parquet(path) if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) else None
+
+
+def run_batches(
+    registrations: DataFrame, path: str, checkpoint: str, quote: Callable[[], float | None], send: Callable[[DataFrame], DataFrame], ticks: DataFrame | None = None, sends_once: bool = False, **trigger
+):
     """Micro-batches over a table of alerts at ``path``: each applies the batch's registrations (key, target, spot) and one quote, sends, and writes the next version.
 
-    The watcher looks at keys that wait, so a quote is never dealt out to all of them as rows. The last complete version is read, so a batch that is
-    run again after a failure starts from the same state and writes the same version.
+    Batches come every ten minutes whether anyone registers or not: ``ticks``, by default ``clock``, is a second input. With another trigger there is none unless given.
+    The watcher looks at keys that wait, so a quote is never dealt out to all of them as rows. What is due is claimed in a written table before it is sent. A batch that is
+    run again after a failure finds its claims and doesn't send them a second time, as the first run may have: they stay ``sending``. Only a sender that knows
+    repeated keys itself (``sends_once``) gets them again.
     """
     spark: SparkSession = registrations.sparkSession
+    asked = registrations.select("key", "target", "spot")
+    if ticks is None and not trigger:
+        ticks = clock(spark)
 
     def step(batch: DataFrame, number: int) -> None:
-        held = spark.read.parquet(f"{path}/v={number - 1}") if number else spark.createDataFrame([], "key string, target double, status string")
-        state = alerts.state_step(held, batch.select("key", "target", "spot"), quote())
-        state.write.mode("overwrite").parquet(f"{path}/claimed={number}")
-        claimed = spark.read.parquet(f"{path}/claimed={number}")
-        results = send(claimed.filter("status = 'sending'").select("key", "target"))
+        claimed = _held(spark, f"{path}/claimed={number}")
+        again = claimed is not None
+        if not again:
+            held = spark.read.parquet(f"{path}/v={number - 1}") if number else spark.createDataFrame([], "key string, target double, status string")
+            alerts.state_step(held, batch.filter("key is not null"), quote()).write.mode("overwrite").parquet(f"{path}/claimed={number}")
+            claimed = spark.read.parquet(f"{path}/claimed={number}")
+        due = claimed.filter("status = 'sending'").select("key", "target")
+        # Claims of earlier batches that were never answered aren't this batch's.
+        if number:
+            due = due.join(spark.read.parquet(f"{path}/v={number - 1}").filter("status = 'sending'").select("key"), "key", "left_anti")
+        results = send(due) if not again or sends_once else spark.createDataFrame([], "key string, ok boolean")
         alerts.delivered(claimed, results).write.mode("overwrite").parquet(f"{path}/v={number}")
 
-    return registrations.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": f"{alerts.POLL_MINUTES} minutes"})).start()
+    source = asked if ticks is None else asked.unionByName(ticks.select("key", "target", "spot"))
+    return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": f"{alerts.POLL_MINUTES} minutes"})).start()
 
 
-def deduplicated(registrations: DataFrame) -> DataFrame:
-    """Registrations (email, target, ts) of a stream, the first of each key."""
-    return registrations.withColumn("key", alerts.alert_key(F.col("email"), F.col("target"))).dropDuplicates(["key"])
+def deduplicated(registrations: DataFrame, horizon: str = "30 days") -> DataFrame:
+    """Registrations (email, target, ts) of a stream, the first of each key within the horizon, which bounds the state; later ones meet the key's own state in the watcher."""
+    keyed = registrations.withColumn("key", alerts.alert_key(F.col("email"), F.col("target")))
+    return keyed.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["key"])

@@ -106,3 +106,60 @@ def test_index(spark, tmp_path):
     assert {(r["reason"], r["n"]) for r in report.collect()} == {("kept", 3), ("above limit", 1)}
     with pytest.raises(Exception, match="dimensions"):
         index_build.embed(spark.createDataFrame([("x", "t")], "id string, text string"), lambda t: [[0.0, 0.0]], 2).collect()
+
+
+def test_rates_keep_their_digits(spark, tmp_path):
+    from decimal import Context, Decimal
+
+    payload = '{"result":"success","base_code":"USD","time_last_update_utc":"Sun, 09 Aug 2026 00:00:02 +0000","rates":{"EUR":0.8659527500000001,"KRW":1412.35}}'
+    rows = feeds.fx_rows(spark.createDataFrame([("EUR", payload)], "base string, payload string"))
+    r = rows.first()
+    context = Context(prec=34)
+    assert r["usd_per_eur"] == context.divide(Decimal(1), Decimal("0.8659527500000001")) and r["krw_per_eur"] == context.divide(Decimal("1412.35"), Decimal("0.8659527500000001"))
+    now = datetime(2026, 8, 9)
+    feeds.log_rates(rows, F.lit(now), str(tmp_path / "log"))
+    feeds.log_rates(rows, F.lit(now + timedelta(hours=1)), str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.count() == 4 and {x["quote"] for x in log.collect()} == {"USD", "KRW"}
+    none = spark.createDataFrame([("EUR", None, None)], "base string, usd_per_eur double, krw_per_eur double")
+    assert feeds.fx_answer(log, none, F.lit(now + timedelta(hours=2))).first()["status"] == "cached"
+
+
+def test_quotes_are_rounded_and_dated(spark):
+    rows = [("chart", '{"close": 81.99, "change_abs": -0.45}'), ("chart", '{"close": 81.99, "change": -0.5459, "change_abs": -0.45, "currency": "", "currency_id": "EUR"}'), ("screen", '{"data": []}'), (None, "{}")]
+    got = feeds.quotes(spark.createDataFrame(rows, "provider string, payload string"), F.lit(datetime(2026, 8, 13))).collect()
+    assert [(r["spot"], r["day_change_pct"], r["as_of"], r["reason"]) for r in got] == [
+        (81.99, None, "2026-08-13", None), (81.99, -0.55, "2026-08-13", None), (None, None, None, "out of range"), (None, None, None, "unknown provider"),
+    ]
+
+
+def test_prompt_blocks(spark):
+    df = spark.createDataFrame([(("A", "East", "odd", "why", None, 2840.5, 67.4, None, 0.1, 32, True, 11258.91),)], "r struct<key:string,name:string,status:string,status_reason:string,total_usd:double,freight_usd:double,carbon_usd:double,war_risk_usd:double,war_risk_rate_pct:double,lead_time_days:int,meets_deadline:boolean,distance_nm:double>")
+    lines = df.select(model_calls.route_report(F.col("r")).alias("t")).first()["t"].split("\n")
+    assert lines[0] == "[항로 A] East" and lines[1] == "- 상태: 운항 불가" and lines[6] == "- 전쟁위험보험료: 산출 안 함 (요율 0.1%)" and lines[7:] == ["- 해상 리드타임: 32일 / 납기 충족: 예", "- 항로 거리: 11258.91nm"]
+    kinds = {f: "double" for line in model_calls.SNAPSHOT for _, f, _ in line}
+    values = [float("nan") if f == "spot" else None if f == "asset" else 1.5 for f in kinds]
+    schema = "s struct<" + ",".join(f"{f}:double" for f in kinds) + ">"
+    text = spark.createDataFrame([(tuple(values),)], schema).select(model_calls.risk_snapshot(F.col("s"), kinds).alias("t")).first()["t"].split("\n")
+    assert text[0] == "[리스크 스냅샷]" and text[1] == "- 자산: 제공되지 않음 / 현재가: 제공되지 않음 / 기준일: 1.5" and text[2] == "- 일간 변동성: 1.5 / 연율 변동성: 1.5%"
+    assert text[3] == "- 80% 구간: 1.5 ~ 1.5 / 95% 구간: 1.5 ~ 1.5" and len(text) == 7
+
+
+def test_failing_models_and_embedders(spark):
+    def silent(system, message, temperature):
+        return {"content": ""}
+
+    asked = spark.createDataFrame([(1, "s", "m")], "request_id int, system string, message string")
+    assert model_calls.complete(asked, [silent]).first()["error"] == "no content"
+    calls = []
+
+    def flaky(texts):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return [[3.0, 4.0] for _ in texts]
+
+    assert np.allclose(index_build._patiently(flaky, ["a"], 0.001), [[3.0, 4.0]]) and len(calls) == 3
+    with pytest.raises(OSError, match="busy"):
+        index_build._patiently(lambda t: (_ for _ in ()).throw(OSError("busy")), ["a"], 0.001)
+    assert index_build.load_index(spark, "/nowhere/at/all")[1] == {"ready": False, "reason": "no index"}

@@ -123,3 +123,97 @@ def test_seeds(spark):
     assert {(r["role"], r["ets_applies"]): r["count"] for r in seeds.ports(spark).groupBy("role", "ets_applies").count().collect()} == {("origin", False): 18, ("destination", True): 30, ("destination", False): 2}
     assert {r["route_key"]: r["status"] for r in seeds.routes(spark).collect()} == {"A": "limited", "B": "blocked", "D": "limited", "C": "best"}
     assert seeds.hazard_zones(spark).filter("level = 'SAFE'").count() == 1
+
+
+def test_watcher_ticks_when_only_the_price_moves(spark, tmp_path):
+    """No registration comes after the first batch; the price falls, and the alert is sent once. A batch that runs again doesn't send again."""
+    import time
+
+    schema = "key string, target double, spot double"
+    spark.createDataFrame([("a", 80.0, None)], schema).write.parquet(str(tmp_path / "in"))
+    prices, sent = iter([90.0, 85.0, 79.0]), []
+
+    def send(due):
+        sent.extend(r["key"] for r in due.collect())
+        return due.select("key", F.lit(True).alias("ok"))
+
+    ticks = stream.clock(spark)
+    q = stream.run_batches(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "alerts"), str(tmp_path / "cp"), lambda: next(prices, 70.0), send, ticks=ticks, processingTime="1 second")
+    until = time.time() + 90
+    while not sent and time.time() < until and q.isActive:
+        time.sleep(0.5)
+    time.sleep(4)
+    q.stop()
+    assert sent == ["a"]
+
+
+def test_claims_of_a_broken_batch_are_not_sent_again(spark, tmp_path):
+    schema, calls = "key string, target double, spot double", []
+    spark.createDataFrame([("a", 80.0, None)], schema).write.parquet(str(tmp_path / "in"))
+
+    def breaks(due):
+        calls.append([r["key"] for r in due.collect()])
+        raise RuntimeError("down")
+
+    def works(due):
+        calls.append([r["key"] for r in due.collect()])
+        return due.select("key", F.lit(True).alias("ok"))
+
+    for send in (breaks, works):
+        q = stream.run_batches(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "alerts"), str(tmp_path / "cp"), lambda: 70.0, send, availableNow=True)
+        try:
+            q.awaitTermination(120)
+        except Exception as e:  # the first run's failure
+            assert "down" in str(e)
+    assert calls == [["a"]] and spark.read.parquet(str(tmp_path / "alerts/v=0")).first()["status"] == "sending"
+
+
+def test_failed_keys_in_the_stream(spark, tmp_path):
+    t = lambda m: NOW + timedelta(minutes=m)
+    rows = [("k", "register", t(0), 80.0, 90.0), ("k", "quote", t(1), None, 79.0), ("k", "failed", t(2), None, None), ("k", "quote", t(3), None, 60.0), ("k", "register", t(4), 80.0, 90.0), ("k", "quote", t(5), None, 70.0)]
+    spark.createDataFrame(rows, "key string, kind string, ts timestamp, target double, spot double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = stream.watched(spark.readStream.schema("key string, kind string, ts timestamp, target double, spot double").parquet(str(tmp_path / "in")))
+    q = got.writeStream.format("memory").queryName("failures").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [r["spot"] for r in spark.sql("select * from failures").collect()] == [79.0, 70.0]
+
+
+def test_damaged_files(spark):
+    nested = _zip(word__document_X="<d><p><t>outer</t><box><p><t>inner</t></p></box></p></d>")
+    good = bytearray(_zip(word__document_X="<d>" + "<p><t>x</t></p>" * 50 + "</d>"))
+    encrypted, method = bytearray(good), bytearray(good)
+    for at in (6, good.index(b"PK\x01\x02") + 8):
+        encrypted[at] |= 1
+    for at in (8, good.index(b"PK\x01\x02") + 10):
+        method[at] = 77
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", "<d>" + " " * (files.MAX_UNPACKED + 1) + "</d>")
+    deflated = io.BytesIO()
+    with zipfile.ZipFile(deflated, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", "<d>" + "<p><t>abc</t></p>" * 500 + "</d>")
+    broken = bytearray(deflated.getvalue())
+    broken[60:90] = b"\xff" * 30
+    rows = [("a.docx", nested), ("b.docx", bytes(encrypted)), ("c.docx", bytes(method)), ("d.docx", held.getvalue()), ("e.docx", bytes(broken)), ("f.docx", bytes(good))]
+    got = {r["path"]: (r["status"], r["text"]) for r in files.extract_text(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert got["a.docx"] == ("ok", "outer\ninner") and got["f.docx"][0] == "ok"
+    assert [got[f"{k}.docx"][0] for k in "bcde"] == ["parse error"] * 4
+
+
+def test_repeated_articles_are_not_dropped(spark):
+    body = "The obligation applies to ships above five thousand gross tonnage."
+    part = lambda art, text: f'<div class="eli-subdivision" id="art_{art}"><p>{text}</p></div>'
+    html = part("2", "gone") + part("2", body) + part("2", "empty again") + part("2", body) + part("99", body) + part("99", body)
+    articles, dropped = chunks.chunk(spark.createDataFrame([("D", html)], "doc_key string, html string"), spark.createDataFrame([("D", 33)], "doc_key string, max_article int"))
+    assert [r["place"] for r in articles.collect()] == [1]
+    assert sorted((r["art"], r["reason"]) for r in dropped.collect()) == [("2", "empty body"), ("99", "above limit"), ("99", "above limit")]
+
+
+def test_cached_answers(spark):
+    at = lambda minutes: NOW - timedelta(minutes=minutes)
+    entries = spark.createDataFrame([("a", "old", at(10)), ("b", "old", at(90)), ("c", "old", at(90))], "k string, value string, stored_at timestamp")
+    loaded = spark.createDataFrame([("a", "new", None), ("b", "new", None), ("c", None, "HTTP 500"), ("d", None, "HTTP 404"), ("e", "new", None)], "k string, new_value string, error string")
+    got = {r["k"]: tuple(r)[1:] for r in market.cached_answer(entries, loaded, F.lit(NOW), ["k"], 3600, F.lit("fixed")).collect()}
+    assert got == {"a": ("old", "cached", True, None), "b": ("new", "loaded", True, None), "c": ("old", "stale", False, "HTTP 500"), "d": ("fixed", "fallback", False, "HTTP 404"), "e": ("new", "loaded", True, None)}
+    rows = spark.createDataFrame([(1, 3), (2, 9), (3, 9)], "id int, day int")
+    assert market.latest_overall(rows, "day", "id").first()["id"] == 3 and market.latest_overall(rows.limit(0), "day", "id").count() == 0
