@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from kelpline.functions import text as T
 from kelpline.functions import vectors as V
+from kelpline.functions.glossary import GLOSSARY, weighted_terms
 from kelpline.operators import alerts, chunks, feeds, market, retrieval, routes
 from kelpline.sources import files, seeds
 
@@ -169,51 +170,34 @@ def query_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("vec_id", F.round(V.dot(F.coalesce("mix", F.col("embedding").cast("array<double>")), F.col("embedding")), 6).alias("with_original"))
 
 
-#: Terms of questions and the phrases that they are looked up by.
-GLOSSARY = (
-    ("모니터링 계획", "monitoring plan"), ("모니터링", "monitoring"), ("배출권", "allowances"), ("제출 의무", "surrender obligation"), ("제출", "submit surrender"),
-    ("선사", "shipping company"), ("해운회사", "shipping company"), ("선박회사", "shipping company"), ("화주", "cargo owner"), ("항해", "voyage"), ("기항", "port of call"),
-    ("항만", "port of call"), ("항구", "port of call"), ("배출량", "emissions"), ("온실가스", "greenhouse gas"), ("검증인", "verifier"), ("검증기관", "verifier"),
-    ("검증", "verification"), ("보고 기간", "reporting period"), ("보고서", "report"), ("보고", "reporting"), ("선박", "ship"), ("총톤수", "gross tonnage"), ("벌금", "penalty"),
-    ("과태료", "penalty"), ("면제", "exemption"), ("적용 범위", "scope"), ("적용", "scope application"), ("기한", "deadline"), ("언제까지", "deadline by"), ("퍼센트", "percentage"),
-    ("역외", "outside"), ("회원국", "member state"), ("의무", "obligation"), ("준수", "compliance"), ("연료", "fuel"), ("탄소", "carbon"), ("에너지 집약도", "energy intensity"),
-    ("집약도", "intensity"), ("정박", "at berth"), ("접안", "at berth"), ("육상전원", "onshore power supply ops"), ("신고", "declaration"), ("수입업자", "importer"),
-    ("무상할당", "free allocation"), ("무료할당", "free allocation"), ("잉여", "surplus"), ("벌칙", "penalty"), ("등록부", "registry"), ("인증서", "certificate"),
-)
-GLOSSARY_WEIGHT, TRANSLATION_WEIGHT = 1.0, 0.1
+def glossary_sql(question: str) -> str:
+    """Tokens of the phrases of all terms that a question contains, and its own ASCII tokens, as a list in DuckDB."""
+    pairs = ", ".join(f"{{'ko': '{ko}', 'en': {T.tokens_of(en)}}}" for ko, en in GLOSSARY)
+    own = f"list_filter({tokens_sql(question)}, lambda t: regexp_full_match(t, '[a-z0-9]+'))"
+    return f"list_distinct(list_concat(flatten(list_transform(list_filter([{pairs}], lambda g: contains({question}, g.ko)), lambda g: g.en)), {own}))"
 
 
-def glossary_terms(question: F.Column) -> F.Column:
-    """Tokens of the phrases of all terms that a question contains, then its own ASCII tokens, once each. The phrases are constants, tokenised here."""
-    held = F.lit(None).cast("array<string>")
-    phrases = F.array(*[F.when(F.contains(question, F.lit(ko)), F.array(*map(F.lit, T.tokens_of(en)))).otherwise(held) for ko, en in GLOSSARY])
-    own = F.filter(T.tokenize(question), lambda t: t.rlike("^[a-z0-9]+$"))
-    return F.array_distinct(F.concat(F.flatten(F.array_compact(phrases)), own))
+def korean(number: F.Column) -> F.Column:
+    """The glossary's term of a number, in a short question."""
+    return F.concat(F.element_at(F.array(*[F.lit(ko) for ko, _ in GLOSSARY]), (number % len(GLOSSARY) + 1).cast("int")), F.lit(" 언제까지? "))
 
 
-def weighted_terms(question: F.Column, translated: F.Column) -> F.Column:
-    """(term, weight): glossary terms at 1, those only in the translation at 0.1. The glossary terms are bound once and used twice."""
-    def weigh(terms: F.Column, w: float) -> F.Column:
-        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(w).alias("weight")))
-
-    more = F.array_distinct(T.tokenize(translated))
-    both = F.transform(F.array(F.struct(glossary_terms(question).alias("sure"), more.alias("more"))), lambda x: F.concat(weigh(x["sure"], GLOSSARY_WEIGHT), weigh(F.array_except(x["more"], x["sure"]), TRANSLATION_WEIGHT)))
-    return F.get(both, F.lit(0))
-
-
-_OWN_SQL = f"list_filter({tokens_sql('a.text')}, lambda t: regexp_full_match(t, '[a-z0-9]+'))"
+def korean_sql(number: str) -> str:
+    return f"([{', '.join(repr(ko) for ko, _ in GLOSSARY)}][CAST(({number}) % {len(GLOSSARY)} + 1 AS INTEGER)] || ' 언제까지? ')"
 
 
 @query(
-    f"""WITH p AS (SELECT a.conv_id, a.turn, {_OWN_SQL} AS own, {tokens_sql('b.text')} AS more FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
-t AS (SELECT DISTINCT conv_id, turn, unnest(own) AS term, 1.0::DOUBLE AS weight FROM p UNION ALL SELECT DISTINCT conv_id, turn, unnest(list_filter(more, lambda x: NOT list_contains(own, x))) AS term, 0.1::DOUBLE AS weight FROM p)
+    f"""WITH q AS (SELECT a.conv_id, a.turn, {korean_sql('a.conv_id + a.turn')} || a.text AS question, b.text AS translated FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+p AS (SELECT conv_id, turn, {glossary_sql('question')} AS sure, {tokens_sql('translated')} AS more FROM q),
+t AS (SELECT DISTINCT conv_id, turn, unnest(sure) AS term, 1.0::DOUBLE AS weight FROM p UNION ALL SELECT DISTINCT conv_id, turn, unnest(list_filter(more, lambda x: NOT list_contains(sure, x))) AS term, 0.1::DOUBLE AS weight FROM p)
 SELECT conv_id, turn, term, weight FROM t"""
 )
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted terms of each turn, with the next turn in the part of its translation."""
+    """Weighted terms of each turn, asked with a term of the glossary, with the next turn in the part of its translation."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("translated"))
-    return turns.join(following, ["conv_id", "turn"], "left").select("conv_id", "turn", F.explode(weighted_terms(F.col("text"), F.col("translated"))).alias("t")).select("conv_id", "turn", "t.term", "t.weight")
+    question = F.concat(korean(F.col("conv_id") + F.col("turn")), F.col("text"))
+    return turns.join(following, ["conv_id", "turn"], "left").select("conv_id", "turn", F.explode(weighted_terms(question, F.col("translated"))).alias("t")).select("conv_id", "turn", "t.term", "t.weight")
 
 
 # Pages
@@ -313,10 +297,9 @@ def cache_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     history = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"), F.max("ts").alias("newest_at"))
     quotes = events.filter("event_type = 'purchase'").groupBy("user_id").agg(F.max("value").alias("spot"))
-    now = events.agg(F.max("ts").alias("now"))
-    joined = history.join(quotes, "user_id", "left").crossJoin(F.broadcast(now))  # one row
-    status = F.when((F.col("rows") >= 2) & market.is_fresh(F.col("newest_at"), F.col("now"), market.RATE_TTL_S), "cached").when(F.col("spot").isNotNull(), "fetched").when(F.col("rows") >= 2, "stale").otherwise("unavailable")
-    return joined.select("user_id", status.alias("status")).withColumn("is_live", F.col("status").isin("cached", "fetched"))
+    now = events.agg(F.max("ts")).first()[0]  # the clock
+    decided = market.cache_decision(history, quotes, F.lit(now), ["user_id"], market.RATE_TTL_S)
+    return decided.select("user_id", "status", "is_live")
 
 
 @query(
@@ -471,7 +454,11 @@ def _as_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["path", "content"])
 
 
-@query()
+@query(
+    r"""WITH l AS (SELECT doc_id, doc_id % 3 AS kind, coalesce(text, '') AS text, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13))) AS lines FROM documents)
+SELECT doc_id || '.' || ['txt', 'docx', 'hwpx'][kind + 1] AS path, CASE WHEN kind = 0 AND text = '' THEN NULL WHEN kind = 0 THEN text WHEN kind = 1 THEN trim(text, chr(32) || chr(9) || chr(10) || chr(13)) ELSE array_to_string(list_filter(lines, lambda x: x <> ''), chr(10)) END AS text,
+CASE WHEN kind = 0 AND text = '' THEN 'empty' ELSE 'ok' END AS status FROM l"""
+)
 def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed as TXT, DOCX and HWPX files, and read back."""
     packed = table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(_as_files, "path string, content binary")
@@ -479,21 +466,46 @@ def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT event_id, value, event_id % 3 AS kind, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS k FROM events),
+    """WITH q AS (SELECT event_id, ts, value, event_id % 3 AS kind, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS k FROM events),
 d AS (SELECT *, value BETWEEN 60 AND 120 AND NOT (kind = 0 AND event_id % 7 = 0) AS ok, CASE WHEN value - k > 0 THEN k / (value - k) * 100 END AS derived FROM q)
 SELECT event_id, CASE kind WHEN 0 THEN 'chart' WHEN 1 THEN 'screen' ELSE 'contract' END AS provider, CASE WHEN ok THEN value END AS spot,
-CASE WHEN NOT ok THEN NULL WHEN kind = 0 THEN round(CASE WHEN derived IS NOT NULL AND abs(derived - k) > 0.05 THEN derived ELSE k END, 6) WHEN kind = 1 THEN round(k, 6) ELSE round(derived, 6) END AS day_change_pct,
+CASE WHEN NOT ok THEN NULL WHEN kind = 0 THEN round(CASE WHEN derived IS NOT NULL AND abs(derived - k) > 0.05 THEN derived ELSE k END, 2) WHEN kind = 1 THEN round(k, 2) ELSE round(derived, 2) END AS day_change_pct,
+CASE WHEN NOT ok THEN NULL WHEN event_id % 2 = 1 THEN '2026-08-13' WHEN kind = 2 THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS as_of,
+CASE WHEN ok AND kind = 0 THEN CASE event_id % 4 WHEN 0 THEN 10 WHEN 1 THEN 0 END END AS delay_minutes,
 CASE WHEN ok THEN NULL WHEN NOT (value BETWEEN 60 AND 120) THEN 'out of range' ELSE 'wrong product' END AS reason FROM d"""
 )
 def feed_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as payloads of the three feeds, each in its own shape; every seventh event of the first is in the wrong currency."""
-    events = table(spark, sf_dir, "events").select("event_id", "value", (F.from_json("props", "k double")["k"] / 100).alias("k"))
-    chart = F.struct(F.col("value").alias("close"), F.col("k").alias("change"), F.col("k").alias("change_abs"), F.when(F.col("event_id") % 7 == 0, "USD").otherwise("eur").alias("currency"))
-    pair = F.struct(F.format_string("%,.2f", "value").alias("last"), F.concat(F.col("k").cast("string"), F.lit("%")).alias("change_percent_val"), F.lit("1 = €1000").alias("point_value"))
+    """Events as payloads of the three feeds, each in its own shape; every seventh event of the first is in the wrong currency, every other one has no time."""
+    return _quotes(spark, sf_dir).select("event_id", "provider", "spot", "day_change_pct", "as_of", "delay_minutes", "reason")
+
+
+def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", (F.from_json("props", "k double")["k"] / 100).alias("k"))
+    timed = F.col("event_id") % 2 == 0
+    seconds = F.when(timed, F.floor(F.col("ts").cast("timestamp").cast("double")).cast("long"))
+    mode = F.when(F.col("event_id") % 4 == 0, "delayed_streaming_600").when(F.col("event_id") % 4 == 1, "streaming")
+    chart = F.struct(F.col("value").alias("close"), F.col("k").alias("change"), F.col("k").alias("change_abs"), F.when(F.col("event_id") % 7 == 0, "USD").otherwise("eur").alias("currency"), seconds.alias("update_time"), mode.alias("update_mode"))
+    pair = F.struct(F.format_string("%,.2f", "value").alias("last"), F.concat(F.col("k").cast("string"), F.lit("%")).alias("change_percent_val"), F.lit("1 = €1000").alias("point_value"), seconds.alias("last_timestamp"))
     screen = F.struct(F.array(F.struct(F.struct(F.array(pair).alias("pairs_data")).alias("screen_data"))).alias("data"))
-    contract = F.struct(F.array(F.struct(F.struct(F.col("value").alias("lastPrice"), F.col("k").alias("priceChange")).alias("raw"), F.lit("EUA Futures").alias("contractName"))).alias("data"))
+    day = F.when(timed, F.date_format("ts", "MM/dd/yy"))
+    contract = F.struct(F.array(F.struct(F.struct(F.col("value").alias("lastPrice"), F.col("k").alias("priceChange")).alias("raw"), F.lit("EUA Futures").alias("contractName"), day.alias("tradeTime"))).alias("data"))
     kind = F.col("event_id") % 3
     payload = F.when(kind == 0, F.to_json(chart)).when(kind == 1, F.to_json(screen)).otherwise(F.to_json(contract))
     provider = F.when(kind == 0, "chart").when(kind == 1, "screen").otherwise("contract")
-    parsed = feeds.quotes(events.select("event_id", provider.alias("provider"), payload.alias("payload")))
-    return parsed.select("event_id", "provider", "spot", F.round("day_change_pct", 6).alias("day_change_pct"), "reason")
+    return feeds.quotes(events.select("event_id", "ts", "user_id", provider.alias("provider"), payload.alias("payload")), F.lit("2026-08-13").cast("date"))
+
+
+@query(
+    """WITH q AS (SELECT event_id, user_id, event_id % 3 AS kind, value, value BETWEEN 60 AND 120 AND NOT (event_id % 3 = 0 AND event_id % 7 = 0) AS ok FROM events),
+o AS (SELECT user_id, kind, max(value) FILTER (WHERE ok) AS spot FROM q GROUP BY ALL), n AS (SELECT *, ['chart', 'screen', 'contract'][kind + 1] AS name FROM o),
+b AS (SELECT user_id, min(kind) FILTER (WHERE spot IS NOT NULL) AS first FROM n GROUP BY 1)
+SELECT user_id, max(name) FILTER (WHERE kind = first) AS provider, max(spot) FILTER (WHERE kind = first) AS spot, coalesce(string_agg(name, ',' ORDER BY kind) FILTER (WHERE spot IS NULL AND (first IS NULL OR kind < first)), '') AS attempts, first IS NOT NULL AS is_live
+FROM n JOIN b USING (user_id) GROUP BY user_id, first"""
+)
+def feed_failover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each user's quotes the best one of a feed; then the first feed, in the feeds' own order, that has one."""
+    best = _quotes(spark, sf_dir).groupBy("user_id", "priority", "provider").agg(F.max("spot").alias("spot"))
+    return market.first_provider(best, ["user_id"]).withColumn("attempts", F.array_join("attempts", ","))
+
+
+from kelpline.plans import answers as _answers  # noqa: E402, F401  (registers its queries; it builds on the helpers above)
