@@ -4,8 +4,8 @@ Suffixes are sharded by content, so equal strings meet. Of each 200-byte string
 equal strings have equal anchors at the same place. Anchors that occur once are done; so are those whose whole surroundings (all strings
 that could be anchored there) occur again. The others send their surroundings, ``SIDE`` bytes on each side, to the shard of their seed. There a
 suffix array of all surroundings is built by Larsson-Sadakane refinement: suffixes start in one class for each seed and place, and only
-classes that are still unsorted are sorted again, by pairs of ranks at doubled depth, up to the depth of the string. Neighbours in it have
-``SIDE`` bytes in common exactly if their ranks are then equal, so the common-prefix array is read off the ranks and needs no scan.
+classes that are still unsorted are sorted again, by pairs of ranks at doubled depth. Kasai's scan gives the common prefixes of neighbours in it, and
+strings of neighbours that have ``SIDE`` bytes in common are the same.
 
 Seeds with very many surroundings are cut into sub-shards. Each builds its own suffix array; what is single there is listed, sorted by
 hash, cut into ranges, and the lists of all sub-shards are merged by binary search.
@@ -128,20 +128,19 @@ def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def suffix_ranks(around: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Ranks of the strings that start at places 0..SIDE of each row, equal exactly for equal strings at one place of one group.
+    """Ranks of the suffixes of all rows, those of one place of one group together and in the order of their bytes; equal exactly for equal ones.
 
-    around: rows of 2 * SIDE bytes; group: a number for each row.
+    around: rows of 2 * SIDE bytes; group: a number for each row. Larsson-Sadakane: only classes that hold several suffixes are sorted again, by the rank of what
+    follows at the depth that is sorted, which then doubles.
     """
     rows, width = around.shape
     padded = np.concatenate([around, np.zeros((rows, 8), np.uint8)], 1)
     text = sum(padded[:, k : k + width].astype(np.uint64) << np.uint64(8 * (3 - k)) for k in range(4)).ravel()
-    n = rows * width
     place = np.tile(np.arange(width), rows)
-    first = (np.repeat(np.unique(group, return_inverse=True)[1].astype(np.uint64), width) * np.uint64(width) + place.astype(np.uint64)) << np.uint64(32) | text
-    rank = np.empty(n, np.int64)
-    active = np.arange(n)
-    base = np.zeros(n, np.int64)  # where the class of each active suffix starts in the suffix array
-    key, depth = first, 4
+    key = (np.repeat(np.unique(group, return_inverse=True)[1].astype(np.uint64), width) * np.uint64(width) + place.astype(np.uint64)) << np.uint64(32) | text
+    rank = np.empty(rows * width, np.int64)
+    active, base = np.arange(rows * width), np.zeros(rows * width, np.int64)  # base: where the class of each active suffix starts
+    depth = 4
     while True:
         order = np.argsort(key, kind="stable")
         sorted_key, sorted_base = key[order], base[order]
@@ -151,31 +150,62 @@ def suffix_ranks(around: np.ndarray, group: np.ndarray) -> np.ndarray:
         class_start = np.maximum.accumulate(np.where(new_class, at, 0))
         start = np.maximum.accumulate(np.where(new, at, 0))
         rank[active[order]] = sorted_base + start - class_start
-        single = new & np.r_[new[1:], True]
-        active = active[order[~single]]
-        if depth >= SIDE or not len(active):
-            return rank.reshape(rows, width)[:, : SIDE + 1]
-        step = min(depth, SIDE - depth)
-        # A place whose string would leave the row is sorted no further: none of its strings is asked for.
-        inside = place[active] + step + depth <= width
-        active = active[inside]
+        active = active[order[~(new & np.r_[new[1:], True])]]
+        # Suffixes of one place are equally long: what is sorted to the row's end is equal, and stays so.
+        active = active[place[active] + depth < width]
+        if not len(active):
+            return rank.reshape(rows, width)
         base = rank[active]
-        key = (base.astype(np.uint64) << np.uint64(32)) | rank[active + step].astype(np.uint64)
-        depth += step
+        key = (base.astype(np.uint64) << np.uint64(32)) | rank[active + depth].astype(np.uint64)
+        depth *= 2
+
+
+def common_prefixes(around: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Kasai: bytes that each suffix at a place up to SIDE has in common with the one before it in the suffix array.
+
+    before: the row of that suffix, at the same place, or -1. Of a row's next suffix at least one byte less is common, so only further bytes are compared; all
+    rows take their places in step.
+    """
+    rows, places = before.shape
+    width = around.shape[1]
+    out = np.zeros((rows, places), np.int64)
+    common = np.zeros(rows, np.int64)
+    for k in range(places):
+        own = np.flatnonzero(before[:, k] >= 0)
+        common = np.maximum(common - 1, 0)
+        common[before[:, k] < 0] = 0
+        other = before[own, k]
+        while len(own):
+            further = k + common[own] < width
+            own, other = own[further], other[further]
+            same = around[own, k + common[own]] == around[other, k + common[own]]
+            own, other = own[same], other[same]
+            common[own] += 1
+        out[:, k] = common
+    return out
 
 
 def _marks(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
-    """The rows, which of their strings are whole, and which of those occur again."""
+    """The rows, which of their strings are whole, and which of those occur again: by the common prefixes of neighbours in the suffix array."""
     around = np.frombuffer(b"".join(rows["around"]), np.uint8).reshape(-1, 2 * SIDE)
+    group = np.unique(rows["seed"].to_numpy(), return_inverse=True)[1]
+    rank = suffix_ranks(around, group)[:, : SIDE + 1]
     place = np.arange(SIDE + 1)
     # The string at place k starts SIDE - k bytes before the anchor and ends k bytes after the seed.
     whole = (place >= rows["lo"].to_numpy()[:, None]) & (place <= rows["hi"].to_numpy()[:, None])
-    rank = suffix_ranks(around, rows["seed"].to_numpy())
-    flat = np.flatnonzero(whole.ravel())
-    r = rank.ravel()[flat]
+    # The suffix array of all places up to SIDE: rows in order, one place of one group after the other.
+    array = np.argsort(rank.ravel(), kind="stable")
+    at_row, at_place = np.divmod(array, SIDE + 1)
+    neighbours = np.r_[False, (group[at_row[1:]] == group[at_row[:-1]]) & (at_place[1:] == at_place[:-1])]
+    before = np.full(len(array), -1)
+    before[array] = np.where(neighbours, np.r_[-1, at_row[:-1]], -1)
+    common = common_prefixes(around, before.reshape(-1, SIDE + 1))
+    # Neighbours alike in SIDE bytes are one class of strings; one that has two whole ones is a repeat.
+    name = np.cumsum(common.ravel()[array] < SIDE)
+    times = np.bincount(name, whole.ravel()[array])
     again = np.zeros(whole.size, bool)
-    again[flat] = np.bincount(r, minlength=rank.max() + 1)[r] > 1
-    return rows, whole, again.reshape(whole.shape)
+    again[array] = times[name] > 1
+    return rows, whole, again.reshape(whole.shape) & whole
 
 
 def _runs(rows: pd.DataFrame, again: np.ndarray) -> pd.DataFrame:
@@ -273,10 +303,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     keys = ["seed", "sub"] if cut else ["seed"]
     same = Window.partitionBy(*keys, "ctx")
     counted = met.withColumns({"same": F.sum(times).over(same), "place": F.row_number().over(same.orderBy("doc_id", "pos"))})
-    whole = counted.filter("same > 1").select("doc_id", "crc", (F.col("pos") - SIDE).cast("long").alias("lo"), (F.col("pos") + LENGTH).cast("long").alias("hi"), "own")
+    whole = counted.filter("same > 1 and subs > 0").select("doc_id", "crc", (F.col("pos") - SIDE).cast("long").alias("lo"), (F.col("pos") + LENGTH).cast("long").alias("hi"), "own")
     # One of each kind of surroundings is enough; seeds with one kind have nothing to compare.
     kinds = counted.filter("place = 1").withColumns({"kinds": F.count(F.lit(1)).over(Window.partitionBy(*keys)), "lone": F.col("same") == 1})
-    asked = kinds.filter("kinds > 1 or subs > 1").groupBy("doc_id", "crc").agg(*[F.collect_list(c).alias(to) for c, to in (("seed", "seed"), ("pos", "at"), ("sub", "sub"), ("lone", "lone"))])
+    # ``own`` is read here and ``subs`` above, so that both branches ask for the same columns and the anchors are found and shuffled once for both.
+    lists = [F.collect_list(c).alias(to) for c, to in (("seed", "seed"), ("pos", "at"), ("sub", "sub"), ("lone", "lone"))]
+    asked = kinds.filter("kinds > 1 or subs > 1").groupBy("doc_id", "crc").agg(*lists, F.count("own").alias("n_own"))
     sent = asked.join(docs, ["doc_id", "crc"]).mapInPandas(_surroundings, "seed long, sub int, doc_id long, crc long, pos int, lone boolean, lo int, hi int, around binary")
     schema = "doc_id long, crc long, lo long, hi long, own binary"
     shards = sent.filter("sub < 0").repartition(n_partitions(docs), "seed").sortWithinPartitions("seed")
