@@ -13,6 +13,7 @@ records; an empty table gives an empty result; other columns of the input are no
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,7 +115,7 @@ def with_slots(docs: DataFrame) -> DataFrame:
 def shard_records(docs: DataFrame, n_shards: int, map_path: str | None = None, version: int = 1) -> tuple[DataFrame, list[int], dict[int, int]]:
     """Each record with its shard and its gapless position there; also the map and the bytes of each slot.
 
-    The map is stored as ``version`` at ``map_path``, by default in the session's checkpoint folder, and read from there. The position is the slot's offset in its shard, a running sum over the slots alone, plus the record's place within its slot.
+    The map is stored as ``version`` at ``map_path``, by default a new folder in the session's checkpoint folder (so a later call leaves earlier results alone), and read from there. The position is the slot's offset in its shard, a running sum over the slots alone, plus the record's place within its slot.
     So no window ever holds a shard: the largest holds one slot.
     """
     spark = docs.sparkSession
@@ -128,7 +129,7 @@ def shard_records(docs: DataFrame, n_shards: int, map_path: str | None = None, v
         offsets.append(ends[shard])
         ends[shard] += rows.get(slot, 0)
     starts = F.split(F.lit(",".join(map(str, offsets))), ",")
-    path = map_path or f"{spark.sparkContext.getCheckpointDir()}/shard_maps"
+    path = map_path or f"{spark.sparkContext.getCheckpointDir()}/shard_maps-{uuid.uuid4().hex}"
     save_map(map_frame(spark, shard_of, version), path)
     placed = load_map(spark, path, version).withColumn("slot_start", F.element_at(starts, F.col("vslot") + 1).cast("long"))
     within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")

@@ -220,6 +220,14 @@ def test_shards_of_repeated_and_missing_ids(spark):
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
+def test_a_later_call_leaves_earlier_shards_alone(spark):
+    rng = random.Random(18)
+    docs = [spark.createDataFrame([(i, "x" * rng.randrange(0, 2000)) for i in range(500)], "doc_id long, text string") for _ in range(2)]
+    first = sharding.shard_records(docs[0], 7)[0]
+    sharding.shard_records(docs[1], 3)
+    assert {r["shard"] for r in first.collect()} == set(range(7))
+
+
 def test_shards_against_plain_greedy(spark):
     """Bytes of each shard, and the shard of each slot, by a plain loop over the slots."""
     rng = random.Random(16)
