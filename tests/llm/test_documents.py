@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from plain import plain_naive_bayes
 from pyspark.sql import functions as F
 
 from kelpline.llm import language, mixing, quality, sharding
@@ -251,36 +252,6 @@ def test_stored_maps_are_replaced_not_doubled(spark, tmp_path):
     assert sharding.load_map(spark, path).count() == 8 and sharding.as_list(sharding.load_map(spark, path, 1)) == [1] * 8
 
 
-def plain_naive_bayes(rows, texts):
-    """Multinomial naive Bayes by loops over characters, with the same hash of one- to three-grams."""
-    import math
-
-    mask, counts = 2**64 - 1, {}
-
-    def bins(text):
-        chars = [ord(c) if c.isalpha() else 32 for c in "  " + text.lower()]
-        for i in range(2, len(chars)):
-            if ("  " + text.lower())[i].isalpha():
-                x = chars[i] * int(language._MUL[0])
-                grams = [x + 1, x + chars[i - 1] * int(language._MUL[1]) + 2, x + chars[i - 1] * int(language._MUL[1]) + chars[i - 2] * int(language._MUL[2]) + 3]
-                for g in (v & mask for v in grams):
-                    yield ((g ^ (g >> 29)) * int(language._MUL[0]) & mask) >> (64 - language.BITS)
-
-    for text, lang in rows:
-        own = counts.setdefault(lang, {})
-        for b in bins(text):
-            own[b] = own.get(b, 0) + 1
-    out = []
-    for text in texts:
-        score = {}
-        for lang, own in counts.items():
-            total = sum(own.values()) + language.ALPHA * language.N_BINS
-            score[lang] = sum(math.log((own.get(b, 0) + language.ALPHA) / total) for b in bins(text))
-        best = min(score, key=lambda k: (-score[k], k))
-        out.append((best, 1 / sum(math.exp(s - score[best]) for s in score.values())))
-    return out
-
-
 def test_language_against_plain_naive_bayes(spark):
     rng = random.Random(17)
     words = {"aa": ["kilo", "muna", "tabi", "x1y"], "bb": ["strøm", "Fjord", "ålen", "kilo"], "cc": ["дом", "мир", "река", "kilo"]}

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from plain import bag, classes, similarity
 
 from kelpline.llm import decontaminate, embeddings, lines, minhash
 from kelpline.llm.components import components
@@ -18,29 +19,6 @@ def prose(rng, n):
     return " ".join(rng.choice(VOCABULARY) for _ in range(n))
 
 
-def bag(text):
-    w = re.findall(r"[^\W_]+", (text or "").lower())
-    return Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
-
-
-def similarity(a, b):
-    both = sum((a & b).values())
-    return both / ((sum(a.values()) + sum(b.values()) - both) or 1)
-
-
-def classes(links, n):
-    root = list(range(n))
-    changed = True
-    while changed:
-        changed = False
-        for a, b in links:
-            low = min(root[a], root[b])
-            if root[a] != low or root[b] != low:
-                root[a] = root[b] = low
-                changed = True
-    return root
-
-
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(7, 7)]
