@@ -299,11 +299,11 @@ def distance_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT doc_id, CASE WHEN doc_id % 10 = 6 AND doc_id % 1000 <> 6 THEN 'ok' ELSE ['empty', 'hwp', 'unsupported', 'bad magic', 'bad magic', 'no pdf reader', 'too large', 'parse error', 'parse error', 'ok'][CAST(doc_id % 10 + 1 AS INTEGER)] END AS status FROM documents"""
 )
 def upload_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as uploads of all kinds, most of them refused for a reason."""
+    """Documents as uploads of all kinds, most of them refused for a reason. The file that is too large is made from its row, so it is no literal of the plan."""
     k, raw = F.col("doc_id") % 10, F.coalesce("text", F.lit("")).cast("binary")
     kinds = F.element_at(F.array(*map(F.lit, ("txt", "hwp", "xlsx", "docx", "pdf", "pdf", "txt", "txt", "hwpx", "md"))), (k + 1).cast("int"))
     content = (
-        F.when(k == 0, F.lit(b"")).when((k == 6) & (F.col("doc_id") % 1000 != 6), F.concat(F.lit(b"# "), raw)).when(k.isin(3, 4), F.concat(F.lit(b"no"), raw)).when(k == 5, F.concat(F.lit(b"%PDF-"), raw)).when(k == 6, F.repeat(F.lit("x"), files.MAX_BYTES + 1).cast("binary"))
+        F.when(k == 0, F.lit(b"")).when((k == 6) & (F.col("doc_id") % 1000 != 6), F.concat(F.lit(b"# "), raw)).when(k.isin(3, 4), F.concat(F.lit(b"no"), raw)).when(k == 5, F.concat(F.lit(b"%PDF-"), raw)).when(k == 6, F.repeat(F.lit("x"), (k - 6 + files.MAX_BYTES + 1).cast("int")).cast("binary"))
         .when(k == 7, F.concat(F.lit(b"\xff\xfe"), raw)).when(k == 8, F.concat(F.lit(b"PK\x03\x04"), raw)).otherwise(F.concat(F.lit(b"# "), raw))
     )
     made = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("."), F.upper(kinds)).alias("path"), content.alias("content"))
