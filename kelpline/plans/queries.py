@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from kelpline.functions import text as T
 from kelpline.functions import vectors as V
-from kelpline.functions.glossary import GLOSSARY, weighted_terms
+from kelpline.functions.glossary import GLOSSARY, glossary_terms, weighted_terms  # noqa: F401  (also imported from here)
 from kelpline.operators import alerts, chunks, feeds, market, retrieval, routes
 from kelpline.sources import files, seeds
 
