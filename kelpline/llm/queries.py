@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, extraction, language, lines, minhash, mixing, quality, sharding, suffix
+from . import audit, decontaminate, embeddings, extraction, language, lines, minhash, mixing, quality, sharding, suffix
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,38 @@ SELECT doc_id, size, source_size, target, CAST(size * repeats AS BIGINT) AS take
 )
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
+
+
+@query(
+    "op11_filter_audit",
+    r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS copy FROM d
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS quality, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), cells AS (
+  SELECT part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END + CASE WHEN 100 * capitals > 2 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN copy THEN 16 ELSE 0 END AS mask, count(*) AS n, sum(coalesce(quality, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM w LEFT JOIN l USING (doc_id) GROUP BY 1, 2
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE (a.bit | b.bit | c.bit | d.bit | e.bit) = 31
+), steps AS (
+  SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(list_filter(bits, lambda x, i: i < step)), 0) AS INTEGER) AS before FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), r AS (
+  SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (WHERE (mask & (before | bit)) = 0), 0) AS kept, coalesce(sum(n) FILTER (WHERE (mask & before) = 0 AND (mask & bit) > 0), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE (mask & before) > 0 AND (mask & bit) > 0), 0) AS redundant, coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE (mask & before) = 0 AND (mask & bit) > 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE (mask & before) = 0 AND (mask & bit) > 0), 0) AS toxic_lost
+  FROM cells, steps GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
+""",
+)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
