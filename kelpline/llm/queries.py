@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, decontaminate, embeddings, extraction, language, lines, minhash, mixing, quality, sharding, suffix
+from . import audit, decontaminate, embeddings, extraction, language, licenses, lines, minhash, mixing, periodic, quality, sharding, suffix
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +163,13 @@ FROM r
 )
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_license_scan")
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scans(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), periodic.planted))
