@@ -167,11 +167,11 @@ def text_filters() -> dict[str, Column]:
 def failures(docs: DataFrame, labels: DataFrame, part: str = "source") -> DataFrame:
     """(part, mask, n, good, toxic): rows by the set of filters they fail (bit i for letter i), and how many of them are labelled good and toxic."""
     mask = sum((F.when(fails, 1 << i).otherwise(0) for i, fails in enumerate(text_filters().values())), F.lit(0))
-    rows = profiles(docs, part).select("doc_id", "part", mask.alias("mask"), "h1", "h2")
+    rows = profiles(docs.filter("doc_id is not null"), part).select("doc_id", "part", mask.alias("mask"), "h1", "h2")
     one = [F.coalesce(F.max((F.col(c) == 1).cast("int")), F.lit(0)).alias(c) for c in ("quality", "toxic")]
     marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*one)
     # Exact repeats are folded before the shuffle; rows without an id never meet the others.
-    folded = rows.filter("doc_id is not null").groupBy("doc_id", "part", "mask", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    folded = rows.groupBy("doc_id", "part", "mask", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     marked = folded.join(marks, "doc_id", "left").fillna(0, ["quality", "toxic"])
     kinds = marked.groupBy("h1", "h2", "part", "mask", "quality", "toxic").agg(F.sum("n").alias("n"), F.min("doc_id").alias("low"), F.min_by("n", "doc_id").alias("n_low"))
     kinds = checkpointed(kinds)
@@ -181,7 +181,7 @@ def failures(docs: DataFrame, labels: DataFrame, part: str = "source") -> DataFr
     copy = 1 << len(text_filters())
     cells = F.explode(F.array(F.struct(F.col("mask"), firsts.alias("n")), F.struct((F.col("mask") + copy).alias("mask"), (F.col("n") - firsts).alias("n"))))
     counted = met.select("part", "quality", "toxic", cells.alias("c")).select("part", "quality", "toxic", "c.mask", "c.n").filter("n > 0")
-    lone = rows.filter("doc_id is null").groupBy("part", "mask").agg(F.count(F.lit(1)).alias("n")).select("part", F.lit(0).alias("quality"), F.lit(0).alias("toxic"), "mask", "n")
+    lone = profiles(docs.filter("doc_id is null"), part).select("part", mask.alias("mask")).groupBy("part", "mask").agg(F.count(F.lit(1)).alias("n")).select("part", F.lit(0).alias("quality"), F.lit(0).alias("toxic"), "mask", "n")
     sums = [F.sum(c).alias(name) for c, name in ((F.col("n"), "n"), (F.col("n") * F.col("quality"), "good"), (F.col("n") * F.col("toxic"), "toxic"))]
     return counted.unionByName(lone).groupBy("part", "mask").agg(*sums)
 
