@@ -96,10 +96,11 @@ def clamp_k(k: Column, low: int = 1, high: int = 10, default: int = 4) -> Column
 def _packs(id_col: str, vec_col: str, size: int):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in filter(len, batches):
-            for a in range(0, len(pdf), size):
-                part = pdf.iloc[a : a + size]
-                m = np.stack([np.asarray(x, np.float64) for x in part[vec_col]])
-                yield pd.DataFrame({"ids": [part[id_col].to_numpy(np.int64).tobytes()], "dims": [m.shape[1]], "data": [m.tobytes()]})
+            for dims, alike in pdf.groupby(pdf[vec_col].map(len)):  # a block holds vectors of one length
+                for a in range(0, len(alike), size):
+                    part = alike.iloc[a : a + size]
+                    m = np.stack([np.asarray(x, np.float64) for x in part[vec_col]])
+                    yield pd.DataFrame({"ids": [part[id_col].to_numpy(np.int64).tobytes()], "dims": [dims], "data": [m.tobytes()]})
 
     return pack
 
@@ -156,13 +157,12 @@ def _first_unhit(docs: DataFrame, hits: DataFrame, queries: DataFrame, k: int) -
     """(query_id, doc_id) of the k smallest ids without a hit of each query, of every task at least: a list of the queries that hit it goes to each document."""
     by_doc = hits.groupBy("doc_id").agg(F.collect_set("query_id").alias("hit_by"))
     marked = docs.select("doc_id").join(by_doc, "doc_id", "left").sortWithinPartitions("doc_id")
-    names = queries.agg(F.collect_set("query_id").alias("every"))  # one row
+    # The ids of what is asked, sent to each task once.
+    every = docs.sparkSession.sparkContext.broadcast([r[0] for r in queries.select("query_id").distinct().collect()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left: dict[int, int] | None = None
+        left = dict.fromkeys(every.value, k)
         for pdf in filter(len, batches):
-            if left is None:
-                left = dict.fromkeys(pdf["every"].iloc[0].tolist(), k)
             out = []
             for doc_id, hit_by in zip(pdf["doc_id"], pdf["hit_by"], strict=True):
                 hit = set() if hit_by is None else set(hit_by)
@@ -178,11 +178,11 @@ def _first_unhit(docs: DataFrame, hits: DataFrame, queries: DataFrame, k: int) -
             if not left:
                 break
 
-    return marked.crossJoin(F.broadcast(names)).mapInPandas(run, "query_id long, doc_id long")
+    return marked.mapInPandas(run, "query_id long, doc_id long")
 
 
 def hybrid(vec: DataFrame, kw: DataFrame, docs: DataFrame, queries: DataFrame, k: int, variant: str = "full") -> DataFrame:
-    """(query_id, doc_id, score, vec_score, kw_score, rank).
+    """(query_id, doc_id, vec, kw, vec_score, kw_score, score, rank): the signals, their normal forms and the fused score.
 
     full: all documents are fused, a missing score is 0, a flat signal 0. Only documents with a score are rows; of those without one, which score 0 in both,
     the k first ids are enough. prefilter: only the k best by vector are fused, flat is 1. Extremes of a query are a partial aggregation, so no
@@ -203,5 +203,5 @@ def hybrid(vec: DataFrame, kw: DataFrame, docs: DataFrame, queries: DataFrame, k
         norms = [scaled(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"), flat) for c in ("vec", "kw")]
     else:
         norms = [min_max(F.col(c), ["query_id"], flat) for c in ("vec", "kw")]
-    scores = both.select("query_id", "doc_id", *[F.round(n, 6).alias(f"{c}_score") for n, c in zip(norms, ("vec", "kw"), strict=True)])
+    scores = both.select("query_id", "doc_id", "vec", "kw", *[F.round(n, 6).alias(f"{c}_score") for n, c in zip(norms, ("vec", "kw"), strict=True)])
     return top_k(scores.withColumn("score", F.round(fuse(F.col("vec_score"), F.col("kw_score")), 6)), k, "score")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from kelpline.functions import text as T
 from kelpline.operators import alerts, ask, feeds, market, model_calls, retrieval, routes
 from kelpline.plans import index_build
-from kelpline.plans.queries import COSINE_SQL, FUSED_SQL, _trips, glossary_sql, html_sql, korean, korean_sql, query, table, tokens_sql
+from kelpline.plans.queries import COSINE_SQL, FUSED_SQL, _trips, glossary_sql, html_sql, korean, korean_sql, query, stored_index, table, tokens_sql
 from kelpline.sources import files
 
 # The composed question: every hundredth benchmark item, asked with a glossary term, its translation being the next item
@@ -39,8 +39,10 @@ def _asked(spark: SparkSession, sf_dir: str, variant: str) -> tuple[DataFrame, D
     articles = docs.select(
         "doc_id", F.concat(F.lit("Article "), number).alias("heading"), F.when(F.col("doc_id") % 2 == 0, F.coalesce("source", F.lit(""))).otherwise("").alias("title"),
         F.concat(F.lit("Regulation "), number).alias("cite"), F.coalesce("text", F.lit("")).alias("text"),
-    ).join(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id", "left")
-    return questions, ask.ask(questions, articles, 4, variant)
+    )
+    index = stored_index(spark, sf_dir, "articles", lambda: ask.article_texts(articles))
+    with_vectors = articles.join(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id", "left")
+    return questions, ask.ask(questions, with_vectors, index, 4, variant)
 
 
 def _top_sql(op: str, flat: str, cand: str, k: int) -> str:

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from kelpline.functions import text as T
 from kelpline.functions import vectors as V
 from kelpline.functions.glossary import GLOSSARY, glossary_terms, weighted_terms  # noqa: F401  (also imported from here)
-from kelpline.operators import alerts, chunks, feeds, market, retrieval, routes
+from kelpline.operators import alerts, chunks, feeds, inverted, market, retrieval, routes
 from kelpline.sources import files, seeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # Keyword statistics and search
 
+
+def stored_index(spark: SparkSession, sf_dir: str, name: str, docs: Callable[[], DataFrame]) -> inverted.Index:
+    """The stored index of texts made from the documents of ``sf_dir``, built by the first query of a state of that table; ``name`` tells what the texts are."""
+    state = inverted.state_of(spark, [f"{sf_dir}/documents.parquet"])
+    return inverted.stored(spark, f"{inverted.shared_folder(spark)}/kelpline", f"{name}-{state}", docs)
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> inverted.Index:
+    return stored_index(spark, sf_dir, "documents", lambda: table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 POSTINGS_SQL = f"""
 tokens AS (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents),
 postings AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL),
@@ -76,7 +87,7 @@ SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER B
 )
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item asked of all documents."""
-    scored = retrieval.bm25(table(spark, sf_dir, "documents"), query_terms_of(table(spark, sf_dir, "benchmark"), "item_id"))
+    scored = inverted.bm25_best(document_index(spark, sf_dir), query_terms_of(table(spark, sf_dir, "benchmark"), "item_id"), 10)
     return retrieval.top_k(scored.select("query_id", "doc_id", F.round("kw", 6).alias("score")), 10, "score")
 
 
@@ -112,7 +123,8 @@ SELECT query_id, doc_id, vec_score, kw_score, score, row_number() OVER (PARTITIO
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
-    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    index, vectors = document_index(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    docs = index.documents.select("doc_id")
     items = table(spark, sf_dir, "benchmark").filter("item_id % 100 = 0")
     own = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     asked = vectors.join(F.broadcast(items.select(F.col("item_id").alias("vec_id"))), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
@@ -122,7 +134,7 @@ def _hybrid(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
     if variant == "prefilter":
         vec = retrieval.top_k(vec.withColumn("_v", F.round("vec", 6)), k, "_v").drop("rank", "_v")
         only = vec
-    kw = retrieval.bm25(docs, query_terms_of(items, "item_id"), only).withColumn("kw", F.round("kw", 9))
+    kw = inverted.bm25(index, query_terms_of(items, "item_id"), only).withColumn("kw", F.round("kw", 9))
     return retrieval.hybrid(vec, kw, docs, items.select(F.col("item_id").alias("query_id")), k, variant).select("query_id", "doc_id", "vec_score", "kw_score", "score", "rank")
 
 
