@@ -4,8 +4,8 @@ Written below a folder, as tables of Parquet files:
 
 - ``documents``: the length of each document and its terms with their counts; documents without terms too.
 - ``postings``: a row for each term and block of documents, with the arrays of the documents, how often they hold the term, and their lengths; parted by ``bucket``, a hash of the
-  term, and sorted by term within a file, so a search opens the buckets of the terms asked and skips row groups of others. A block holds about ``BLOCK_DOCS`` documents, so no
-  row grows with the corpus, however common its term.
+  term, and sorted by term within a file, so a search opens the buckets of the terms asked and skips row groups of others. A block is a stretch of the ``documents`` table of at most
+  ``BLOCK_DOCS`` documents, inverted where it lies: only finished arrays are shuffled, and no row grows with the corpus, however common its term.
 - ``terms``: df and cf of each term, parted alike.
 - ``totals``: documents and tokens, one row. It is written last: an index without it is not whole and isn't read.
 
@@ -15,28 +15,34 @@ Every build has a folder of its own, so one that breaks, or two at once, harm no
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
-from collections.abc import Callable, Iterable
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.functions.text import is_token, pieces
+from kelpline.functions.text import STOP_WORDS, TOKEN_MAX, TOKEN_MIN, TOKEN_SPLIT
 from kelpline.operators.retrieval import K1, B, broadcast_if
 
-#: Documents of a block, about: they are dealt to blocks by a hash of the id.
-BLOCK_DOCS = 4096
-#: Folders of postings by hash of the term; blocks whose postings of one folder make a file.
+#: Documents and postings of a block at most; a document with more postings is a block of its own.
+BLOCK_DOCS, BLOCK_POSTINGS = 4096, 1 << 21
+#: Folders of postings by hash of the term; blocks whose postings of one folder make a file, about.
 BUCKETS, SLICE = 32, 256
 #: Queries that are scored together against a block of documents.
 QUERY_GROUP = 256
 #: What scores may differ by and still change places when they are rounded.
 NEAR = 1e-5
 #: Raised when the layout changes, so that older indexes aren't read.
-LAYOUT = 1
+LAYOUT = 2
 
 
 class Index(NamedTuple):
@@ -57,45 +63,102 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's terms with their counts, and how many tokens that makes."""
+    split, stops = re.compile(TOKEN_SPLIT).split, frozenset(STOP_WORDS)
+    for batch in batches:
+        lengths, ends, terms, tfs = [], [0], [], []
+        for text in batch.column("text").to_pylist():
+            held = Counter(split((text or "").lower()))
+            own = {t: n for t, n in held.items() if TOKEN_MIN <= len(t) <= TOKEN_MAX and t not in stops}
+            terms.extend(own)
+            tfs.extend(own.values())
+            ends.append(len(terms))
+            lengths.append(sum(own.values()))
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind)) for x, kind in ((terms, pa.string()), (tfs, pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths, pa.int64()), *lists], names=["doc_id", "dl", "terms", "tfs"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most_docs: int, most_postings: int) -> Iterator[pa.Table]:
+    """The rows of a task in blocks."""
+    held, n_docs, n_postings = [], 0, 0
+    for batch in batches:
+        sizes = pa.compute.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False)
+        start = 0
+        for i, n in enumerate(sizes.tolist()):
+            if n_docs and (n_docs == most_docs or n_postings + n > most_postings):
+                yield pa.Table.from_batches([*held, batch.slice(start, i - start)])
+                held, n_docs, n_postings, start = [], 0, 0, i
+            n_docs, n_postings = n_docs + 1, n_postings + n
+        held.append(batch.slice(start))
+    if n_docs:
+        yield pa.Table.from_batches(held)
+
+
+def _inverted(batches: Iterator[pa.RecordBatch], most_docs: int, most_postings: int) -> Iterator[pa.RecordBatch]:
+    """Postings of each block of a task's documents, by term. A block's number is that of its task and its own, the same whenever the table is read again."""
+    task = TaskContext.get().partitionId()
+    for number, block in enumerate(_blocks(batches, most_docs, most_postings)):
+        block = block.sort_by("doc_id").combine_chunks()
+        docs, dl = block.column("doc_id").combine_chunks(), block.column("dl").to_numpy()
+        lists, counts = (block.column(c).combine_chunks() for c in ("terms", "tfs"))
+        of = np.repeat(np.arange(len(docs)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+        coded = lists.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        ends = pa.array(np.r_[0, np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))], pa.int32())
+        values = docs.take(pa.array(of[order])), counts.flatten().take(pa.array(order)), pa.array(dl[of[order]].astype(np.int32))
+        columns = [coded.dictionary, pa.array(np.full(len(coded.dictionary), (task << 32) | number))]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.ListArray.from_arrays(ends, v) for v in values)], names=["term", "block", "docs", "tfs", "dls"])
+
+
 def build(docs: DataFrame, path: str) -> None:
     """Writes the index of (doc_id, text) rows to a new folder. Rows with one id are one document; a row without an id isn't indexed, as nothing names it."""
     spark = docs.sparkSession
     named = docs.filter("doc_id is not null").select("doc_id", "text")
+    schemas = _schemas(dict(docs.dtypes)["doc_id"])
     cores = spark.sparkContext.defaultParallelism
     if named.rdd.getNumPartitions() < cores:  # a table of few files: cutting texts takes longer than dealing them out
         named = named.repartition(cores)
-    pieces_of = named.select("doc_id", F.explode(pieces(F.col("text"))).alias("term"))  # a split has one piece at least
-    token = is_token(F.col("term"))
-    counted = pieces_of.groupBy("doc_id", F.when(token, F.col("term")).alias("term")).agg(F.count(F.when(token, 1)).alias("tf"))
-    # As many as one document has words.
-    held = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", F.col("tf").cast("int").alias("tf")))).alias("terms")
-    counted.groupBy("doc_id").agg(F.sum("tf").alias("dl"), held).write.parquet(f"{path}/documents")
+    repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        counted = named.mapInArrow(_counted, schemas["documents"])
+    else:
+        lone = named.join(repeated, "doc_id", "left_anti").mapInArrow(_counted, schemas["documents"])
+        parts = named.join(repeated, "doc_id", "left_semi").mapInArrow(_counted, schemas["documents"])
+        # An empty text has a row with no term, so its document stays.
+        each = parts.select("doc_id", F.explode_outer(F.arrays_zip("terms", "tfs")).alias("t")).groupBy("doc_id", F.col("t.terms").alias("term")).agg(F.coalesce(F.sum("t.tfs"), F.lit(0)).cast("int").alias("tf"))
+        pairs = F.array_compact(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))))
+        merged = each.groupBy("doc_id").agg(F.sum("tf").alias("dl"), pairs.alias("p")).select("doc_id", "dl", F.col("p.term").alias("terms"), F.col("p.tf").alias("tfs"))
+        counted = lone.unionByName(merged)
+    counted.write.parquet(f"{path}/documents")
     forward = spark.read.parquet(f"{path}/documents")
     n_docs, total = forward.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    n_blocks = max(1, -(-n_docs // BLOCK_DOCS))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block")
-    spread = forward.select("doc_id", "dl", block, F.explode("terms").alias("t")).select("t.term", "block", F.struct("doc_id", "t.tf", F.col("dl").cast("int").alias("dl")).alias("p"))
-    rows = spread.groupBy("term", "block").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    packed = rows.select("term", "block", F.col("ps.doc_id").alias("docs"), F.col("ps.tf").alias("tfs"), F.col("ps.dl").alias("dls"), _bucket(F.col("term")).alias("bucket"))
-    packed.repartition("bucket", F.floor(F.col("block") / SLICE)).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
-    counts = spread.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("p.tf").alias("cf")).withColumn("bucket", _bucket(F.col("term")))
+    n_slices = max(1, -(-n_docs // (BLOCK_DOCS * SLICE)))
+    invert = partial(_inverted, most_docs=BLOCK_DOCS, most_postings=BLOCK_POSTINGS)
+    packed = forward.mapInArrow(lambda batches: invert(batches), schemas["postings"].removesuffix(", bucket int")).withColumn("bucket", _bucket(F.col("term")))
+    packed.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(n_slices))).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+    held = spark.read.schema(schemas["postings"]).parquet(f"{path}/postings")
+    times = F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)
+    counts = held.groupBy("bucket", "term").agg(F.sum(F.size("tfs")).alias("df"), F.sum(times).alias("cf"))
     counts.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
     spark.range(1).select(F.lit(n_docs).cast("long").alias("n_docs"), F.lit(total).cast("long").alias("total")).coalesce(1).write.parquet(f"{path}/totals")
 
 
-def _schema(id_type: str) -> dict[str, str]:
+def _schemas(id_type: str) -> dict[str, str]:
+    """Columns of the tables; types are stated, as an index of texts without terms has no folder of postings to tell them."""
     return {
-        "documents": f"doc_id {id_type}, dl long, terms array<struct<term:string,tf:int>>",
+        "documents": f"doc_id {id_type}, dl long, terms array<string>, tfs array<int>",
         "postings": f"term string, block long, docs array<{id_type}>, tfs array<int>, dls array<int>, bucket int",
         "terms": "term string, df long, cf long, bucket int",
     }
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    """A whole index. Schemas are stated, as an index of texts without terms has no folder of postings to tell them."""
+    """A whole index."""
     id_type = dict(spark.read.parquet(f"{path}/documents").dtypes)["doc_id"]
     totals = spark.read.parquet(f"{path}/totals").first()
-    return Index(*(spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in _schema(id_type).items()), totals["n_docs"], totals["total"])
+    return Index(*(spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in _schemas(id_type).items()), totals["n_docs"], totals["total"])
 
 
 def state_of(spark: SparkSession, paths: Iterable[str]) -> str:

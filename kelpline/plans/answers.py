@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kelpline.functions import text as T
-from kelpline.operators import alerts, ask, feeds, market, model_calls, retrieval, routes
+from kelpline.operators import alerts, ask, feeds, market, model_calls, ranked, retrieval, routes
 from kelpline.plans import index_build
 from kelpline.plans.queries import COSINE_SQL, FUSED_SQL, _trips, glossary_sql, html_sql, korean, korean_sql, query, stored_index, table, tokens_sql
 from kelpline.sources import files
@@ -84,6 +84,22 @@ def ask_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select("query_id", "n_hits", F.md5("evidence").alias("evidence_md5")).join(said, "query_id").withColumn("used", F.array_join("used", ","))
 
 
+def ranked_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every hundredth vector as that of a question, the benchmark item of its number; documents that have a vector as chunks."""
+    items, docs, vectors = (table(spark, sf_dir, n) for n in ("benchmark", "documents", "embeddings"))
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"), (F.col("vec_id") / 100).cast("long").alias("item_id"))
+    questions = asked.join(items, "item_id").select("query_id", F.col("text").alias("question"), F.lit(None).cast("string").alias("query_en"), "vec")
+    number = F.col("doc_id").cast("string")
+    chunks = docs.select("doc_id", F.col("source").alias("doc"), F.concat(F.lit("Regulation "), number).alias("cite"), F.col("text").alias("body"), F.col("n_chars").alias("article_no"))
+    return questions, chunks.join(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id")
+
+
+@query()
+def ask_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of each question, ranked by their stemmed words. Stems have no SQL here: tested against loops."""
+    return ranked.ask_ranked(*ranked_questions(spark, sf_dir), k=10)
+
+
 # Texts around a model
 
 _HEAD_SQL = "CASE WHEN title <> '' THEN heading || ' — ' || title ELSE heading END"

@@ -42,8 +42,13 @@ def corpus():
 @pytest.fixture
 def index(spark, corpus, tmp_path, monkeypatch):
     monkeypatch.setattr(inverted, "BLOCK_DOCS", 40)
+    monkeypatch.setattr(inverted, "BLOCK_POSTINGS", 500)
     monkeypatch.setattr(inverted, "SLICE", 2)
-    docs = spark.createDataFrame([*corpus[0].items(), (None, "w1 w2")], "doc_id long, text string")
+    rows = [*corpus[0].items(), (None, "w1 w2")]
+    # Three documents in several rows.
+    for d in (5, 6, 401):
+        rows = [r for r in rows if r[0] != d] + [(d, x) for x in (corpus[0][d] or " ").split(" ", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     inverted.build(docs, str(tmp_path / "i"))
     return inverted.load(spark, str(tmp_path / "i"))
 
@@ -54,7 +59,7 @@ def test_tables(index, corpus):
     assert {r["doc_id"]: r["dl"] for r in index.documents.collect()} == {d: sum(c.values()) for d, c in counts.items()}
     held = {}
     for r in index.postings.collect():
-        assert r["docs"] == sorted(r["docs"]) and len(r["docs"]) <= 80
+        assert r["docs"] == sorted(r["docs"]) and len(r["docs"]) <= 40
         for d, tf, dl in zip(r["docs"], r["tfs"], r["dls"]):
             assert (r["term"], d) not in held and dl == sum(counts[d].values())
             held[r["term"], d] = tf
