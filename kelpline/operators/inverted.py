@@ -167,12 +167,6 @@ def state_of(spark: SparkSession, paths: Iterable[str]) -> str:
     return hashlib.sha256(repr([tuple(f) for f in found]).encode()).hexdigest()[:24]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where tables of the session's own go: the checkpoint folder, else the warehouse; driver and executors share both."""
-    conf = spark.sparkContext.getConf()
-    return conf.get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-
-
 def stored(spark: SparkSession, folder: str, made_from: str, docs: Callable[[], DataFrame]) -> Index:
     """The index of what ``made_from`` names: the newest whole one below ``folder``, or one built now from ``docs``."""
     base = f"{folder}/inverted-{LAYOUT}-{made_from}"

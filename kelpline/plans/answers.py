@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kelpline.functions import text as T
-from kelpline.operators import alerts, ask, feeds, market, model_calls, ranked, retrieval, routes
+from kelpline.operators import alerts, ask, feeds, market, model_calls, network, ranked, retrieval, routes
 from kelpline.plans import index_build
 from kelpline.plans.queries import COSINE_SQL, FUSED_SQL, _trips, glossary_sql, html_sql, korean, korean_sql, query, stored_index, table, tokens_sql
 from kelpline.sources import files
@@ -328,6 +328,52 @@ def upload_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.extract_text(made).select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), "status")
 
 
+#: Passages between regions by the sum of their keys, and those that an order's priority closes.
+_BETWEEN = ("suez", "panama", "malacca", "gibraltar")
+_CLOSED = {"1-URGENT": (), "2-HIGH": ("suez",), "3-MEDIUM": ("panama", "suez"), "4-NOT SPECIFIED": ("gibraltar", "malacca"), "5-LOW": ("gibraltar", "malacca", "panama", "suez")}
+_CLOSED_SQL = ", ".join(f"('{p}', {list(names)}::VARCHAR[])" for p, names in _CLOSED.items())
+
+
+def _trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Order lines with the nations of customer and supplier; and a network of nations, each with its three cheapest trades, those between regions through a passage."""
+    orders, customer, supplier, nation = (table(spark, sf_dir, n) for n in ("orders", "customer", "supplier", "nation"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", F.col("l_extendedprice").cast("double").alias("price"))
+    buyers = customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("a"))
+    sellers = supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("b"))
+    trade = lines.join(orders.select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey").join(buyers, "o_custkey").join(sellers, "l_suppkey")
+    cheapest = trade.filter("a <> b").groupBy("a", "b").agg(F.round(F.min("price"), 2).alias("nm")).withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("nm", "b"))).filter("k <= 3")
+    regions = [F.broadcast(nation.select(F.col("n_nationkey").alias(c), F.col("n_regionkey").alias(f"r{c}"))) for c in ("a", "b")]  # 25 nations
+    passage = F.when(F.col("ra") != F.col("rb"), F.element_at(F.array(*map(F.lit, _BETWEEN)), ((F.col("ra") + F.col("rb")) % 4 + 1).cast("int")))
+    return trade, cheapest.join(regions[0], "a").join(regions[1], "b").select("a", "b", "nm", passage.alias("passage"))
+
+
+@query(
+    f"""WITH RECURSIVE trade AS (SELECT o_orderkey, o_orderpriority, c_nationkey AS a, s_nationkey AS b, CAST(l_extendedprice AS DOUBLE) AS price FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey),
+least AS (SELECT a, b, round(min(price), 2) AS nm FROM trade WHERE a <> b GROUP BY a, b), cheapest AS (SELECT * FROM least QUALIFY row_number() OVER (PARTITION BY a ORDER BY nm, b) <= 3),
+one AS (SELECT a, b, nm, CASE WHEN x.n_regionkey <> y.n_regionkey THEN {list(_BETWEEN)}[(x.n_regionkey + y.n_regionkey) % 4 + 1] END AS passage FROM cheapest JOIN nation x ON x.n_nationkey = a JOIN nation y ON y.n_nationkey = b),
+roads AS (SELECT a, b, passage, min(nm) AS nm FROM (SELECT * FROM one UNION ALL SELECT b, a, nm, passage FROM one) GROUP BY ALL), classes(priority, closed) AS (VALUES {_CLOSED_SQL}),
+d(priority, source, node, nm, path) USING KEY (priority, source, node) AS (
+  SELECT priority, n_nationkey, n_nationkey, 0.0::DOUBLE, [n_nationkey] FROM nation, classes
+  UNION
+  SELECT x.priority, x.source, x.node, x.nm, x.path FROM (
+    SELECT d.priority, d.source, r.b AS node, d.nm + r.nm AS nm, list_append(d.path, r.b) AS path, row_number() OVER (PARTITION BY d.priority, d.source, r.b ORDER BY d.nm + r.nm, r.a) AS k
+    FROM d JOIN classes c ON c.priority = d.priority JOIN roads r ON r.a = d.node AND (r.passage IS NULL OR NOT list_contains(c.closed, r.passage))
+  ) x LEFT JOIN recurring.d h ON h.priority = x.priority AND h.source = x.source AND h.node = x.node WHERE k = 1 AND (h.nm IS NULL OR x.nm < h.nm)
+),
+asked AS (SELECT o_orderkey, any_value(o_orderpriority) AS priority, any_value(a) AS source, min(b) AS via, max(b) AS target FROM trade GROUP BY o_orderkey)
+SELECT o_orderkey, round(p.nm + q.nm, 2) AS nm, CASE WHEN p.nm + q.nm IS NOT NULL THEN array_to_string(list_concat(p.path, q.path[2:]), '>') END AS path
+FROM asked LEFT JOIN d p ON p.priority = asked.priority AND p.source = asked.source AND p.node = via LEFT JOIN d q ON q.priority = asked.priority AND q.source = via AND q.node = target"""
+)
+def sea_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's way from its buyer's nation by the first to the last of its sellers' nations, around the passages that its priority closes."""
+    trade, edges = _trade(spark, sf_dir)
+    closed = F.coalesce(*[F.when(F.col("o_orderpriority") == p, F.array(*map(F.lit, names)).cast("array<string>")) for p, names in _CLOSED.items()])
+    ends = trade.groupBy("o_orderkey", "o_orderpriority", "a").agg(F.min("b").alias("via"), F.max("b").alias("target"))
+    requests = ends.select(F.col("o_orderkey").alias("request_id"), F.array("a", "via", "target").alias("points"), closed.alias("restrictions"))
+    found = network.shortest_ways(requests, edges)
+    return found.select(F.col("request_id").alias("o_orderkey"), F.round("nm", 2).alias("nm"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
 def _counts(texts: list[str]) -> list[list[float]]:
     """A stand-in for an embedder: length and number of blanks."""
     return [[float(len(t)), float(t.count(" ")) + 1.0] for t in texts]

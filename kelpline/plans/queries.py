@@ -17,6 +17,7 @@ from kelpline.functions import vectors as V
 from kelpline.functions.glossary import GLOSSARY, glossary_terms, weighted_terms  # noqa: F401  (also imported from here)
 from kelpline.operators import alerts, chunks, feeds, inverted, market, retrieval, routes
 from kelpline.sources import files, seeds
+from kelpline.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,7 +50,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored_index(spark: SparkSession, sf_dir: str, name: str, docs: Callable[[], DataFrame]) -> inverted.Index:
     """The stored index of texts made from the documents of ``sf_dir``, built by the first query of a state of that table; ``name`` tells what the texts are."""
     state = inverted.state_of(spark, [f"{sf_dir}/documents.parquet"])
-    return inverted.stored(spark, f"{inverted.shared_folder(spark)}/kelpline", f"{name}-{state}", docs)
+    return inverted.stored(spark, f"{shared_folder(spark)}/kelpline", f"{name}-{state}", docs)
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> inverted.Index:
