@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.operators import market
+from kelpline.sources import keyed
 
 def _fixed(value: pd.Series, digits: pd.Series) -> pd.Series:
     """A whole batch at once; only values within rounding error of a tie are looked at digit by digit."""
@@ -155,10 +156,19 @@ def fx_rows(payloads: DataFrame) -> DataFrame:
     return read.withColumn("reason", reason).select(*rest, usd_per_eur.alias("usd_per_eur"), krw_per_eur.alias("krw_per_eur"), F.when(ok, F.col("_as_of")).alias("as_of"), "reason")
 
 
-def log_rates(fetched: DataFrame, fetched_at: Column, path: str) -> None:
-    """Appends two rows (base, quote, rate, fetched_at) for each row (base, usd_per_eur, krw_per_eur, reason) that wasn't refused."""
+def _logged(fetched: DataFrame, fetched_at: Column) -> DataFrame:
     pair = F.array(*[F.struct(F.lit(q).alias("quote"), F.col(c).cast("decimal(38,30)").alias("rate")) for q, c in (("USD", "usd_per_eur"), ("KRW", "krw_per_eur"))])
-    fetched.filter("reason is null").select("base", F.inline(pair)).withColumn("fetched_at", fetched_at).write.mode("append").parquet(path)
+    return fetched.filter("reason is null").select("base", F.inline(pair)).withColumn("fetched_at", fetched_at)
+
+
+def log_rates(fetched: DataFrame, fetched_at: Column, path: str) -> None:
+    """Appends two rows (base, quote, rate, fetched_at) for each row (base, usd_per_eur, krw_per_eur, reason) that wasn't refused. A job that is run again appends again; ``log_rates_once`` doesn't."""
+    _logged(fetched, fetched_at).write.mode("append").parquet(path)
+
+
+def log_rates_once(fetched: DataFrame, fetched_at: Column, path: str, token: str) -> bool:
+    """The same into a keyed table with a part for each day, of which an append writes the day's again; nothing (False) if the token's rows are in the log already."""
+    return keyed.merge(_logged(fetched, fetched_at), path, F.to_date("fetched_at"), DataFrame.unionByName, token)
 
 
 def fx_answer(rates: DataFrame, fetched: DataFrame, now: Column) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kelpline.sources import keyed
+from kelpline.sources.shared import checkpointed
+
 #: Ages below which prices and rates are fresh, in seconds; bounds of a sane spot; closes that are shown.
 PRICE_TTL_S, RATE_TTL_S = 30 * 60, 24 * 60 * 60
 SPOT_LOW, SPOT_HIGH = 60.0, 120.0
@@ -19,6 +22,10 @@ FALLBACK_RATES = {"EUR/USD": 1.1548, "EUR/KRW": 1630.83, "USD/KRW": 1412.2}
 CHANGE_TOLERANCE = 0.05
 
 
+#: Parts of a table of prices, by hash of the key.
+PARTS = 64
+
+
 def is_fresh(fetched_at: Column, now: Column, ttl_s: int) -> Column:
     """Strictly younger than the limit; null is stale. The clock is an argument."""
     return F.coalesce((now.cast("timestamp").cast("double") - fetched_at.cast("timestamp").cast("double")) < ttl_s, F.lit(False))
@@ -79,6 +86,44 @@ def cache_decision(history: DataFrame, quotes: DataFrame, now: Column, keys: lis
     return both.withColumn("status", status).withColumn("is_live", F.col("status").isin("cached", "fetched"))
 
 
+PRICES = "key string, price_date date, close double, fetched_at timestamp"
+
+
+def price_answers(quotes: DataFrame, path: str, now: Column, token: str, ttl_s: int = PRICE_TTL_S) -> DataFrame:
+    """(key, spot, day_change_pct, as_of, closes, status, is_live) of each key that is stored or quoted, and the table at ``path`` with what was fetched.
+
+    quotes: (key, times, closes), the parallel arrays of a chart, oldest first, null where the feed failed. ``cached`` needs two stored days of which the last was fetched less than ``ttl_s`` ago;
+    else the quote is taken (``fetched``), and its last close stored for its day in UTC; else two stored days answer, not live (``stale``); else nothing does (``unavailable``), as where the close before is 0.
+    Closes are the last five, oldest first. Answers are those of the table before the merge; run again with its token, a job finds its own prices stored, as a later call does.
+    """
+    spark = quotes.sparkSession
+    held = keyed.load(spark, path)
+    held = checkpointed(spark.createDataFrame([], PRICES) if held is None else held)
+    order = Window.partitionBy("key").orderBy(F.desc("price_date"))
+    last = held.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= RECENT)
+    days = F.array_sort(F.collect_list(F.struct("price_date", "close", "fetched_at"))).alias("days")  # five a key
+    pairs = zipped_closes(F.col("times"), F.col("closes"))
+    offers = quotes.select("key", pairs.alias("pairs"))
+    both = last.groupBy("key").agg(days).join(offers, "key", "full_outer").withColumn("n", F.coalesce(F.size("days"), F.lit(0)))
+    at = lambda c, i: F.get(c, F.size(c) + i)  # noqa: E731  (counted from the end)
+    newest = at("days", -1)["fetched_at"]
+    status = F.when((F.col("n") >= 2) & is_fresh(newest, now, ttl_s), "cached").when(F.size("pairs") >= 2, "fetched").when(F.col("n") >= 2, "stale").otherwise("unavailable")
+    decided = both.withColumn("status", status)
+    stored, quoted = F.col("status").isin("cached", "stale"), F.col("status") == "fetched"
+    closes = F.when(stored, F.col("days.close")).when(quoted, F.transform("pairs", lambda x: x["c"]))
+    as_of = F.when(stored, at("days", -1)["price_date"]).when(quoted, F.to_date(F.timestamp_seconds(at("pairs", -1)["t"])))
+    found = decided.select("key", "status", closes.alias("all"), as_of.alias("as_of")).withColumn("before", at("all", -2))
+    found = checkpointed(found.withColumn("status", F.when(F.col("before") == 0, "unavailable").otherwise(F.col("status"))))
+    bought = found.filter("status = 'fetched'").select("key", F.col("as_of").alias("price_date"), at("all", -1).alias("close"), now.cast("timestamp").alias("fetched_at"))
+    keyed.merge(bought, path, F.pmod(F.xxhash64("key"), F.lit(PARTS)), lambda old, new: upsert(old, new, ["key", "price_date"], "fetched_at", "close"), token, ["key", "price_date"])
+    known = F.col("status") != "unavailable"
+    spot = F.when(known, at("all", -1))
+    return found.select(
+        "key", spot.alias("spot"), day_change_pct(spot, F.col("before")).alias("day_change_pct"), F.when(known, F.col("as_of")).alias("as_of"), F.when(known, F.slice("all", -F.least(F.size("all"), F.lit(RECENT)), RECENT)).alias("closes"),
+        "status", F.col("status").isin("cached", "fetched").alias("is_live"),
+    )
+
+
 def cached_answer(entries: DataFrame, loaded: DataFrame, now: Column, keys: list[str], ttl_s: int, fallback: Column) -> DataFrame:
     """(keys, value, status, is_live, reason): a fresh entry, else what was loaded, else the stale entry, else the fallback.
 

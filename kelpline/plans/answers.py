@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +12,8 @@ from kelpline.functions import text as T
 from kelpline.operators import alerts, ask, feeds, market, model_calls, network, ranked, retrieval, routes
 from kelpline.plans import index_build
 from kelpline.plans.queries import COSINE_SQL, FUSED_SQL, _trips, glossary_sql, html_sql, korean, korean_sql, query, stored_index, table, tokens_sql
-from kelpline.sources import files
+from kelpline.sources import files, keyed
+from kelpline.sources.shared import shared_folder
 
 # The composed question: every hundredth benchmark item, asked with a glossary term, its translation being the next item
 
@@ -243,6 +246,34 @@ def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.cached_answer(entries, loaded, F.lit(now), ["user_id"], 43_200, F.lit(-1.0))
 
 
+@query(
+    """WITH c AS (SELECT max(ts) AS now FROM events), e AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, CAST(ts AS DATE) AS day, event_id, value, event_type FROM events WHERE value IS NOT NULL),
+h AS (SELECT key, day, arg_max(value, (ts, event_id)) AS close, max(ts) AS fetched FROM e WHERE event_type <> 'purchase' GROUP BY ALL), l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY day DESC) AS k, count(*) OVER (PARTITION BY key) AS days FROM h),
+s AS (SELECT key, any_value(days) AS days, list(close ORDER BY day) AS cs, max(day) AS day, arg_max(fetched, day) AS fetched FROM l WHERE k <= 5 GROUP BY key),
+q AS (SELECT key, count(*) AS n, list(value ORDER BY ts, event_id) AS cs, max(day) AS day FROM e WHERE event_type = 'purchase' GROUP BY key),
+b AS (SELECT coalesce(s.key, q.key) AS key, coalesce(days, 0) AS days, s.cs AS stored, s.day AS stored_day, q.cs AS quoted, q.day AS quoted_day,
+  CASE WHEN days >= 2 AND epoch(now) - epoch(fetched) < 86400 THEN 'cached' WHEN q.n >= 2 THEN 'fetched' WHEN days >= 2 THEN 'stale' ELSE 'unavailable' END AS found FROM s FULL JOIN q ON q.key = s.key, c),
+a AS (SELECT key, days, CASE WHEN found IN ('cached', 'stale') THEN stored WHEN found = 'fetched' THEN quoted END AS cs, CASE WHEN found = 'fetched' THEN quoted_day ELSE stored_day END AS day, found FROM b),
+r AS (SELECT *, CASE WHEN cs[-2] = 0 THEN 'unavailable' ELSE found END AS status FROM a),
+n AS (SELECT r.key, days + CASE WHEN status = 'fetched' AND h.key IS NULL THEN 1 ELSE 0 END AS n_stored FROM r LEFT JOIN h ON h.key = r.key AND h.day = r.day)
+SELECT r.key, CASE WHEN status <> 'unavailable' THEN cs[-1] END AS spot, CASE WHEN status <> 'unavailable' THEN round((cs[-1] - cs[-2]) / cs[-2] * 100, 6) END AS day_change_pct, CASE WHEN status <> 'unavailable' THEN strftime(day, '%Y-%m-%d') END AS as_of,
+CASE WHEN status <> 'unavailable' THEN array_to_string(list_transform(cs[-5:], lambda x: printf('%.4f', x)), ',') END AS closes, status, status IN ('cached', 'fetched') AS is_live, CAST(n_stored AS BIGINT) AS n_stored FROM r JOIN n USING (key)"""
+)
+def price_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as prices: closes of their other events are stored, their purchases are charts of a feed; what is answered at the last event's time, and how many days are stored after it."""
+    events = table(spark, sf_dir, "events").filter("value is not null").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value", "event_type")
+    path = f"{shared_folder(spark)}/kelpline/prices-{uuid.uuid4().hex}"
+    closes = events.filter("event_type <> 'purchase'").groupBy("key", F.to_date("ts").alias("price_date")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("close"), F.max("ts").alias("fetched_at"))
+    keyed.merge(closes, path, F.pmod(F.xxhash64("key"), F.lit(market.PARTS)), DataFrame.unionByName, "first", ["key", "price_date"])
+    ticks = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
+    charts = events.filter("event_type = 'purchase'").groupBy("key").agg(ticks.alias("t")).select("key", F.transform("t", lambda x: x["ts"].cast("long")).alias("times"), F.col("t.value").alias("closes"))
+    now = events.agg(F.max("ts")).first()[0]  # the clock
+    found = market.price_answers(charts, path, F.lit(now), "second", market.RATE_TTL_S)
+    stored = keyed.load(spark, path).groupBy("key").agg(F.count(F.lit(1)).alias("n_stored"))
+    shown = found.withColumns({"day_change_pct": F.round("day_change_pct", 6), "as_of": F.col("as_of").cast("string"), "closes": F.array_join(F.transform("closes", lambda x: F.format_string("%.4f", x)), ",")})
+    return shown.join(stored, "key", "left").withColumn("n_stored", F.coalesce("n_stored", F.lit(0)))
+
+
 @query("SELECT event_id, ts, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
 def latest_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.latest_overall(table(spark, sf_dir, "events").select("event_id", "ts", "value"), "ts", "event_id")
