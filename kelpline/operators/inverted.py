@@ -37,6 +37,8 @@ from kelpline.operators.retrieval import K1, B, broadcast_if
 BLOCK_DOCS, BLOCK_POSTINGS = 4096, 1 << 19
 #: Bytes of texts that are cut into terms at a time; a longer text by itself.
 CUT = 1 << 20
+#: Documents that go to a Python task, and come back, at a time: their texts lie in buffers beside the heap.
+BATCH = 1000
 #: Folders of postings by hash of the term; blocks whose postings of one folder make a file, about.
 BUCKETS, SLICE = 32, 256
 #: Queries that are scored together against a block of documents.
@@ -128,6 +130,16 @@ def _inverted(batches: Iterator[pa.RecordBatch], most_docs: int, most_postings:
 
 def build(docs: DataFrame, path: str) -> None:
     """Writes the index of (doc_id, text) rows to a new folder. Rows with one id are one document; a row without an id isn't indexed, as nothing names it."""
+    spark, setting = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(BATCH))
+    try:
+        _build(docs, path)
+    finally:
+        spark.conf.set(setting, before)
+
+
+def _build(docs: DataFrame, path: str) -> None:
     spark = docs.sparkSession
     named = docs.filter("doc_id is not null").select("doc_id", "text")
     schemas = _schemas(dict(docs.dtypes)["doc_id"])
