@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.functions import text as T
@@ -37,3 +37,41 @@ def weighted_terms(question: Column, translated: Column) -> Column:
     more = F.array_distinct(T.tokenize(translated))
     both = F.transform(F.array(F.struct(glossary_terms(question).alias("sure"), more.alias("more"))), lambda x: F.concat(weigh(x["sure"], GLOSSARY_WEIGHT), weigh(F.array_except(x["more"], x["sure"]), TRANSLATION_WEIGHT)))
     return F.get(both, F.lit(0))
+
+
+#: Characters of a term by which it is looked up; shorter ones by all they have.
+HEAD = 4
+#: Bytes of a glossary that is sent to every task; a larger one is joined by a shuffle.
+MAX_BROADCAST = 64 << 20
+
+
+def glossary_table(spark: SparkSession) -> DataFrame:
+    """(ko, en): the fixed glossary as rows."""
+    return spark.createDataFrame(list(GLOSSARY), "ko string, en string")
+
+
+def contained(questions: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, ko, en) of every term (ko, en) that a question (query_id, question) contains, once each; for glossaries of any size.
+
+    A question is cut into all its stretches of one to HEAD characters, each term is met by its own first ones, and what is left of it is compared in place. So a
+    question meets the terms that begin as a part of it does, not the whole glossary.
+    """
+    known = terms.filter(F.length("ko") > 0).select("ko", "en", F.substring("ko", 1, HEAD).alias("head"))
+    n_bytes = known.agg(F.coalesce(F.sum(F.octet_length("ko") + F.octet_length(F.coalesce("en", F.lit(""))) + 40), F.lit(0))).first()[0]
+    asked = questions.filter(F.length("question") > 0).select("query_id", "question")
+    places = F.explode(F.sequence(F.lit(1), F.length("question"))).alias("at")
+    heads = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(HEAD)), lambda n: F.substr("question", F.col("at"), n)))).alias("head")
+    cut = asked.select("query_id", "question", places).select("query_id", "question", "at", heads)
+    met = cut.join(F.broadcast(known) if n_bytes <= MAX_BROADCAST else known, "head").filter(F.substr("question", F.col("at"), F.length("ko")) == F.col("ko"))
+    return met.select("query_id", "ko", "en").distinct()
+
+
+def weighted_term_rows(questions: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, term, weight) of questions (query_id, question, translated) by a glossary table: what ``weighted_terms`` gives for the fixed one."""
+    tokens = lambda c: F.explode(F.array_distinct(T.tokenize(F.col(c)))).alias("term")
+    phrases = contained(questions, terms).select("query_id", tokens("en"))
+    own = questions.select("query_id", tokens("question")).filter(F.col("term").rlike("^[a-z0-9]+$"))
+    more = questions.select("query_id", tokens("translated"))
+    rows = [part.withColumn("weight", F.lit(w)) for part, w in ((phrases, GLOSSARY_WEIGHT), (own, GLOSSARY_WEIGHT), (more, TRANSLATION_WEIGHT))]
+    # A term that is sure weighs as that, wherever else it occurs.
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("query_id", "term").agg(F.max("weight").alias("weight"))

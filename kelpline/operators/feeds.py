@@ -158,7 +158,7 @@ def fx_rows(payloads: DataFrame) -> DataFrame:
 
 def _logged(fetched: DataFrame, fetched_at: Column) -> DataFrame:
     pair = F.array(*[F.struct(F.lit(q).alias("quote"), F.col(c).cast("decimal(38,30)").alias("rate")) for q, c in (("USD", "usd_per_eur"), ("KRW", "krw_per_eur"))])
-    return fetched.filter("reason is null").select("base", F.inline(pair)).withColumn("fetched_at", fetched_at)
+    return fetched.filter("reason is null").select("base", fetched_at.alias("fetched_at"), F.inline(pair)).select("base", "quote", "rate", "fetched_at")
 
 
 def log_rates(fetched: DataFrame, fetched_at: Column, path: str) -> None:

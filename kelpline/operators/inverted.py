@@ -40,7 +40,7 @@ CUT = 1 << 20
 #: Documents that go to a Python task, and come back, at a time: their texts lie in buffers beside the heap.
 BATCH = 1000
 #: Folders of postings by hash of the term; blocks whose postings of one folder make a file, about.
-BUCKETS, SLICE = 32, 256
+BUCKETS, SLICE = 32, 64
 #: Queries that are scored together against a block of documents.
 QUERY_GROUP = 256
 #: What scores may differ by and still change places when they are rounded.

@@ -176,8 +176,8 @@ def _holds_json(text: str) -> bool:
 
 #: Temperature of a call, and of the one more that an answer which is no JSON gets.
 TEMPERATURE, AGAIN = 0.2, 0.0
-#: Characters of an answer that its error shows.
-SHOWN = 120
+#: Fixed value: characters of an answer that its error shows.
+SHOWN = 200
 
 
 def complete(requests: DataFrame, models: list[Callable[[str, str, float], dict]], as_json: bool = False) -> DataFrame:

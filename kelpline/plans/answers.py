@@ -452,3 +452,6 @@ def asked_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     missing = F.col("event_id") % 5 == 0
     given = (F.col("event_id") % 13).cast("int")
     return events.select(F.col("event_id").alias("query_id"), retrieval.clamp_k(F.when(~missing, given)).alias("clamped"), retrieval.checked_k(F.when(~missing, given + 1)).alias("checked"))
+
+
+from kelpline.plans import stored as _stored  # noqa: E402, F401  (registers its queries, too)

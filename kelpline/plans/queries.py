@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from kelpline.functions import text as T
 from kelpline.functions import vectors as V
-from kelpline.functions.glossary import GLOSSARY, glossary_terms, weighted_terms  # noqa: F401  (also imported from here)
+from kelpline.functions.glossary import GLOSSARY, glossary_table, glossary_terms, weighted_term_rows, weighted_terms  # noqa: F401  (also imported from here)
 from kelpline.operators import alerts, chunks, feeds, inverted, market, retrieval, routes
 from kelpline.sources import files, seeds
 from kelpline.sources.shared import shared_folder
@@ -199,18 +199,33 @@ def korean_sql(number: str) -> str:
     return f"([{', '.join(repr(ko) for ko, _ in GLOSSARY)}][CAST(({number}) % {len(GLOSSARY)} + 1 AS INTEGER)] || ' 언제까지? ')"
 
 
-@query(
+QUERY_TERMS_SQL = (
     f"""WITH q AS (SELECT a.conv_id, a.turn, {korean_sql('a.conv_id + a.turn')} || a.text AS question, b.text AS translated FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
 p AS (SELECT conv_id, turn, {glossary_sql('question')} AS sure, {tokens_sql('translated')} AS more FROM q),
 t AS (SELECT DISTINCT conv_id, turn, unnest(sure) AS term, 1.0::DOUBLE AS weight FROM p UNION ALL SELECT DISTINCT conv_id, turn, unnest(list_filter(more, lambda x: NOT list_contains(sure, x))) AS term, 0.1::DOUBLE AS weight FROM p)
 SELECT conv_id, turn, term, weight FROM t"""
 )
+
+
+@query(QUERY_TERMS_SQL)
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted terms of each turn, asked with a term of the glossary, with the next turn in the part of its translation."""
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.explode(weighted_terms(F.col("question"), F.col("translated"))).alias("t")).select("conv_id", "turn", "t.term", "t.weight")
+
+
+@query(QUERY_TERMS_SQL)
+def query_terms_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a join with the glossary as a table."""
+    turns = _turns(spark, sf_dir).withColumn("query_id", F.struct("conv_id", "turn"))
+    return weighted_term_rows(turns, glossary_table(spark)).select("query_id.conv_id", "query_id.turn", "term", "weight")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as questions that begin with a term of the glossary, the next turn standing in for the translation."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("translated"))
-    question = F.concat(korean(F.col("conv_id") + F.col("turn")), F.col("text"))
-    return turns.join(following, ["conv_id", "turn"], "left").select("conv_id", "turn", F.explode(weighted_terms(question, F.col("translated"))).alias("t")).select("conv_id", "turn", "t.term", "t.weight")
+    asked = turns.withColumn("question", F.concat(korean(F.col("conv_id") + F.col("turn")), F.col("text")))
+    return asked.join(following, ["conv_id", "turn"], "left").select("conv_id", "turn", "question", "translated")
 
 
 # Pages

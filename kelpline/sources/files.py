@@ -7,7 +7,7 @@ import re
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -85,13 +85,14 @@ def _hwpx(data: bytes) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _extracted(batches: Iterator[pd.DataFrame], pdf_text: Callable[[bytes], str] | None = None) -> Iterator[pd.DataFrame]:
+    readers = {"docx": _docx, "hwpx": _hwpx, "pdf": pdf_text}
     for pdf in filter(len, batches):
         rows = []
         for path, kind, data in zip(pdf["path"], pdf["kind"], pdf["content"], strict=True):
             data = bytes(data)
             try:
-                text = data.decode("utf-8") if kind in ("txt", "md") else {"docx": _docx, "hwpx": _hwpx}[kind](data)
+                text = data.decode("utf-8") if kind in ("txt", "md") else readers[kind](data)
                 rows.append((path, text, "ok"))
             except DAMAGED:
                 rows.append((path, None, "parse error"))
@@ -100,21 +101,24 @@ def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def is_scanned(path: Column, text: Column) -> Column:
     """A PDF without any text is a scan; other files without text are just empty."""
-    return (F.lower(F.substring_index(path, ".", -1)) == "pdf") & (F.trim(F.coalesce(text, F.lit(""))) == "")
+    return (F.lower(F.substring_index(path, ".", -1)) == "pdf") & ~F.coalesce(text, F.lit("")).rlike(r"\S")
 
 
-def extract_text(files: DataFrame) -> DataFrame:
-    """(path, text, status) of (path, content). status: ok, empty, too large, hwp, unsupported, bad magic, no pdf reader, or parse error.
+def extract_text(files: DataFrame, pdf_text: Callable[[bytes], str] | None = None) -> DataFrame:
+    """(path, text, status) of (path, content). status: ok, empty, too large, hwp, unsupported, bad magic, no pdf reader, scanned, or parse error.
 
-    Gates are expressions, so refused files never reach Python. PDF needs a library that this environment lacks.
+    Gates are expressions, so refused files never reach Python. PDF needs a reader, which is given: ``pdf_text`` takes the bytes of a file and raises ValueError where they are damaged. A PDF
+    without any text is ``scanned``.
     """
     kind = F.lower(F.substring_index("path", ".", -1))
     magic = F.when(kind == "pdf", F.substring("content", 1, 5) == F.lit(b"%PDF-")).when(kind.isin("docx", "hwpx"), F.substring("content", 1, 4) == F.lit(b"PK\x03\x04")).otherwise(F.lit(True))
     size = F.coalesce(F.octet_length("content"), F.lit(0))
     gate = (
         F.when(size == 0, "empty").when(size > MAX_BYTES, "too large").when(kind == "hwp", "hwp").when(~kind.isin(*EXTENSIONS), "unsupported")
-        .when(~magic, "bad magic").when(kind == "pdf", "no pdf reader")
+        .when(~magic, "bad magic").when((kind == "pdf") & F.lit(pdf_text is None), "no pdf reader")
     )
     gated = files.select("path", "content", kind.alias("kind"), gate.alias("status"))
     refused = gated.filter("status is not null").select("path", F.lit(None).cast("string").alias("text"), "status")
-    return refused.unionByName(gated.filter("status is null").select("path", "kind", "content").mapInPandas(_extracted, "path string, text string, status string"))
+    read = gated.filter("status is null").select("path", "kind", "content").mapInPandas(lambda batches: _extracted(batches, pdf_text), "path string, text string, status string")
+    scanned = (F.col("status") == "ok") & is_scanned(F.col("path"), F.col("text"))
+    return refused.unionByName(read.withColumn("status", F.when(scanned, "scanned").otherwise(F.col("status"))))
