@@ -56,6 +56,8 @@ _HEADER_WORDS = frozenset(["header"])
 _COMMENT_WORDS = frozenset("comment comments reply replies".split())
 #: Elements that hold others: an id names what these are, but only the place of a heading or paragraph; comments come in these.
 _HOLDERS = frozenset("article aside center dd details dialog div dl fieldset figure footer form header li main menu nav ol section table tbody td th tr ul".split())
+#: Blocks that class words don't drop: titles are parts of what they name, as elements within a line are of the line.
+_PARTS = frozenset("h1 h2 h3 h4 h5 h6 caption legend summary figcaption".split())
 #: A class such as has-sidebar or page-with-nav tells of a page that has one, or none; it doesn't name one.
 _TELLS = frozenset("has have no not with without".split())
 #: Start tags that end an open element of the key, unless one of its containers was opened since.
@@ -257,7 +259,7 @@ def _parsed(page: str, frames: frozenset[int]) -> tuple[list[str], list[str], li
                 seen_mark = True
         elif m.start() in frames:
             pass
-        elif name not in ("body", "html") and (name in _DROP or hidden or (alone if marked else words) & _DROP_WORDS):
+        elif name not in ("body", "html") and (name in _DROP or hidden or (name in _BLOCK and name not in _PARTS and (alone if marked else words) & _DROP_WORDS)):
             close_block()
             drop = name
         elif name == "header" or (words & _HEADER_WORDS and name in _BLOCK and name not in ("body", "html")):

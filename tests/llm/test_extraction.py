@@ -13,6 +13,17 @@ def test_blocks_of_marked_page():
     assert extraction.page_blocks('<script>var t="</p>";</script><p>a<p>b') == (["a", "b"], False)
 
 
+def test_words_of_a_line_and_titles_stay():
+    def text(page):
+        return extraction.page_blocks(page)[0]
+
+    assert text('<article><p>Order the <em class="menu">menu</em> today</p></article>') == ["Order the menu today"]
+    assert text('<p>A <span class="form">form</span> and <code class="login">login()</code></p>') == ["A form and login()"]
+    assert text('<main><h2 class="search">Search</h2><p>Text.</p><table><caption class="social">Social spending</caption><tr><td>1</table></main>') == ["Search", "Text.", "Social spending", "1"]
+    # Hidden ones go, and so do blocks of these names.
+    assert text('<article><p>One<span hidden>x</span></p><div class="menu">m</div></article>') == ["One"]
+
+
 def test_articles_do_not_vanish():
     def text(page):
         return extraction.page_blocks(page)[0]
