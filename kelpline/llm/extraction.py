@@ -259,7 +259,7 @@ def _parsed(page: str, frames: frozenset[int]) -> tuple[list[str], list[str], li
                 seen_mark = True
         elif m.start() in frames:
             pass
-        elif name not in ("body", "html") and (name in _DROP or hidden or (name in _BLOCK and name not in _PARTS and (alone if marked else words) & _DROP_WORDS)):
+        elif name not in ("body", "html") and (name in _DROP or hidden or ((name in _BLOCK or name in _CELL) and name not in _PARTS and (alone if marked else words) & _DROP_WORDS)):
             close_block()
             drop = name
         elif name == "header" or (words & _HEADER_WORDS and name in _BLOCK and name not in ("body", "html")):
