@@ -102,7 +102,15 @@ def plain_digest(doc_id, text):
     return (len(found), *(best or (None,) * 3), best and 1000 * best[1] // best[2], hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
 
 
-def test_digests(spark, monkeypatch):
+def test_texts_in_pieces(monkeypatch):
+    rng = random.Random(6)
+    texts = [None, "", *(" ".join(f"w{x}" for x in random_text(rng)) for _ in range(40))]
+    whole = [(w, r.tolist()) for w, r in periodic._found([None] * len(texts), texts, None)]
+    monkeypatch.setattr(periodic, "PIECE", 100)
+    assert [(w, r.tolist()) for w, r in periodic._found([None] * len(texts), texts, None)] == whole
+
+
+def test_digests(spark):
     rng = random.Random(5)
     texts = [" ".join(f"wört{x}" for x in random_text(rng)) for _ in range(60)]
     rows = [(i, texts[i % 60]) for i in range(150)] + [(1, "a b " * 40), (1, "a b " * 40), (None, "x\t" * 30), (200, None), (201, ""), (202, " \n "), (203, "word " * 5000 + "end " + "a b c\n" * 500)]
@@ -110,8 +118,6 @@ def test_digests(spark, monkeypatch):
     got = lambda: sorted((tuple(r) for r in periodic.digests(periodic.periodic_runs(docs, periodic.planted)).collect()), key=str)
     want = sorted(((d, *plain_digest(d, t)) for d, t in rows), key=str)
     assert got() == want
-    monkeypatch.setattr(periodic, "PIECE", 100)
-    assert got() == want
     assert periodic.digests(periodic.periodic_runs(docs.limit(0))).count() == 0
 
 
