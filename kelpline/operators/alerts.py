@@ -13,8 +13,12 @@ def alert_key(email: Column, target: Column) -> Column:
     return F.concat_ws("|", F.lower(F.trim(email)), target.cast("double").cast("string"))
 
 
+#: Fixed value: what an address looks like.
+ADDRESS = r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$"
+
+
 def is_email(text: Column) -> Column:
-    return F.trim(text).rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$")
+    return F.trim(text).rlike(ADDRESS)
 
 
 def polled(quotes: DataFrame) -> DataFrame:

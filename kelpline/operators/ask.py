@@ -23,7 +23,8 @@ def ask(questions: DataFrame, articles: DataFrame, index: inverted.Index, k: int
     """Hits (query_id, rank, doc_id, cite, excerpt, score, vec_score, kw_score, evidence), k of each question.
 
     questions: (query_id, question, query_en, vec, vec_en), query_en and vec_en null where nothing was translated; articles: (doc_id, heading, title, cite, text,
-    vec); index: that of ``article_texts``. The signals shown are raw, the score is that of the fused normal ones. prefilter: equal scores stay in the order of the vectors. Blank questions have no hits.
+    vec); index: that of ``article_texts``. The signals shown are raw, the score is that of the fused normal ones; equal scores go to the
+    smaller id in both variants (``ranked.ask_ranked`` keeps those of its nearest in the order of the vectors). Blank questions have no hits.
     """
     asked = questions.filter(F.trim("question") != "")
     english = F.coalesce("query_en", "question")

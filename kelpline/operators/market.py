@@ -98,7 +98,7 @@ def price_answers(quotes: DataFrame, path: str, now: Column, token: str, ttl_s:
     """
     spark = quotes.sparkSession
     held = keyed.load(spark, path)
-    held = checkpointed(spark.createDataFrame([], PRICES) if held is None else held)
+    held = spark.createDataFrame([], PRICES) if held is None else held
     order = Window.partitionBy("key").orderBy(F.desc("price_date"))
     last = held.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= RECENT)
     days = F.array_sort(F.collect_list(F.struct("price_date", "close", "fetched_at"))).alias("days")  # five a key
@@ -113,6 +113,7 @@ def price_answers(quotes: DataFrame, path: str, now: Column, token: str, ttl_s:
     closes = F.when(stored, F.col("days.close")).when(quoted, F.transform("pairs", lambda x: x["c"]))
     as_of = F.when(stored, at("days", -1)["price_date"]).when(quoted, F.to_date(F.timestamp_seconds(at("pairs", -1)["t"])))
     found = decided.select("key", "status", closes.alias("all"), as_of.alias("as_of")).withColumn("before", at("all", -2))
+    # Written before the merge: one row a key, of the table as it was.
     found = checkpointed(found.withColumn("status", F.when(F.col("before") == 0, "unavailable").otherwise(F.col("status"))))
     bought = found.filter("status = 'fetched'").select("key", F.col("as_of").alias("price_date"), at("all", -1).alias("close"), now.cast("timestamp").alias("fetched_at"))
     keyed.merge(bought, path, F.pmod(F.xxhash64("key"), F.lit(PARTS)), lambda old, new: upsert(old, new, ["key", "price_date"], "fetched_at", "close"), token, ["key", "price_date"])

@@ -18,6 +18,8 @@ from kelpline.operators import chunks
 
 #: Fixed value: times that a failed call is made at most.
 ATTEMPTS = 6
+#: Where an article is shown, and what its address, id and citation put before its number.
+ARTICLE_URL, URL_PART, ID_PART, CITE_PART = "https://eur-lex.europa.eu/legal-content/EN/TXT/?uri=CELEX:", "#art_", "#art", ", Article "
 #: Bytes above which an index is worth a warning.
 LARGE_INDEX = 20 << 20
 
@@ -65,9 +67,9 @@ def build_index(pages: DataFrame, documents: DataFrame, embedder: Callable, dims
         articles = chunks.first_n(articles, limit)
     named = (
         articles.join(documents.drop("max_article"), "doc_key")
-        .withColumn("id", F.concat("celex", F.lit("#art"), "art"))
-        .withColumn("cite", F.concat("cite_base", F.lit(", Article "), "art"))
-        .withColumn("url", F.concat(F.lit("https://eur-lex.europa.eu/legal-content/EN/TXT/?uri=CELEX:"), "celex", F.lit("#art_"), "art"))
+        .withColumn("id", F.concat("celex", F.lit(ID_PART), "art"))
+        .withColumn("cite", F.concat("cite_base", F.lit(CITE_PART), "art"))
+        .withColumn("url", F.concat(F.lit(ARTICLE_URL), "celex", F.lit(URL_PART), "art"))
     )
     texts = named.select("id", embedding_input(F.col("heading"), F.col("title"), F.col("cite"), F.col("text")).alias("text"))
     index = named.join(embed(texts, embedder, dims), "id").select("id", F.col("doc_key").alias("doc"), "celex", "art", "cite", "heading", "title", "text", "excerpt", "url", "vec")
