@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kelpline.functions import stems
 from kelpline.functions import text as T
 from kelpline.operators import alerts, ask, feeds, market, model_calls, network, ranked, retrieval, routes
 from kelpline.plans import index_build
@@ -97,10 +98,70 @@ def ranked_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     return questions, chunks.join(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), "doc_id")
 
 
-@query()
+def _cut_sql(number: int, table_of: dict[str, str], first: str, rules: str) -> str:
+    """One step of the stems: the longest suffix of w is replaced where it begins at or behind ``first`` and the rules hold. Suffix e begins at a; p is the letter before it."""
+    suffixes = "|".join(sorted(table_of, key=lambda x: -len(x)))
+    become = " ".join(f"WHEN '{e}' THEN '{r}'" for e, r in table_of.items())
+    return f"""t{number} AS (SELECT word, r1, r2, CASE WHEN e <> '' AND a >= {first} AND {rules} THEN left(w, a) || CASE e {become} END ELSE w END AS w FROM (SELECT *, regexp_extract(w, '({suffixes})$') AS e, length(w) - length(e) AS a, substring(w, a, 1) AS p FROM t{number - 1}))"""
+
+
+_REGION_SQL = "CASE WHEN regexp_matches({0}, '[aeiouy][^aeiouy]') THEN length(regexp_extract({0}, '^.*?[aeiouy][^aeiouy]')) ELSE length({0}) END"
+_SHORT_SQL = "regexp_matches({0}, '([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$')"
+#: Stems of all words of ``v`` (word), as ``stems`` (word, lexeme).
+_STEMS_SQL = f"""t0 AS (SELECT word, regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM v WHERE length(word) > 2 AND NOT regexp_matches(word, '[0-9]') AND word NOT IN ({', '.join(f"'{x}'" for x in stems.IRREGULAR)})),
+t1 AS (SELECT *, r1 + {_REGION_SQL.format("substring(w, r1 + 1)")} AS r2 FROM (SELECT *, CASE WHEN regexp_matches(w, '^({'|'.join(stems.BEGINNINGS)})') THEN length(regexp_extract(w, '^({'|'.join(stems.BEGINNINGS)})')) ELSE {_REGION_SQL.format('w')} END AS r1 FROM t0)),
+t2 AS (SELECT word, r1, r2, CASE WHEN w LIKE '%sses' THEN left(w, -2) WHEN regexp_matches(w, 'ie[ds]$') THEN CASE WHEN length(w) > 4 THEN left(w, -2) ELSE left(w, -1) END WHEN regexp_matches(w, '(us|ss)$') THEN w WHEN w LIKE '%s' AND regexp_matches(left(w, -2), '[aeiouy]') THEN left(w, -1) ELSE w END AS w FROM t1),
+t3 AS (SELECT word, r1, r2, CASE WHEN e = '' THEN w WHEN e LIKE 'eed%' THEN CASE WHEN a >= r1 THEN left(w, a + 2) ELSE w END WHEN NOT regexp_matches(left(w, a), '[aeiouy]') THEN w WHEN regexp_matches(left(w, a), '(at|bl|iz)$') THEN left(w, a) || 'e'
+  WHEN regexp_matches(left(w, a), '({'|'.join(stems.DOUBLES)})$') THEN left(w, a - 1) WHEN r1 >= a AND {_SHORT_SQL.format('left(w, a)')} THEN left(w, a) || 'e' ELSE left(w, a) END AS w
+  FROM (SELECT *, regexp_extract(w, '(eedly|ingly|edly|eed|ing|ed)$') AS e, length(w) - length(e) AS a FROM t2 WHERE w NOT IN ({', '.join(f"'{x}'" for x in sorted(stems.KEPT))}))),
+t4 AS (SELECT word, r1, r2, CASE WHEN length(w) > 2 AND regexp_matches(w, '[^aeiouy][yY]$') THEN left(w, -1) || 'i' ELSE w END AS w FROM t3),
+{_cut_sql(5, stems.SECOND, 'r1', f"(e <> 'ogi' OR p = 'l') AND (e <> 'li' OR contains('{stems.BEFORE_LI}', p) AND p <> '')")},
+{_cut_sql(6, stems.THIRD, 'r1', "(e <> 'ative' OR a >= r2)")},
+{_cut_sql(7, stems.FOURTH, 'r2', "(e <> 'ion' OR p IN ('s', 't'))")},
+t8 AS (SELECT word, CASE WHEN w LIKE '%e' AND (length(w) - 1 >= r2 OR length(w) - 1 >= r1 AND NOT {_SHORT_SQL.format('left(w, -1)')}) OR w LIKE '%ll' AND length(w) - 1 >= r2 THEN left(w, -1) ELSE w END AS w FROM t7),
+irregular(word, w) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in stems.IRREGULAR.items())}),
+stems AS (SELECT v.word, replace(coalesce(t8.w, irregular.w, t2.w, v.word), 'Y', 'y') AS lexeme FROM v LEFT JOIN t8 ON t8.word = v.word LEFT JOIN irregular ON irregular.word = v.word LEFT JOIN t2 ON t2.word = v.word)"""
+
+
+@query(
+    f"""WITH q AS (SELECT v.vec_id AS query_id, b.text AS question, v.embedding FROM embeddings v JOIN benchmark b ON b.item_id = v.vec_id // 100 WHERE v.vec_id % 100 = 0),
+c AS (SELECT doc_id, source AS doc, text AS body, v.embedding FROM documents d JOIN embeddings v ON v.vec_id = d.doc_id),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(vec, 6) DESC, doc_id) AS place FROM (SELECT q.query_id, v.doc_id, round({COSINE_SQL}, 9) AS vec FROM c v, q) QUALIFY place <= 10),
+texts AS (SELECT 'd' AS kind, doc_id AS id, body AS text FROM c WHERE doc_id IN (SELECT doc_id FROM near) UNION ALL SELECT 'q', query_id, question FROM q),
+parts AS (SELECT kind, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws FROM texts),
+words AS (SELECT kind, id, unnest(ws) AS word, least(generate_subscripts(ws, 1), 16383) AS spot FROM parts), kept AS (SELECT * FROM words WHERE word NOT IN ({', '.join(f"'{x}'" for x in sorted(stems.STOP_WORDS))})), v AS (SELECT DISTINCT word FROM kept),
+{_STEMS_SQL},
+lex AS (SELECT DISTINCT kind, id, spot, lexeme FROM kept JOIN stems USING (word)), pos AS (SELECT id AS doc_id, lexeme, spot, row_number() OVER (PARTITION BY id, lexeme ORDER BY spot) AS j FROM lex WHERE kind = 'd' QUALIFY j <= 255),
+ql AS (SELECT DISTINCT id AS query_id, lexeme FROM lex WHERE kind = 'q'), n AS (SELECT query_id, count(*) AS n FROM ql GROUP BY 1),
+one AS (SELECT query_id, doc_id, sum(0.1 / (j * j)) / 1.64493406685 AS kw FROM near JOIN ql USING (query_id) JOIN pos USING (doc_id, lexeme) GROUP BY ALL),
+many AS (SELECT near.query_id, near.doc_id, 1 - product(CASE WHEN abs(x.spot - y.spot) <= 100 THEN 1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(x.spot - y.spot) / 1.5 - 2))) ELSE 1 END) AS kw
+  FROM near JOIN ql a ON a.query_id = near.query_id JOIN ql b ON b.query_id = near.query_id AND b.lexeme < a.lexeme JOIN pos x ON x.doc_id = near.doc_id AND x.lexeme = a.lexeme JOIN pos y ON y.doc_id = near.doc_id AND y.lexeme = b.lexeme AND x.spot <> y.spot GROUP BY ALL),
+signals AS (SELECT near.*, CASE WHEN n.n IS NULL THEN 0.0 WHEN n.n = 1 THEN coalesce(one.kw, 0.0) ELSE coalesce(many.kw, 1e-20) END AS kw FROM near LEFT JOIN n ON n.query_id = near.query_id LEFT JOIN one ON one.query_id = near.query_id AND one.doc_id = near.doc_id LEFT JOIN many ON many.query_id = near.query_id AND many.doc_id = near.doc_id),
+ends AS (SELECT query_id, min(vec) AS lv, max(vec) AS hv, min(kw) AS lk, max(kw) AS hk FROM signals GROUP BY 1),
+fused AS (SELECT signals.*, round(round(CASE WHEN hv - lv < 1e-12 THEN 1.0 ELSE (vec - lv) / (hv - lv) END, 6) * 0.6 + round(CASE WHEN hk - lk < 1e-12 THEN 1.0 ELSE (kw - lk) / (hk - lk) END, 6) * 0.4, 6) AS score FROM signals JOIN ends USING (query_id))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS VARCHAR) AS id, doc_id, doc, 'Regulation ' || doc_id AS cite, score, round(vec, 6) AS vec_score, round(kw, 6) AS kw_score, CASE WHEN length(body) > 400 THEN substring(body, 1, 400) || '…' ELSE coalesce(body, '') END AS excerpt FROM fused JOIN c USING (doc_id)"""
+)
 def ask_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest of each question, ranked by their stemmed words. Stems have no SQL here: tested against loops."""
-    return ranked.ask_ranked(*ranked_questions(spark, sf_dir), k=10)
+    """The ten nearest of each question, ranked by their stemmed words."""
+    return ranked.ask_ranked(*ranked_questions(spark, sf_dir), k=10).withColumns({c: F.round(c, 6) for c in ("vec_score", "kw_score")})
+
+
+@query(
+    f"""WITH r AS (SELECT conv_id AS item_id, arg_min(text, turn) AS text FROM conversations GROUP BY 1), a AS (SELECT item_id, text, CAST(length(text) % 12 AS INTEGER) AS n FROM r),
+h AS (SELECT item_id FROM benchmark JOIN embeddings ON vec_id = item_id * 100)
+SELECT b.item_id AS query_id, CASE WHEN h.item_id IS NULL OR a.text IS NULL THEN '{T.NOT_FOUND}' ELSE a.text END AS answer,
+CASE WHEN h.item_id IS NULL OR n IS NULL THEN '' ELSE array_to_string(list_filter([1, CASE WHEN n BETWEEN 2 AND 10 THEN n END, CASE WHEN n <> 3 THEN 3 END], lambda x: x IS NOT NULL), ',') END AS used,
+CASE WHEN h.item_id IS NOT NULL AND n % 2 = 1 THEN 'turn of ' || n ELSE '{T.CAVEAT}' END AS caveat FROM benchmark b LEFT JOIN h ON h.item_id = b.item_id LEFT JOIN a ON a.item_id = b.item_id"""
+)
+def ranked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a question; a conversation's first turn is what a model replies. Items without a vector have no hits, so their replies aren't looked at."""
+    items, found = table(spark, sf_dir, "benchmark"), ranked.ask_ranked(*ranked_questions(spark, sf_dir), k=10)
+    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("item_id")).agg(F.min_by("text", "turn").alias("text"))
+    n = (F.length("text") % 12).cast("int")
+    reply = F.to_json(F.struct(F.col("text").alias("answer"), F.array(F.lit(1), n, F.lit(99), F.lit(3), F.lit(None).cast("int"), n).alias("used"), F.when(n % 2 == 1, F.concat(F.lit("turn of "), n)).otherwise(" ").alias("caveat")))
+    number = (F.col("item_id") * 100).alias("query_id")
+    said = ranked.answers(items.select(number), found, turns.select(number, reply.alias("reply")).filter("reply is not null"))
+    return said.select((F.col("query_id") / 100).cast("long").alias("query_id"), "answer", F.array_join("used", ",").alias("used"), "caveat")
 
 
 # Texts around a model

@@ -135,5 +135,5 @@ def test_query(spark):
         order = sorted(range(10), key=lambda i: (-round(scores[i], 6), i))
         for place, i in enumerate(order, 1):
             r = got[q["query_id"], place]
-            assert r["doc_id"] == near[i][1] and abs(r["score"] - scores[i]) < 3e-6 and abs(r["kw_score"] - signals[i, 1]) < 1e-9
+            assert r["doc_id"] == near[i][1] and abs(r["score"] - scores[i]) < 3e-6 and abs(r["kw_score"] - signals[i, 1]) < 1e-6
     assert Counter(r["query_id"] for r in got.values()).most_common(1)[0][1] == 10
