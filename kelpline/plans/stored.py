@@ -57,7 +57,7 @@ def alert_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The watcher as a stream over sign-ups, with a quote of 40 and a mail service that refuses every fifth user; restarted once with a new checkpoint, which changes nothing."""
     folder = _new_folder(spark, "watch")
     made = table(spark, sf_dir, "events").filter("event_type = 'signup'").select(F.concat(F.lit("u"), F.col("user_id")).alias("key"), F.round("value", 2).alias("target"))
-    made.groupBy("key").agg(F.min("target").alias("target")).select("key", "target", F.lit(None).cast("double").alias("spot")).write.parquet(f"{folder}/in")
+    made.filter("target > 0").groupBy("key").agg(F.min("target").alias("target")).select("key", "target", F.lit(None).cast("double").alias("spot")).write.parquet(f"{folder}/in")
 
     def send(due: DataFrame) -> DataFrame:
         return due.select("key", (F.substring("key", 2, 20).cast("long") % 5 != 0).alias("ok"))

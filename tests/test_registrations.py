@@ -19,7 +19,7 @@ def events(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["alert_batch"])
+@pytest.mark.parametrize("name", ["alert_batch", "alert_watch"])
 def test_least_targets_of_0(spark, events, name):
     got = QUERIES[name](spark, events)
     want = duckdb.connect().sql(ORACLES[name].replace("FROM events", f"FROM '{events}/events.parquet'"))
