@@ -8,9 +8,10 @@ import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from kelpline.functions.text import embedding_input
 from kelpline.operators import chunks
@@ -36,33 +37,42 @@ def _patiently(embedder: Callable, texts: list[str], pause: float) -> list[list[
     return []
 
 
-def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float] | None]], dims: int, batch: int = 64, pause: float = 1.0) -> DataFrame:
-    """(id, vec) of (id, text) through an injected embedder, unit length. Calls that fail are made again; failed texts give no row; a wrong length or a zero vector is an error."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in filter(len, batches):
-            for a in range(0, len(pdf), batch):
-                part = pdf.iloc[a : a + batch]
-                out = []
-                for key, v in zip(part["id"], _patiently(embedder, part["text"].tolist(), pause), strict=True):
+def with_vectors(rows: DataFrame, text: str, key: str, embedder: Callable[[list[str]], list[list[float] | None]], dims: int, batch: int = 64, pause: float = 1.0) -> DataFrame:
+    """The rows with ``vec``, unit length, of their column ``text`` through an injected embedder, which gets ``batch`` texts at a time. Calls that fail are made again; failed texts give no row; a wrong length or a zero vector is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, batch):
+                part = whole.slice(a, batch)
+                kept, vectors = [], []
+                for i, v in enumerate(_patiently(embedder, part.column(text).to_pylist(), pause)):
                     if v is None:
                         continue
                     x = np.asarray(v, np.float64)
                     n = np.linalg.norm(x)
                     if len(x) != dims or not 0 < n < np.inf:
-                        raise ValueError(f"{key}: {len(x)} dimensions, norm {n}")
-                    out.append((key, (x / n).astype(np.float32)))
-                if out:
-                    yield pd.DataFrame(out, columns=["id", "vec"])
+                        raise ValueError(f"{part.column(key)[i]}: {len(x)} dimensions, norm {n}")
+                    kept.append(i)
+                    vectors.append((x / n).astype(np.float32))
+                if kept:
+                    held = part.take(pa.array(kept, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*held.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*held.schema.names, "vec"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("vec", ArrayType(FloatType()))]))
 
-    return rows.select("id", "text").mapInPandas(run, "id string, vec array<float>")
+
+def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float] | None]], dims: int, batch: int = 64, pause: float = 1.0) -> DataFrame:
+    """(id, vec) of (id, text): ``with_vectors`` without the texts."""
+    return with_vectors(rows.select("id", "text"), "text", "id", embedder, dims, batch, pause).select("id", "vec")
 
 
 def build_index(pages: DataFrame, documents: DataFrame, embedder: Callable, dims: int, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(articles with vectors, report). pages: (doc_key, html); documents: (doc_key, celex, cite_base, max_article).
 
-    The report counts articles and dropped blocks of each document by reason.
+    The report counts articles and dropped blocks of each document by reason. Each of both reads the pages once: vectors are put to the rows of their texts, outcomes are counted together.
     """
-    articles, dropped = chunks.chunk(pages, documents.select("doc_key", "max_article"))
+    blocks = chunks.marked(pages, documents.select("doc_key", "max_article"))
+    articles = blocks.filter(F.col("outcome") == chunks.KEPT)
     if limit:
         articles = chunks.first_n(articles, limit)
     named = (
@@ -70,12 +80,16 @@ def build_index(pages: DataFrame, documents: DataFrame, embedder: Callable, dims
         .withColumn("id", F.concat("celex", F.lit(ID_PART), "art"))
         .withColumn("cite", F.concat("cite_base", F.lit(CITE_PART), "art"))
         .withColumn("url", F.concat(F.lit(ARTICLE_URL), "celex", F.lit(URL_PART), "art"))
+        .withColumn("input", embedding_input(F.col("heading"), F.col("title"), F.col("cite"), F.col("text")))
+        .filter("id is not null")
     )
-    texts = named.select("id", embedding_input(F.col("heading"), F.col("title"), F.col("cite"), F.col("text")).alias("text"))
-    index = named.join(embed(texts, embedder, dims), "id").select("id", F.col("doc_key").alias("doc"), "celex", "art", "cite", "heading", "title", "text", "excerpt", "url", "vec")
-    counted = articles.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n")).withColumn("reason", F.lit("kept"))
-    report = counted.unionByName(dropped.groupBy("doc_key", "reason").agg(F.count(F.lit(1)).alias("n")))
-    return index, report
+    columns = ["id", F.col("doc_key").alias("doc"), "celex", "art", "cite", "heading", "title", "text", "excerpt", "url"]
+    index = with_vectors(named.select(*columns, "input"), "input", "id", embedder, dims).drop("input")
+    counted = F.count(F.lit(1)).alias("n")
+    if not limit:
+        return index, blocks.filter("outcome is not null").groupBy("doc_key", F.col("outcome").alias("reason")).agg(counted)
+    kept = articles.groupBy("doc_key").agg(counted).withColumn("reason", F.lit(chunks.KEPT))
+    return index, kept.unionByName(blocks.filter(F.col("outcome") != chunks.KEPT).groupBy("doc_key", "reason").agg(counted))
 
 
 def write_index(index: DataFrame, path: str) -> int:
