@@ -10,10 +10,12 @@ import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpline.functions.batches import pieces
+
 #: Greatest file, greatest sum of unpacked sections, and extensions that are read.
 MAX_BYTES, MAX_UNPACKED = 8 * 1024 * 1024, 50 * 1024 * 1024
 EXTENSIONS = ("pdf", "docx", "hwpx", "txt", "md")
@@ -85,18 +87,22 @@ def _hwpx(data: bytes) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def _extracted(batches: Iterator[pd.DataFrame], pdf_text: Callable[[bytes], str] | None = None) -> Iterator[pd.DataFrame]:
+def _extracted(batches: Iterator[pa.RecordBatch], pdf_text: Callable[[bytes], str] | None = None) -> Iterator[pa.RecordBatch]:
+    """Texts of the files that have no status yet, few at a time; rows that have one pass."""
     readers = {"docx": _docx, "hwpx": _hwpx, "pdf": pdf_text}
-    for pdf in filter(len, batches):
-        rows = []
-        for path, kind, data in zip(pdf["path"], pdf["kind"], pdf["content"], strict=True):
-            data = bytes(data)
-            try:
-                text = data.decode("utf-8") if kind in ("txt", "md") else readers[kind](data)
-                rows.append((path, text, "ok"))
-            except DAMAGED:
-                rows.append((path, None, "parse error"))
-        yield pd.DataFrame(rows, columns=["path", "text", "status"])
+    for batch in pieces(batches, "content"):
+        texts, statuses = [], []
+        for kind, data, status in zip(*(batch.column(c) for c in ("kind", "content", "status")), strict=True):
+            text, status, kind = None, status.as_py(), kind.as_py()
+            if status is None:
+                try:
+                    text = data.as_py().decode("utf-8") if kind in ("txt", "md") else readers[kind](data.as_py())
+                    status = "ok"
+                except DAMAGED:
+                    status = "parse error"
+            texts.append(text)
+            statuses.append(status)
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(texts, pa.string()), pa.array(statuses, pa.string())], names=["path", "text", "status"])
 
 
 def is_scanned(path: Column, text: Column) -> Column:
@@ -107,7 +113,7 @@ def is_scanned(path: Column, text: Column) -> Column:
 def extract_text(files: DataFrame, pdf_text: Callable[[bytes], str] | None = None) -> DataFrame:
     """(path, text, status) of (path, content). status: ok, empty, too large, hwp, unsupported, bad magic, no pdf reader, scanned, or parse error.
 
-    Gates are expressions, so refused files never reach Python. PDF needs a reader, which is given: ``pdf_text`` takes the bytes of a file and raises ValueError where they are damaged. A PDF
+    Gates are expressions, so the bytes of refused files never reach Python. PDF needs a reader, which is given: ``pdf_text`` takes the bytes of a file and raises ValueError where they are damaged. A PDF
     without any text is ``scanned``.
     """
     kind = F.lower(F.substring_index("path", ".", -1))
@@ -118,7 +124,8 @@ def extract_text(files: DataFrame, pdf_text: Callable[[bytes], str] | None = Non
         .when(~magic, "bad magic").when((kind == "pdf") & F.lit(pdf_text is None), "no pdf reader")
     )
     gated = files.select("path", "content", kind.alias("kind"), gate.alias("status"))
-    refused = gated.filter("status is not null").select("path", F.lit(None).cast("string").alias("text"), "status")
-    read = gated.filter("status is null").select("path", "kind", "content").mapInPandas(lambda batches: _extracted(batches, pdf_text), "path string, text string, status string")
+    # One pass for all: what made the files isn't run again for those that are refused, and their bytes stay where they are.
+    held = gated.select("path", "kind", F.when(F.col("status").isNull(), F.col("content")).alias("content"), "status")
+    read = held.mapInArrow(lambda batches: _extracted(batches, pdf_text), "path string, text string, status string")
     scanned = (F.col("status") == "ok") & is_scanned(F.col("path"), F.col("text"))
-    return refused.unionByName(read.withColumn("status", F.when(scanned, "scanned").otherwise(F.col("status"))))
+    return read.withColumn("status", F.when(scanned, "scanned").otherwise(F.col("status")))
