@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from kelpline.functions.text import STOP_WORDS
 from kelpline.operators import inverted, retrieval
@@ -67,6 +68,35 @@ def test_tables(index, corpus):
     assert {r["term"]: (r["df"], r["cf"]) for r in index.terms.collect()} == {t: (sum(t in c for c in counts.values()), sum(c[t] for c in counts.values())) for t in {t for t, _ in held}}
 
 
+def test_postings_are_written_where_they_lie(index):
+    files, sorted_blocks = {}, {}
+    for r in index.postings.select("term", "bucket", "block", F.input_file_name().alias("file")).collect():
+        files.setdefault(r["file"], set()).add(r["block"] >> 32)
+        sorted_blocks.setdefault((r["file"], r["block"]), []).append(r["term"])
+    assert len({task for tasks in files.values() for task in tasks}) > 1 and all(len(tasks) == 1 for tasks in files.values())
+    assert all(terms == sorted(terms) for terms in sorted_blocks.values())
+
+
+def shuffled(spark):
+    """Bytes that this session's stages have shuffled so far."""
+    sc = spark._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+@pytest.mark.parametrize("n_repeated", [0, 1])
+def test_a_build_shuffles_neither_texts_nor_postings(spark, tmp_path, n_repeated):
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(1500)]
+    rows = [(i, " ".join(rng.sample(vocabulary, 400))) for i in range(1500)]
+    docs = spark.createDataFrame(rows + rows[:n_repeated], "doc_id long, text string")
+    before = shuffled(spark)
+    inverted.build(docs, str(tmp_path / "i"))
+    assert shuffled(spark) - before < 300_000  # the postings alone have more than 1 MB
+    index = inverted.load(spark, str(tmp_path / "i"))
+    assert (index.n_docs, index.total, index.postings.agg(F.sum(F.size("docs"))).first()[0]) == (1500, 400 * (1500 + n_repeated), 600_000)
+
+
 def test_searches(spark, index, corpus, monkeypatch):
     want = plain_bm25(*corpus)
     terms = spark.createDataFrame(corpus[1], "query_id long, term string, weight double")
